@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from lociflow.llm import chat, line_dedup
+from lociflow.llm import chat, language_id, line_dedup, packing
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op3_language_id": language_id.op3_language_id,
+        "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_chat_formatting": chat.op5_chat_formatting,
     }
 
 
 def oracle_sql() -> dict[str, str]:
+    """SQL where it can express the operator; the others are tested against brute force, exact round trips or held-out accuracy."""
     return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op5_chat_formatting": chat.ORACLE_SQL}
