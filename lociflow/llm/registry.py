@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lociflow.llm import chat, language_id, line_dedup, packing
+from lociflow.llm import chat, fingerprints, language_id, line_dedup, packing
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_language_id": language_id.op3_language_id,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_chat_formatting": chat.op5_chat_formatting,
+        "op6_document_fingerprints": fingerprints.op6_document_fingerprints,
     }
 
 
