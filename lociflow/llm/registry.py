@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lociflow.llm import chat, fingerprints, language_id, line_dedup, packing
+from lociflow.llm import chat, decontaminate, fingerprints, language_id, line_dedup, packing
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_chat_formatting": chat.op5_chat_formatting,
         "op6_document_fingerprints": fingerprints.op6_document_fingerprints,
+        "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     }
 
 
