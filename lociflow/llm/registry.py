@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lociflow.llm import chat, decontaminate, fingerprints, language_id, line_dedup, packing
+from lociflow.llm import chat, decontaminate, fingerprints, language_id, line_dedup, packing, quality
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_quality_classifier": quality.op2_quality_classifier,
         "op3_language_id": language_id.op3_language_id,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_chat_formatting": chat.op5_chat_formatting,
