@@ -90,15 +90,39 @@ def parts(texts: Iterable[bytes], size: int = PART_BYTES) -> Iterator[tuple[int,
         yield at, run
 
 
-def ngrams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where each run of n words of one text starts (word index), and its 64-bit hash."""
+def ngrams(words: Words, n: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of n words of one text starts (word index), and its 64-bit hash; another salt gives an independent one."""
     total = len(words.hash) - n + 1
     if total <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = np.zeros(total, np.uint64)
     for k in range(n):
-        h += words.hash[k : k + total] * _MULTIPLIERS[k]
+        h += words.hash[k : k + total] * _MULTIPLIERS[(k + 16 * salt) % len(_MULTIPLIERS)]
     at = np.arange(total)
-    last = words.first[1:][words.text_of()[:total]]
-    whole = at + n <= last
+    whole = at + n <= words.first[1:][words.text_of()[:total]]
     return at[whole], mixed(h[whole])
+
+
+def single_spaced(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words with one space behind each, all texts in a row: the bytes, and each word's start and end there."""
+    length = words.end - words.start
+    end = np.cumsum(length + 1) - 1
+    start = end - length
+    out = np.full(int(end[-1]) + 1 if len(end) else 0, 0x20, np.uint8)
+    inside = np.ones(len(out), bool)
+    inside[end] = False
+    out[inside] = words.data[~_GAP[words.data]]
+    return out, start, end
+
+
+def slices(data: np.ndarray, start: np.ndarray, end: np.ndarray, behind: int) -> np.ndarray:
+    """data[start:end] for each pair, one after the other, with the byte `behind` after each."""
+    length = end - start + 1
+    if not len(length):
+        return data[:0]
+    last = np.cumsum(length) - 1
+    at = np.arange(int(last[-1]) + 1) + np.repeat(start - (last - length + 1), length)
+    at[last] = 0
+    out = data[at]
+    out[last] = behind
+    return out
