@@ -250,9 +250,12 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents whose id is their component's: one of each group of near copies, unchanged. Rows without an id stay where nothing else has their group."""
-    groups = near_duplicate_groups(docs, id_col, text_col, **options)
-    gone = groups.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
+    """The documents with the smallest id of their component: one of each group of near copies, unchanged.
+
+    Rows of one id are one document, which stays if any of its rows is its component's first; rows without an id stay.
+    """
+    groups = near_duplicate_groups(docs, id_col, text_col, **options).where(F.col(id_col).isNotNull())
+    gone = groups.groupBy(id_col).agg(F.max((F.col("component_id") == F.col(id_col)).cast("int")).alias("first")).where("first = 0").select(id_col)
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 

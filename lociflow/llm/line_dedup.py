@@ -20,23 +20,23 @@ def _line_hash(line: Column) -> Column:
 def drop_boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", ratio: float = 0.05, min_pages: int = 20) -> DataFrame:
     """docs with the lines removed that more than `ratio` of their host's pages contain.
 
-    Every row is one page of its host and counts once for each of its distinct lines, compared without
-    surrounding spaces. Hosts with fewer than `min_pages` rows lose nothing. All columns are kept in order, with
+    A host's rows with equal texts are one page of it, so that copies don't make boilerplate of what they say; a page counts once for each of its distinct lines,
+    compared without surrounding spaces. Hosts with fewer than `min_pages` pages lose nothing. All columns are kept in order, with
     `text_col` rewritten and `n_lines`, `n_dropped` added last (replacing input columns so named).
 
     Defined cases: a null text stays null with 0 lines; a null host is no host, so its pages stay as they are;
-    blank lines are never boilerplate; repeated rows count once each and all lose the same lines; rows that share
+    blank lines are never boilerplate; repeated rows count once and all lose the same lines; rows that share
     an id are told apart by host and text; an empty table gives an empty table.
 
-    Lines travel as 128-bit hashes. Counts are combined before the shuffle, so a line that a third of all
-    pages hold reaches its reducer once per task. Only occurrences of boilerplate go on to be collected, by page.
+    Lines travel as 128-bit hashes. Pages are told apart by line and page, then counted in each task first, so a line that a third of all
+    pages hold reaches its counter once per task. Only occurrences of boilerplate go on to be collected, by page.
     """
     lines = F.split(F.col(text_col), "\n")
     rows = docs.select(F.col(host_col).alias("_host"), F.col(id_col).alias("_id"), *[h.alias(f"_k{i}") for i, h in enumerate(hash_pair(F.col(text_col)))], F.filter(lines, lambda x: _key(x) != "").alias("_lines"))
-    rows = rows.where(F.col("_host").isNotNull())
+    rows = rows.where(F.col("_host").isNotNull() & F.col("_lines").isNotNull())
     held = rows.select("_host", "_id", "_k0", "_k1", F.explode(F.array_distinct(F.transform("_lines", _line_hash))).alias("_h")).select("_host", "_id", "_k0", "_k1", "_h.h1", "_h.h2")
-    pages = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages")).where(F.col("_pages") >= min_pages)
-    common = held.groupBy("_host", "h1", "h2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).join(pages, "_host").where(F.col("_n") > F.col("_pages") * F.lit(ratio)).select("_host", "h1", "h2")
+    pages = rows.groupBy("_host").agg(F.count_distinct("_k0", "_k1").alias("_pages")).where(F.col("_pages") >= min_pages)
+    common = held.groupBy("_host", "h1", "h2").agg(F.count_distinct("_k0", "_k1").alias("_n")).where(F.col("_n") > 1).join(pages, "_host").where(F.col("_n") > F.col("_pages") * F.lit(ratio)).select("_host", "h1", "h2")
     dropped = held.join(common, ["_host", "h1", "h2"]).groupBy("_host", "_id", "_k0", "_k1").agg(F.collect_set(F.struct("h1", "h2")).alias("_drop"))
 
     first, second = hash_pair(F.col(text_col))
@@ -75,8 +75,8 @@ WITH t AS (
     regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', chr(10), 'g'), '(?i)</?(a|b|i|em|strong|span)(\s[^>]*)?>', '', 'g'), '<[^>]*>', chr(10), 'g') AS raw
   FROM pages),
 p AS (SELECT page_id, host, trim(regexp_replace(raw, '[ \t\r]*\n[ \t\r\n]*', chr(10), 'g'), ' ') AS text FROM t),
-h AS (SELECT page_id, host, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''))) AS line FROM p WHERE host IS NOT NULL),
-n AS (SELECT host, count(*) AS pages FROM p WHERE host IS NOT NULL GROUP BY host HAVING count(*) >= 5),
+h AS (SELECT DISTINCT host, text, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''))) AS line FROM p WHERE host IS NOT NULL),
+n AS (SELECT host, count(DISTINCT text) AS pages FROM p WHERE host IS NOT NULL GROUP BY host HAVING count(DISTINCT text) >= 5),
 c AS (SELECT h.host, line FROM h JOIN n ON h.host = n.host GROUP BY h.host, line HAVING count(*) > 1 AND count(*) > 0.2 * any_value(pages)),
 b AS (SELECT host, list(line) AS bad FROM c GROUP BY host),
 k AS (SELECT p.page_id, p.host, string_split(text, chr(10)) AS ls, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') = '' OR NOT list_contains(coalesce(bad, []::VARCHAR[]), trim(x, ' '))) AS kept FROM p LEFT JOIN b ON p.host = b.host)

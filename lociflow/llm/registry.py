@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lociflow.llm import chat, decontaminate, fingerprints, jaccard_join, language_id, line_dedup, packing, quality, substring_dedup
+from lociflow.llm import chat, decontaminate, fingerprints, jaccard_join, language_id, line_dedup, packing, pii, quality, substring_dedup
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
         "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+        "op10_pii_surrogates": pii.op10_pii_surrogates,
     }
 
 
