@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,11 +47,13 @@ def blocks_needed(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES
 
 
 def compressed(batches):
-    """Arrow batches with the text in the last column compressed (null as empty), the others as they are."""
-    z = zstandard.ZstdCompressor(level=1)
+    """Arrow batches with the text in the last column compressed (null as empty), the others as they are; a few hundred rows at a time."""
+    z = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        packed = pa.array([z.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], batch.schema.names)
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            packed = pa.array([z.compress((t or "").encode("utf-8", "surrogatepass")) for t in part.column(part.num_columns - 1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], packed], part.schema.names)
 
 
 def unpacked(column: pa.ChunkedArray):
@@ -68,3 +71,36 @@ def dealt_in_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: in
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int").alias("block"), id_col, F.col(text_col).alias("z"))
     return rows.mapInArrow(compressed, f"block int, `{id_col}` {kind}, z binary").repartition(blocks, "block"), blocks
+
+
+def packed(x: np.ndarray) -> bytes:
+    """An array's bytes, compressed."""
+    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 3)
+
+
+def array_of(z: pa.Scalar, kind) -> np.ndarray:
+    """The array of packed()."""
+    return np.frombuffer(zstandard.decompress(z.as_buffer()), kind)
+
+
+#: Bits of bitmaps for ids and hashes: 4 MB whatever the input.
+FILTER_BITS = 25
+
+
+def bit_rows(slots: DataFrame) -> np.ndarray:
+    """A bitmap of 2**FILTER_BITS bits with those set that the column slots (long) names: made in tasks, of one size for any number of rows."""
+
+    def make(batches):
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy()] = True
+        yield pa.RecordBatch.from_arrays([pa.array([packed(np.packbits(bits, bitorder="little"))], pa.binary())], ["bits"])
+
+    out = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
+    for row in slots.coalesce(4).mapInArrow(make, "bits binary").collect():
+        out |= np.frombuffer(zstandard.decompress(row["bits"]), np.uint8)
+    return out
+
+
+def has_bit(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0

@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import re
-import zlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import written
+from lociflow.llm.common import FILTER_BITS, bit_rows, has_bit, written
 from lociflow.llm.words import ngrams, parts, words_of
 
-SEED_WORDS, FILTER_BITS = 3, 25
+SEED_WORDS = 3
 GAP, MISMATCH = 0.5, 0.5
 
 
@@ -49,18 +47,9 @@ def item_seeds(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> Data
 
 
 def seed_filter(seeds: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size (2**FILTER_BITS bits) that holds all seeds and few other hashes; of the same size for any benchmark."""
-
-    def make(batches):
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            for slots in _slots(batch.column(0).to_numpy().view(np.uint64)):
-                bits[slots] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["bits"])
-
-    rows = seeds.select("seed").coalesce(4).mapInArrow(make, "bits binary").collect()
-    empty = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
-    return np.unpackbits(reduce(np.bitwise_or, [np.frombuffer(zlib.decompress(r["bits"]), np.uint8) for r in rows], empty)).astype(bool)
+    """A bitmap of fixed size that has two bits for each seed, and lets few other hashes through."""
+    low, high = F.col("seed").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), F.shiftright("seed", 32).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    return bit_rows(seeds.select(F.explode(F.array(low, high)).alias("slot")))
 
 
 def _hits(words, orders, bits):
@@ -69,8 +58,8 @@ def _hits(words, orders, bits):
     for n in orders:
         at, h = ngrams(words, n)
         a, b = _slots(h)
-        ok = bits[a]
-        ok[ok] = bits[b[ok]]
+        ok = has_bit(bits, a)
+        ok[ok] = has_bit(bits, b[ok])
         found.append((at[ok], h[ok]))
     at, h = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(at, kind="stable")

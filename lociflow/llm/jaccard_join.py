@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import blocks_needed, unpacked, written
+from lociflow.llm.common import array_of, blocks_needed, packed, unpacked, written
 from lociflow.llm.components import components
 from lociflow.llm.words import mixed, ngrams, parts, words_of
 
@@ -70,14 +70,6 @@ def _need(nx, ny, num: int, den: int):
     return (nx + ny) * num / (num + den)
 
 
-def _packed(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
-
-
-def _array(z, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(z.as_buffer()), kind)
-
-
 def linkable_sets(docs: DataFrame, text_col: str, shingle: int, num: int, den: int) -> DataFrame:
     """The distinct sets that may have links: s1, s2, n, centre, shared (packed shingles that other sets have too), tokens, places.
 
@@ -125,10 +117,10 @@ def linkable_sets(docs: DataFrame, text_col: str, shingle: int, num: int, den: i
         tokens, n = _summed(done)
         edges = np.searchsorted(tokens, (np.arange(1, blocks, dtype=np.float64) / blocks * (1 << COUNTED_BITS)).astype(np.uint64))
         cut = [(k, t, c) for k, (t, c) in enumerate(zip(np.split(tokens, edges), np.split(n, edges))) if len(t)]
-        return pa.Table.from_arrays([pa.array([k for k, _, _ in cut], pa.int32()), pa.array([number] * len(cut), pa.int32()), pa.array([_packed(np.diff(t, prepend=np.uint64(0))) for _, t, _ in cut], pa.binary()), pa.array([_packed(c) for _, _, c in cut], pa.binary())], ["bucket", "block", "tokens", "n"])
+        return pa.Table.from_arrays([pa.array([k for k, _, _ in cut], pa.int32()), pa.array([number] * len(cut), pa.int32()), pa.array([packed(np.diff(t, prepend=np.uint64(0))) for _, t, _ in cut], pa.binary()), pa.array([packed(c) for _, _, c in cut], pa.binary())], ["bucket", "block", "tokens", "n"])
 
     def answer(bucket: pa.Table) -> pa.Table:
-        own = [(b.as_py(), np.cumsum(_array(t, np.uint64)), _array(c, np.int32)) for b, t, c in zip(bucket.column("block"), bucket.column("tokens"), bucket.column("n"))]
+        own = [(b.as_py(), np.cumsum(array_of(t, np.uint64)), array_of(c, np.int32)) for b, t, c in zip(bucket.column("block"), bucket.column("tokens"), bucket.column("n"))]
         tokens, n = _summed([(t, c) for _, t, c in own])
         tokens, n = tokens[n > 1], n[n > 1]
         rows = []
@@ -136,13 +128,13 @@ def linkable_sets(docs: DataFrame, text_col: str, shingle: int, num: int, den: i
             i = np.searchsorted(tokens, t)
             i = i[np.isin(t, tokens, assume_unique=True, kind="sort")] if len(tokens) else i[:0]
             if len(i):
-                rows.append((block, _packed(np.diff(tokens[i], prepend=np.uint64(0))), _packed(n[i])))
+                rows.append((block, packed(np.diff(tokens[i], prepend=np.uint64(0))), packed(n[i])))
         columns = list(zip(*rows)) or [[], [], []]
         return pa.Table.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["block", "tokens", "n"])
 
     def select(block: pa.Table, answers: pa.Table) -> pa.Table:
-        tokens = np.concatenate([np.zeros(0, np.uint64), *[np.cumsum(_array(t, np.uint64)) for t in answers.column("tokens")]])
-        n = np.concatenate([np.zeros(0, np.int32), *[_array(c, np.int32) for c in answers.column("n")]])
+        tokens = np.concatenate([np.zeros(0, np.uint64), *[np.cumsum(array_of(t, np.uint64)) for t in answers.column("tokens")]])
+        n = np.concatenate([np.zeros(0, np.int32), *[array_of(c, np.int32) for c in answers.column("n")]])
         order = np.argsort(tokens)
         tokens, n = tokens[order], n[order]
         rows = []
@@ -158,7 +150,7 @@ def linkable_sets(docs: DataFrame, text_col: str, shingle: int, num: int, den: i
                 continue
             alone = len(s) - len(shared)
             prefix = np.lexsort((shared, often))[: len(s) - least + 1 - alone]
-            rows.append((*key, len(s), float(np.log2(often).sum() / len(s)), _packed(np.diff(shared, prepend=np.uint64(0))), shared[prefix].view(np.int64), np.arange(alone, alone + len(prefix), dtype=np.int32)))
+            rows.append((*key, len(s), float(np.log2(often).sum() / len(s)), packed(np.diff(shared, prepend=np.uint64(0))), shared[prefix].view(np.int64), np.arange(alone, alone + len(prefix), dtype=np.int32)))
         columns = list(zip(*rows)) or [[]] * 7
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
         return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["s1", "s2", "n", "centre", "shared", "tokens", "places"])
@@ -185,9 +177,9 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             common, many, last = [], [], (None, None)
             for x, y in zip(batch.column(4), batch.column(5)):
-                x = np.cumsum(_array(x, np.uint64))
+                x = np.cumsum(array_of(x, np.uint64))
                 if last[0] != (key := y.as_py()):
-                    last = key, np.cumsum(_array(y, np.uint64))
+                    last = key, np.cumsum(array_of(y, np.uint64))
                 common.append(len(np.intersect1d(x, last[1], assume_unique=True)))
                 many.append(len(x))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(many, pa.int64()), pa.array(common, pa.int64())], ["a", "b", "a_n", "b_n", "a_shared", "common"])

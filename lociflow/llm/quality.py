@@ -8,17 +8,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import blocks_needed, hash_pair, written
+from lociflow.llm.common import FILTER_BITS, array_of, bit_rows, blocks_needed, compressed, has_bit, hash_pair, packed, unpacked, written
+from lociflow.llm.words import mixed
 
 ORDER, BITS = 5, 12
 BEGIN, REST = 1, (1 << BITS) - 1  # classes: before the text; all characters from U+0FFF on
-BLOCK = 32 << 20
-PART = 2 << 20
-FILTER_BITS = 25
+BLOCK = 24 << 20
+PART = 1 << 20
 
 
 def grams_of(text: str) -> np.ndarray:
@@ -47,17 +46,8 @@ def _merge(sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys, np.bincount(inverse, n, len(keys)).astype(np.int64)
 
 
-def _texts(column: pa.ChunkedArray):
-    unpack = zstandard.ZstdDecompressor()
-    return (unpack.decompress(z.as_buffer()).decode("utf-8", "surrogatepass") for z in column)
-
-
-def _squeeze(batches):
-    """The text in the last column compressed, the others as they are."""
-    z = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        packed = pa.array([z.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], batch.schema.names)
+def _texts(column: pa.ChunkedArray | pa.Array):
+    return (t.decode("utf-8", "surrogatepass") for t in unpacked(column))
 
 
 def _gram_counts(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -82,34 +72,18 @@ def _gram_counts(texts) -> tuple[np.ndarray, np.ndarray]:
     return _merge(done) if done else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def id_filter(ids: DataFrame, id_col: str) -> np.ndarray:
-    """A bitmap of fixed size, for any number of ids, in which each has its bit."""
-
-    def make(batches):
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            bits[batch.column(0).to_numpy()] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(np.packbits(bits).tobytes())], pa.binary())], ["bits"])
-
-    rows = ids.select(_slot(id_col)).coalesce(4).mapInArrow(make, "bits binary").collect()
-    out = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
-    for r in rows:
-        out |= np.frombuffer(zstandard.decompress(r["bits"]), np.uint8)
-    return np.unpackbits(out).astype(bool)
-
-
 def _slot(id_col: str) -> Column:
     return F.pmod(F.xxhash64(id_col), F.lit(1 << FILTER_BITS)).alias("_slot")
 
 
 def train_counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """gram, n over the texts of the trusted ids. Other texts stay where they are: a bitmap of the ids lets few through to the join."""
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(trusted, id_col))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_rows(trusted.select(_slot(id_col))))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def near(batches):
         for batch in batches:
-            yield batch.filter(pa.array(bits.value[batch.column(0).to_numpy()]))
+            yield batch.filter(pa.array(has_bit(bits.value, batch.column(0).to_numpy())))
 
     def count(batches):
         grams, n = _gram_counts(t for batch in batches for t in _texts(batch.column(0)))
@@ -117,7 +91,7 @@ def train_counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str
             yield pa.RecordBatch.from_arrays([pa.array(grams[at : at + 100_000]), pa.array(n[at : at + 100_000])], ["gram", "n"])
 
     rows = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(_slot(id_col), F.col(id_col).alias("_id"), F.col(text_col).alias("z"))
-    kept = rows.mapInArrow(lambda batches: _squeeze(near(batches)), f"_slot long, _id {kind}, z binary")
+    kept = rows.mapInArrow(lambda batches: compressed(near(batches)), f"_slot long, _id {kind}, z binary")
     ids = trusted.select(F.col(id_col).alias("_id")).distinct()
     return kept.join(ids, "_id", "left_semi").select("z").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -154,41 +128,88 @@ def fit(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
     return model
 
 
+def distinct_grams(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
+    """gram: all grams of the texts once. Tasks send theirs sorted and packed to buckets by hash."""
+
+    def cut(batches):
+        grams, _ = _gram_counts(t for batch in batches for t in batch.column(0).to_pylist() if t)
+        for bucket, own, _ in _dealt(grams, buckets):
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([packed(np.diff(own, prepend=0))], pa.binary())], ["bucket", "grams"])
+
+    def merge(bucket: pa.Table) -> pa.Table:
+        return pa.Table.from_arrays([pa.array(np.unique(np.concatenate([np.cumsum(array_of(z, np.int64)) for z in bucket.column("grams")])))], ["gram"])
+
+    return docs.select(text_col).mapInArrow(cut, "bucket int, grams binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, "gram long")
+
+
+def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(grams.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _dealt(grams: np.ndarray, buckets: int):
+    """Bucket, grams and their indexes, for each bucket that has some; grams stay in order."""
+    bucket = _bucket(grams, buckets)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    for a, b in zip(edges, [*edges[1:], len(order)]):
+        yield int(bucket[order[a]]), grams[order[a:b]], order[a:b]
+
+
 def log_probabilities(grams: DataFrame, model: dict) -> DataFrame:
-    """gram, logp for distinct grams, seen or not: the longest seen suffix's probability times what the contexts above it leave."""
-    rows = grams.select("gram", F.lit(1.0).alias("left"), F.lit(None).cast("double").alias("p"))
+    """gram, logp for distinct grams, seen or not: the longest seen suffix's probability times what the contexts above it leave.
+
+    Only the grams that an order hasn't seen go on to the next lower one.
+    """
+    rows, done = grams.select("gram", F.lit(1.0).alias("left")), []
     for k in range(ORDER, 0, -1):
         known, rest = model[k]
         rows = rows.withColumn("key", _suffix(F.col("gram"), k)).join(known.select(F.col("gram").alias("key"), F.col("p").alias("found")), "key", "left")
-        rows = rows.withColumn("context", _context(F.col("key"))).join(rest, "context", "left")
-        rows = rows.select("gram", F.when(F.col("p").isNull() & F.col("found").isNull(), F.col("left") * F.coalesce("rest", F.lit(1.0))).otherwise(F.col("left")).alias("left"), F.coalesce("p", "found").alias("p"))
-    return rows.select("gram", F.log(F.col("left") * F.coalesce("p", F.lit(1.0 / (1 << BITS)))).cast("float").alias("logp"))
+        rows = written(rows.withColumn("context", _context(F.col("key"))).join(rest, "context", "left").select("gram", "left", "found", "rest"), f"asked{k}")
+        done.append(rows.where("found IS NOT NULL").select("gram", (F.col("left") * F.col("found")).alias("p")))
+        rows = rows.where("found IS NULL").select("gram", (F.col("left") * F.coalesce("rest", F.lit(1.0))).alias("left"))
+    done.append(rows.select("gram", (F.col("left") / (1 << BITS)).alias("p")))
+    whole = done[0]
+    for part in done[1:]:
+        whole = whole.unionByName(part)
+    return whole.select("gram", F.log("p").cast("float").alias("logp"))
 
 
 def perplexities(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id_col, lang, k0, k1 (hashes of id, language and text), chars, nats (mean negative log probability of a character): a row for each non-null text.
 
-    Texts travel once, compressed, to blocks of documents. A block sends its distinct grams, not its characters, to the
-    model's tables and gets their log probabilities back: what moves grows with the number of blocks, and no task
+    Texts travel once, compressed, to blocks of documents. A block sends its distinct grams, not its characters, sorted and packed, to buckets of the
+    probability table and gets their log probabilities back: what moves grows with the number of blocks, and no task
     holds more of the model than its block's texts use.
     """
     blocks = blocks_needed(docs, text_col, BLOCK)
     kind = docs.schema[id_col].dataType.simpleString()
+    probabilities = written(log_probabilities(distinct_grams(docs.where(F.col(text_col).isNotNull()), text_col, blocks), model), "logp")
+
+    def place(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_bucket(batch.column(0).to_numpy(), blocks)), *batch.columns], ["bucket", "gram", "logp"])
+
+    shards = probabilities.mapInArrow(place, "bucket int, gram long, logp float")
     k0, k1 = hash_pair(F.col(id_col), F.col(lang_col), F.col(text_col))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.pmod(k0, F.lit(blocks)).cast("int").alias("block"), id_col, F.col(lang_col).cast("string").alias("lang"), k0.alias("k0"), k1.alias("k1"), F.col(text_col).alias("z"))
-    dealt = rows.mapInArrow(_squeeze, f"block int, `{id_col}` {kind}, lang string, k0 long, k1 long, z binary").repartition(blocks, "block")
+    dealt = rows.mapInArrow(compressed, f"block int, `{id_col}` {kind}, lang string, k0 long, k1 long, z binary").repartition(blocks, "block")
 
-    def distinct(block: pa.Table) -> pa.Table:
+    def ask(block: pa.Table) -> pa.Table:
         grams, _ = _gram_counts(_texts(block.column("z")))
-        return pa.Table.from_arrays([pa.array(np.full(len(grams), block.column("block")[0].as_py(), np.int32)), pa.array(grams)], ["block", "gram"])
-
-    asked = dealt.groupBy("block").applyInArrow(distinct, "block int, gram long")
-    known = asked.join(log_probabilities(asked.select("gram").distinct(), model), "gram")
-
-    def score(texts: pa.Table, probs: pa.Table) -> pa.Table:
-        grams, logp = probs.column("gram").to_numpy(), probs.column("logp").to_numpy().astype(np.float64)
+        parts = [(bucket, packed(np.diff(own, prepend=0))) for bucket, own, _ in _dealt(grams, blocks)]
+        return pa.Table.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([block.column("block")[0].as_py()] * len(parts), pa.int32()), pa.array([g for _, g in parts], pa.binary())], ["bucket", "block", "grams"])
+
+    def look_up(asked: pa.Table, shard: pa.Table) -> pa.Table:
+        order = np.argsort(grams := shard.column("gram").to_numpy())
+        grams, logp = grams[order], shard.column("logp").to_numpy()[order]
+        found = [packed(logp[np.searchsorted(grams, np.cumsum(array_of(z, np.int64)))]) for z in asked.column("grams")]
+        return pa.Table.from_arrays([asked.column("block"), asked.column("grams"), pa.array(found, pa.binary())], ["block", "grams", "logp"])
+
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        grams = np.concatenate([np.zeros(0, np.int64), *[np.cumsum(array_of(z, np.int64)) for z in answers.column("grams")]])
+        logp = np.concatenate([np.zeros(0, np.float32), *[array_of(z, np.float32) for z in answers.column("logp")]])
         order = np.argsort(grams)
-        grams, logp = grams[order], logp[order]
+        grams, logp = grams[order], logp[order].astype(np.float64)
         chars, nats = [], []
         for text in _texts(texts.column("z")):
             total = 0.0
@@ -200,7 +221,9 @@ def perplexities(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col:
             nats.append(total / len(text) if text else None)
         return pa.Table.from_arrays([*[texts.column(c) for c in (id_col, "lang", "k0", "k1")], pa.array(chars, pa.int64()), pa.array(nats, pa.float64())], [id_col, "lang", "k0", "k1", "chars", "nats"])
 
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, f"`{id_col}` {kind}, lang string, k0 long, k1 long, chars long, nats double")
+    asked = dealt.groupBy("block").applyInArrow(ask, "bucket int, block int, grams binary")
+    told = asked.repartition(blocks, "bucket").groupBy("bucket").cogroup(shards.repartition(blocks, "bucket").groupBy("bucket")).applyInArrow(look_up, "block int, grams binary, logp binary")
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, f"`{id_col}` {kind}, lang string, k0 long, k1 long, chars long, nats double")
 
 
 #: Characters' worth of the language's middle value that every text's mean gets, so that a few words don't decide.

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import dealt_in_blocks, unpacked
+from lociflow.llm.common import array_of, dealt_in_blocks, packed, unpacked
 from lociflow.llm.words import Words, ngrams, parts, single_spaced, slices, words_of
 
 WINDOW, MINIMISER = 13, 3
@@ -67,14 +66,6 @@ def super_kmers(words: Words, hot: np.ndarray, window: int, minimiser: int) -> t
     return at[first], at[last] + window, low[first]
 
 
-def _packed(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 3)
-
-
-def _array(z, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(z.as_buffer()), kind)
-
-
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
     """Each text without the words that a smaller id's document has in a window too: id_col, n_words, n_removed, kept (the words left, joined by one space).
 
@@ -121,21 +112,21 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 s = pick[lo:hi]
                 rows.setdefault(int(bucket[s[0]]), []).append((slices(data, start[a[s]], end[b[s] - 1], 0x0A), (b - a)[s].astype(np.int32), least[lo:hi], most[lo:hi]))
         keys = sorted(rows)
-        columns = [[_packed(np.concatenate([x[k] for x in rows[key]])) for key in keys] for k in range(4)]
+        columns = [[packed(np.concatenate([x[k] for x in rows[key]])) for key in keys] for k in range(4)]
         return pa.Table.from_arrays([pa.array(keys, pa.int32()), pa.array(np.full(len(keys), number, np.int32)), *[pa.array(c, pa.binary()) for c in columns]], ["bucket", "block", "texts", "words", "least", "most"])
 
     def answer(bucket: pa.Table) -> pa.Table:
         hashes, others, least, most, whose = [], [], [], [], []
         for texts, counts, lo, hi, block in zip(*[bucket.column(c) for c in ("texts", "words", "least", "most", "block")]):
-            counts = _array(counts, np.int32).astype(np.int64)
-            words = words_of([_array(texts, np.uint8).tobytes()])
+            counts = array_of(counts, np.int32).astype(np.int64)
+            words = words_of([array_of(texts, np.uint8).tobytes()])
             words.first = np.concatenate([[0], np.cumsum(counts)])
             at, h = ngrams(words, window)
             owner = words.text_of()[at]
             hashes.append(h)
             others.append(ngrams(words, window, salt=1)[1])
-            least.append(_array(lo, np.int64)[owner])
-            most.append(_array(hi, np.int64)[owner])
+            least.append(array_of(lo, np.int64)[owner])
+            most.append(array_of(hi, np.int64)[owner])
             whose.append(np.full(len(h), block.as_py(), np.int32))
         hashes, others, least, most, whose = (np.concatenate(x) for x in (hashes, others, least, most, whose))
         order = np.lexsort((others, hashes))
@@ -147,13 +138,13 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         owner = whose[order[told]]
         edges = np.flatnonzero(np.diff(owner, prepend=-1))
         ends = [*edges[1:], len(told)]
-        columns = [[_packed(x[a:b]) for a, b in zip(edges, ends)] for x in (hashes[order[told]], lowest[told])]
+        columns = [[packed(x[a:b]) for a, b in zip(edges, ends)] for x in (hashes[order[told]], lowest[told])]
         return pa.Table.from_arrays([pa.array(owner[edges], pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], ["block", "windows", "lowest"])
 
     def remove(block: pa.Table, answers: pa.Table) -> pa.Table:
         ids = ids_of(block)
-        windows = np.concatenate([np.zeros(0, np.uint64), *[_array(z, np.uint64) for z in answers.column("windows")]])
-        lowest = np.concatenate([np.zeros(0, np.int64), *[_array(z, np.int64) for z in answers.column("lowest")]])
+        windows = np.concatenate([np.zeros(0, np.uint64), *[array_of(z, np.uint64) for z in answers.column("windows")]])
+        lowest = np.concatenate([np.zeros(0, np.int64), *[array_of(z, np.int64) for z in answers.column("lowest")]])
         windows, one = np.unique(windows, return_index=True)
         lowest = lowest[one]
         total, removed, kept = [], [], []
