@@ -1,11 +1,16 @@
-"""Named queries over the reference's operators, with their SQL."""
+"""Named queries over the library's operators, with their SQL."""
 
 from __future__ import annotations
 
+from lociflow.plans import graph_queries, locus_queries, transcript_queries
+from lociflow.plans.locus_queries import locus_summary  # noqa: F401
+
+ALL = {**locus_queries.QUERIES, **graph_queries.QUERIES, **transcript_queries.QUERIES}
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
