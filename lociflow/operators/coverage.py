@@ -29,7 +29,7 @@ def stretch_stats(stretches: DataFrame, segs: DataFrame, keys: Sequence[str], le
     length = (F.col(right) - F.col(left)).cast("double")
     ave = F.col("area") / length
     spread = (F.col("_squares") - 2 * ave * F.col("area") + ave * ave * F.col("covered")) / length
-    known = sums.select(*own, "max", "area", "covered", ave.alias("ave"), F.sqrt(F.greatest(spread, F.lit(0.0))).alias("dev"))
+    known = sums.select(*own, "max", "area", "covered", ave.alias("ave"), F.when(F.col("area").isNotNull(), F.sqrt(F.greatest(spread, F.lit(0.0)))).alias("dev"))
     return stretches.join(known, own, "left").fillna({"max": 0, "area": 0, "covered": 0, "ave": 0.0, "dev": 1.0})
 
 
