@@ -40,14 +40,15 @@ def drop_boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     dropped = held.join(common, ["_host", "h1", "h2"]).groupBy("_host", "_id", "_k0", "_k1").agg(F.collect_set(F.struct("h1", "h2")).alias("_drop"))
 
     first, second = hash_pair(F.col(text_col))
-    keyed = docs.withColumns({"_j0": first, "_j1": second})
-    on = F.col("_j0").eqNullSafe(F.col("_k0")) & F.col("_j1").eqNullSafe(F.col("_k1")) & F.col(host_col).eqNullSafe(F.col("_host")) & F.col(id_col).eqNullSafe(F.col("_id"))
-    joined = keyed.join(dropped, on, "left")
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: (_key(x) == "") | ~F.array_contains(F.col("_drop"), _line_hash(x))))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id1"), F.col(host_col).alias("_host1"), first.alias("_j0"), second.alias("_j1"), lines.alias("_ls"))
+    on = F.col("_j0").eqNullSafe(F.col("_k0")) & F.col("_j1").eqNullSafe(F.col("_k1")) & F.col("_host1").eqNullSafe(F.col("_host")) & F.col("_id1").eqNullSafe(F.col("_id"))
+    kept = F.when(F.col("_drop").isNull(), F.col("_ls")).otherwise(F.filter("_ls", lambda x: (_key(x) == "") | ~F.array_contains(F.col("_drop"), _line_hash(x))))
+    joined = keyed.join(dropped, on, "left").withColumn("_kept", kept)
+    n = F.coalesce(F.size("_ls"), F.lit(0))
     return joined.select(
-        *[F.when(F.col(text_col).isNotNull(), F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).alias("n_dropped"),
+        *[F.when(F.col("_ls").isNotNull(), F.array_join("_kept", "\n")).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
+        F.when(F.col("_ls").isNull(), 0).otherwise(n).alias("n_lines"),
+        F.when(F.col("_ls").isNull(), 0).otherwise(n - F.size("_kept")).alias("n_dropped"),
     )
 
 

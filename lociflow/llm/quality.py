@@ -280,7 +280,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The documents that classify() keeps, unchanged."""
     good = classify(docs, labels, id_col, text_col, lang_col, **options).where("keep").select("k0", "k1").distinct()
     k0, k1 = hash_pair(F.col(id_col), F.col(lang_col), F.col(text_col))
-    return docs.withColumns({"k0": k0, "k1": k1}).join(good, ["k0", "k1"], "left_semi").select(*docs.columns)
+    return docs.select(F.struct(*docs.columns).alias("row"), k0.alias("k0"), k1.alias("k1")).join(good, ["k0", "k1"], "left_semi").select("row.*")
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:
