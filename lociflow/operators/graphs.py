@@ -37,15 +37,15 @@ def kmers(rows: DataFrame, keys: Sequence[str], order: Sequence[str], label: str
 def propagate(sources: DataFrame, edges: DataFrame, rounds: int, how: str) -> DataFrame:
     """v, value over the vertices that sources (v, value) reach in `rounds` steps of layered edges (s, t, w; each leads one layer on).
 
-    count: how many paths lead there; widest: the largest smallest weight of a path; hops: the fewest steps. Each step is one join and one aggregate by vertex,
+    count: how many paths lead there; widest: the largest smallest weight of a path; hops: the fewest steps; closest: the least sum of weights. Each step is one join and one aggregate by vertex,
     never a row for each path.
     """
-    step = {"count": lambda: F.sum("value"), "widest": lambda: F.max(F.least("value", "w")), "hops": lambda: F.min(F.col("value") + 1)}[how]
+    step = {"count": lambda: F.sum("value"), "widest": lambda: F.max(F.least("value", "w")), "hops": lambda: F.min(F.col("value") + 1), "closest": lambda: F.min(F.col("value") + F.col("w"))}[how]
     reached = front = sources.select("v", "value")
     for _ in range(rounds):
         front = front.join(edges, F.col("v") == F.col("s")).groupBy(F.col("t").alias("v")).agg(step().alias("value"))
         reached = reached.unionByName(front)
-    merge = {"count": F.sum, "widest": F.max, "hops": F.min}[how]
+    merge = {"count": F.sum, "widest": F.max, "hops": F.min, "closest": F.min}[how]
     return reached.groupBy("v").agg(merge("value").alias("value"))
 
 
@@ -117,6 +117,34 @@ def extended_boundaries(vertices: DataFrame, edges: DataFrame, keys: Sequence[st
     return starts.unionByName(ends)
 
 
+def heaviest_edges(edges: DataFrame, labels: DataFrame, keys: Sequence[str], least: float) -> DataFrame:
+    """keys, label, s, t, w: the heaviest inner edge of each component (labels: keys, v, label), if it weighs `least`."""
+    of = edges.where("kind IN ('junction', 'adjacent')").join(labels.withColumnRenamed("v", "s"), [*keys, "s"])
+    return of.groupBy(*keys, "label").agg(F.max(F.struct("w", "s", "t")).alias("_m")).where(F.col("_m.w") >= least).select(*keys, "label", "_m.s", "_m.t", "_m.w")
+
+
+def thin_chains(vertices: DataFrame, keys: Sequence[str], most: float = 2.0, reach: int = 2000, least: int = 5) -> DataFrame:
+    """keys, l, r, n: runs of at least `least` vertices no heavier than `most`, each within `reach` of the one before."""
+    w = Window.partitionBy(*keys).orderBy("l")
+    cut = vertices.where(F.col("w") <= most).withColumn("_new", F.when(F.col("l") - F.lag("r").over(w) <= reach, 0).otherwise(1))
+    return cut.withColumn("_k", F.sum("_new").over(w)).groupBy(*keys, "_k").agg(F.min("l").alias("l"), F.max("r").alias("r"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("_k")
+
+
+def disconnected(edges: DataFrame, vertices: DataFrame, rounds: int, source: object, sink: object) -> DataFrame:
+    """v: vertices that the source doesn't reach, or that don't reach the sink, within `rounds` steps."""
+    spark_one = lambda v: vertices.where(F.col("v") == F.lit(v)).select("v", F.lit(0).cast("long").alias("value"))
+    there = propagate(spark_one(source), edges, rounds, "hops").select("v")
+    back = propagate(spark_one(sink), edges.select(F.col("t").alias("s"), F.col("s").alias("t"), "w"), rounds, "hops").select("v")
+    return vertices.select("v").join(there.intersect(back), "v", "left_anti")
+
+
+def random_dag(spark, n: int, m: int, seed: int, most: int = 20) -> DataFrame:
+    """s, t, w: m random upward edges at most among n vertices, equal for equal seeds."""
+    a, b = F.floor(F.rand(seed) * n).cast("int"), F.floor(F.rand(seed + 1) * n).cast("int")
+    drawn = spark.range(m).select(a.alias("a"), b.alias("b"), (F.floor(F.rand(seed + 2) * most) + 1).cast("double").alias("w")).where("a <> b")
+    return drawn.groupBy(F.least("a", "b").alias("s"), F.greatest("a", "b").alias("t")).agg(F.max("w").alias("w"))
+
+
 def _widest(edges: dict[tuple[int, int], float], through: list[int], sink: int) -> tuple[list[int], float]:
     """The path from 0 to sink over the vertices `through`, in order, whose lightest edge is heaviest."""
     into: dict[int, list[int]] = {}

@@ -39,6 +39,22 @@ def not_contained(rows: DataFrame, keys: Sequence[str], order: Sequence[str], le
     return rows.withColumn("_far", F.max(right).over(w)).where(F.col("_far").isNull() | (F.col(right) > F.col("_far"))).drop("_far")
 
 
+def gene_features(trs: DataFrame) -> DataFrame:
+    """gene_id, n, coverage, start, end, boundaries (distinct exon ends, ascending) over transcripts (gene_id, coverage, exons)."""
+    ends = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.concat(F.transform("exons", lambda e: e["l"]), F.transform("exons", lambda e: e["r"]))))))
+    first, last = F.col("exons")[0]["l"], F.element_at("exons", -1)["r"]
+    return trs.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n"), F.sum("coverage").alias("coverage"), F.min(first).alias("start"), F.max(last).alias("end"), ends.alias("boundaries"))
+
+
+def joined_neighbours(rows: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
+    """Single-exon transcripts (keys, l, r, coverage) joined where at most `gap` apart: keys, l, r, n, coverage (by length)."""
+    w = Window.partitionBy(*keys).orderBy("l", "r")
+    reach = F.max("r").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = rows.withColumn("_new", F.when(reach.isNull() | (F.col("l") > reach + gap), 1).otherwise(0))
+    size = F.col("r") - F.col("l")
+    return cut.withColumn("_k", F.sum("_new").over(w)).groupBy(*keys, "_k").agg(F.min("l").alias("l"), F.max("r").alias("r"), F.count(F.lit(1)).alias("n"), (F.sum(F.col("coverage") * size) / F.sum(size)).alias("coverage")).drop("_k")
+
+
 def consensus(runs: DataFrame, keys: Sequence[str], least_multi: int = 5, least_single: int = 11, n_runs: int = 10) -> DataFrame:
     """keys, introns, cnt, coverage, start, end of transcripts that enough runs agree on.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.functions import alignments as A
-from lociflow.operators import graphs, junctions, transcripts
+from lociflow.operators import bridging, graphs, junctions, transcripts
 from lociflow.operators.components import components
 from lociflow.plans.locus_queries import BASE, _junctions, _regions, _segments
 from lociflow.sources.shared import written
@@ -135,6 +135,34 @@ def path_to_exons(spark, d):
     return out.select("tid", "bid", "k", F.explode("exons").alias("e")).select("tid", "bid", "k", "e.l", "e.r")
 
 
+def graph_closest_path(spark, d):
+    e = _layered(spark, d)
+    return graphs.propagate(_starts(e, 0), e, LAYERS - 1, "closest")
+
+
+def thin_chains(spark, d):
+    return graphs.thin_chains(_graph(spark, d)[0], ["tid", "bid"], most=3.0, least=2)
+
+
+def locus_graph_components(spark, d):
+    """The heaviest inner edge of each locus's components without source and sink."""
+    v, e = _graph(spark, d)
+    inner = e.where("kind IN ('junction', 'adjacent')")
+    code = F.col("tid") * 1_000_000_000 + F.col("bid") * 10_000
+    labels = components(inner.select((code + F.col("s")).alias("a"), (code + F.col("t")).alias("b")))
+    own = labels.select(F.floor(F.col("node") / 1_000_000_000).alias("tid"), (F.floor(F.col("node") / 10_000) % 100_000).alias("bid"), (F.col("node") % 10_000).cast("int").alias("v"), (F.col("label") % 10_000).cast("int").alias("label"))
+    return graphs.heaviest_edges(e, own, ["tid", "bid"], 1.5).select("tid", "bid", "label", "s", "t", F.round("w", 6).alias("w"))
+
+
+def bridge_paths(spark, d):
+    """The widest ways from each locus's first exon to its last."""
+    v, e = _graph(spark, d)
+    ends = v.groupBy("tid", "bid").agg(F.min("v").alias("s"), F.max("v").alias("t")).where("s < t")
+    lengths = v.select("tid", "bid", "v", (F.col("r") - F.col("l")).alias("length"))
+    out = bridging.widest_bridges(ends, e.where("kind IN ('junction', 'adjacent')"), lengths, 6, ["tid", "bid"])
+    return out.select("tid", "bid", "rank", F.array_join("path", ">").alias("path"), "length")
+
+
 def run_length_codec(spark, d):
     u = read(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.array_distinct(F.collect_list((F.col("event_id") % 97).cast("int")))).alias("v"))
     runs = u.withColumn("runs", A.run_length_encode(F.col("v")))
@@ -184,6 +212,13 @@ QUERIES = {
         extended_boundaries,
         BASE + PEX + ", kv AS (SELECT p.tid, p.bid, p.v, p.w * 20 AS wv, win, wout, sink FROM pex p JOIN deg ON deg.tid = p.tid AND deg.bid = p.bid AND deg.v = p.v JOIN snk ON snk.tid = p.tid AND snk.bid = p.bid) SELECT tid, bid, 0 AS s, v AS t, round(wv - win, 6) AS w, 'start' AS kind FROM kv k WHERE wv >= 10 * win * win + 10 AND wv >= win AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.tid = k.tid AND e.bid = k.bid AND e.t = k.v AND kind = 'start') UNION ALL SELECT tid, bid, v, sink, round(wv - wout, 6), 'end' FROM kv k WHERE wv >= 10 * wout * wout + 10 AND wv >= wout AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.tid = k.tid AND e.bid = k.bid AND e.s = k.v AND kind = 'end')",
     ),
+    "graph_closest_path": (graph_closest_path, f"WITH RECURSIVE {LAY}, r AS (SELECT DISTINCT s AS v, CAST(0 AS BIGINT) AS x FROM lay WHERE s LIKE '0:%' UNION ALL SELECT t, x + w FROM r JOIN lay ON v = s) SELECT v, min(x) AS value FROM r GROUP BY v"),
+    "thin_chains": (thin_chains, BASE + PEX + ", tc AS (SELECT *, CASE WHEN l - lag(r) OVER (PARTITION BY tid, bid ORDER BY l) <= 2000 THEN 0 ELSE 1 END AS new FROM pex WHERE w <= 3.0), tk AS (SELECT *, sum(new) OVER (PARTITION BY tid, bid ORDER BY l) AS kk FROM tc) SELECT tid, bid, min(l) AS l, max(r) AS r, count(*) AS n FROM tk GROUP BY tid, bid, kk HAVING count(*) >= 2"),
+    "locus_graph_components": (
+        locus_graph_components,
+        BASE.replace("WITH ", "WITH RECURSIVE ", 1) + PEX + ", und AS (SELECT tid, bid, s AS a, t AS b FROM inn UNION SELECT tid, bid, t, s FROM inn), rea AS (SELECT tid, bid, a AS v, a AS root FROM und UNION SELECT u.tid, u.bid, u.b, x.root FROM rea x JOIN und u ON u.tid = x.tid AND u.bid = x.bid AND u.a = x.v), lab AS (SELECT tid, bid, v, min(root) AS label FROM rea GROUP BY tid, bid, v) SELECT tid, bid, label, s, t, round(w, 6) AS w FROM (SELECT i.tid, i.bid, label, s, t, w, row_number() OVER (PARTITION BY i.tid, i.bid, label ORDER BY w DESC, s DESC, t DESC) AS kk FROM inn i JOIN lab ON lab.tid = i.tid AND lab.bid = i.bid AND lab.v = i.s) WHERE kk = 1 AND w >= 1.5",
+    ),
+    "bridge_paths": (bridge_paths, None),
     "decomposition": (decomposition, None),
     "path_to_exons": (path_to_exons, None),
     "run_length_codec": (run_length_codec, "WITH v AS (SELECT DISTINCT user_id, event_id % 97 AS x FROM events), g AS (SELECT user_id, x - row_number() OVER (PARTITION BY user_id ORDER BY x) AS k FROM v) SELECT user_id, CAST(count(DISTINCT k) AS INT) AS n_runs, true AS same FROM g GROUP BY user_id"),

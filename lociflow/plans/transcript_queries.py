@@ -37,6 +37,16 @@ def nested_containment(spark, d):
     return transcripts.nested(rows, introns, ["tid"]).select("id.tid", F.col("id.lpos").alias("l"), F.col("id.rpos").alias("r"))
 
 
+def gene_features(spark, d):
+    t = _transcripts(spark, d).withColumn("gene_id", F.col("tid") % 100)
+    return transcripts.gene_features(t).select("gene_id", "n", "coverage", "start", "end", F.size("boundaries").alias("n_boundaries"))
+
+
+def joined_neighbours(spark, d):
+    rows = alignments(spark, d).where("xs = '.'").select("tid", F.col("pos").alias("l"), F.col("rpos").alias("r"), (F.col("hid") % 7 + 1).cast("double").alias("coverage"))
+    return transcripts.joined_neighbours(rows, ["tid"], 30).select("tid", "l", "r", "n", F.round("coverage", 6).alias("coverage"))
+
+
 def consensus_merge(spark, d):
     rows = alignments(spark, d).select("tid", "xs", F.array().cast("array<struct<l:int,r:int>>").alias("introns"), F.lit(1.0).alias("coverage"), F.col("pos").alias("start"), F.col("rpos").alias("end"))
     return transcripts.consensus(rows, ["tid", "xs"], least_single=5).select("tid", "xs", "cnt", "coverage", "start", "end")
@@ -104,6 +114,11 @@ QUERIES = {
         f"WITH {ALN_SQL} SELECT tid, pos, rpos, qid, ln, hid FROM (SELECT *, max(rpos) OVER (PARTITION BY tid ORDER BY pos, rpos DESC, qid, ln, hid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM aln) WHERE far IS NULL OR rpos > far",
     ),
     "nested_containment": (nested_containment, BASE + "SELECT DISTINCT tid, rpos AS l, nx AS r FROM nxt n WHERE xs = '+' AND nx > rpos AND EXISTS (SELECT 1 FROM aln a WHERE a.tid = n.tid AND a.xs = '-' AND a.pos > n.rpos AND a.rpos < n.nx)"),
+    "gene_features": (gene_features, MERGED + ', gb AS (SELECT tid % 100 AS gene_id, count(DISTINCT x) AS nb FROM (SELECT tid, l AS x FROM exo e WHERE EXISTS (SELECT 1 FROM trs t WHERE t.tid = e.tid AND t.bid = e.bid) UNION ALL SELECT tid, r FROM exo) GROUP BY 1) SELECT tid % 100 AS gene_id, count(*) AS n, sum(coverage) AS coverage, min("start") AS "start", max("end") AS "end", CAST(any_value(nb) AS INT) AS n_boundaries FROM trs JOIN gb ON gb.gene_id = tid % 100 GROUP BY 1'),
+    "joined_neighbours": (
+        joined_neighbours,
+        f"WITH {ALN_SQL}, s AS (SELECT tid, pos AS l, rpos AS r, CAST(hid % 7 + 1 AS DOUBLE) AS c FROM aln WHERE xs = '.'), n AS (SELECT *, CASE WHEN l <= max(r) OVER (PARTITION BY tid ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 30 THEN 0 ELSE 1 END AS new FROM s), k AS (SELECT *, sum(new) OVER (PARTITION BY tid ORDER BY l, r ROWS UNBOUNDED PRECEDING) AS kk FROM n) SELECT tid, min(l) AS l, max(r) AS r, count(*) AS n, round(sum(c * (r - l)) / sum(r - l), 6) AS coverage FROM k GROUP BY tid, kk",
+    ),
     "consensus_merge": (consensus_merge, f"WITH {ALN_SQL} SELECT tid, xs, count(*) AS cnt, 1.0::DOUBLE AS coverage, min(pos) AS \"start\", max(rpos) AS \"end\" FROM aln GROUP BY tid, xs, floor((pos + rpos) / 10000.0) HAVING count(*) >= 5"),
     "rpkm_tpm": (rpkm_tpm, "SELECT l_orderkey, l_linenumber, round(l_quantity * 1e9 / sum(l_suppkey + 1) OVER (), 3) AS rpkm, round(l_quantity * 1e6 / sum(l_quantity) OVER (), 3) AS tpm FROM lineitem"),
     "best_overlap_gene": (

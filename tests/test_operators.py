@@ -186,3 +186,41 @@ def test_late_rows_are_told():
     state = State()
     out = pd.concat(close_on_gap(5)((1, "+"), iter([pd.DataFrame({"pos": [50, 200], "rpos": [60, 210]})]), state))
     assert out.values.tolist() == [[1, "+", 50, 60, 1, True], [1, "+", 100, 120, 2, False]] and state.now == (200, 210, 1)
+
+
+def test_bridges_by_brute_force(spark):
+    from lociflow.operators import bridging
+
+    r = random.Random(12)
+    edges = {(s, t): float(r.randint(1, 9)) for s in range(8) for t in range(s + 1, 8) if r.random() < 0.6}
+    length = {v: r.randint(1, 50) for v in range(8)}
+
+    def walk(path):
+        if path[-1] == 7:
+            yield path
+        for s, t in edges:
+            if s == path[-1] and t <= 7:
+                yield from walk([*path, t])
+
+    scored = sorted(((sorted([*(edges[e] for e in zip(p, p[1:])), *[bridging.UNLIMITED] * 5])[:5], sum(length[v] for v in p), p) for p in walk([0])), key=lambda x: ([-y for y in x[0]], x[1], x[2]))[:10]
+    one = spark.createDataFrame([(1, 0, 7)], "g int, s int, t int")
+    e = spark.createDataFrame([(1, s, t, w) for (s, t), w in edges.items()], "g int, s int, t int, w double")
+    v = spark.createDataFrame([(1, k, n) for k, n in length.items()], "g int, v int, length int")
+    got = bridging.widest_bridges(one, e, v, 7, ["g"]).orderBy("rank").collect()
+    assert [(list(x.stack), x.length, list(x.path)) for x in got] == scored
+    fragments = spark.createDataFrame([(1, 0, 7, k, 0) for k in range(3)], "g int, s int, t int, fragment int, extra int")
+    won = bridging.vote(bridging.widest_bridges(one, e, v, 7, ["g"]), fragments, ["g", "s", "t"], scored[1][1], scored[1][1]).first()
+    assert won.votes == 3 and won.rank <= 2
+    nobody = bridging.vote(bridging.widest_bridges(one, e, v, 7, ["g"]), fragments, ["g", "s", "t"], -9, -8).first()
+    assert (nobody.rank, nobody.votes) == (1, 0)
+
+
+def test_disconnected_vertices(spark):
+    e = spark.createDataFrame([("s", "a", 1), ("a", "t", 1), ("s", "b", 1), ("c", "t", 1)], "s string, t string, w int")
+    v = spark.createDataFrame([(x,) for x in "sabct"], "v string")
+    assert rows_of(graphs.disconnected(e, v, 3, "s", "t"), "v") == [("b",), ("c",)]
+
+
+def test_random_dag_is_seeded(spark):
+    a, b = (rows_of(graphs.random_dag(spark, 20, 60, 5), "s", "t", "w") for _ in range(2))
+    assert a == b and all(s < t for s, t, _ in a)
