@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociflow.operators.running import running
+from lociflow.operators.running import following, running
 
 BIN = 4096
 
@@ -17,7 +17,7 @@ def segments(intervals: DataFrame, keys: Sequence[str] = ("tid",), left: str = "
     ends = intervals.select(*keys, F.explode(F.array(F.struct(F.col(left).alias("p"), F.lit(1).alias("d")), F.struct(F.col(right).alias("p"), F.lit(-1).alias("d")))).alias("e"))
     points = ends.groupBy(*keys, F.col("e.p").alias("p")).agg(F.sum("e.d").cast("long").alias("d"))
     swept = running(points, keys, F.floor(F.col("p") / bin_width), ["p"], F.col("d"), "sum", "cov")
-    return swept.withColumn("q", F.lead("p").over(Window.partitionBy(*keys).orderBy("p"))).where("cov > 0 AND q IS NOT NULL").select(*keys, "p", "q", F.col("cov").cast("long").alias("cov"))
+    return following(swept, keys, F.floor(F.col("p") / bin_width), ["p"], "p", "q").where("cov > 0 AND q IS NOT NULL").select(*keys, "p", "q", F.col("cov").cast("long").alias("cov"))
 
 
 def stretch_stats(stretches: DataFrame, segs: DataFrame, keys: Sequence[str], left: str = "lpos", right: str = "rpos") -> DataFrame:
@@ -33,11 +33,13 @@ def stretch_stats(stretches: DataFrame, segs: DataFrame, keys: Sequence[str], le
     return stretches.join(known, own, "left").fillna({"max": 0, "area": 0, "covered": 0, "ave": 0.0, "dev": 1.0})
 
 
-def islands(segs: DataFrame, keys: Sequence[str] = ("tid",), gap: int = 0, left: str = "p", right: str = "q") -> DataFrame:
+def islands(segs: DataFrame, keys: Sequence[str] = ("tid",), gap: int = 0, left: str = "p", right: str = "q", bin_width: int = BIN) -> DataFrame:
     """keys, l, r: segments joined where at most `gap` lies between them."""
-    w = Window.partitionBy(*keys).orderBy(left)
-    cut = segs.withColumn("_new", F.when(F.col(left) > F.coalesce(F.lag(right).over(w), F.col(left) - gap - 1) + gap, 1).otherwise(0))
-    return cut.withColumn("_k", F.sum("_new").over(w)).groupBy(*keys, "_k").agg(F.min(left).alias("l"), F.max(right).alias("r")).drop("_k")
+    bins = F.floor(F.col(left) / bin_width)
+    reached = running(segs, keys, bins, [left, right], F.col(right), "max", "_reached", with_own=False)
+    new = F.when(F.col("_reached").isNull() | (F.col(left) > F.col("_reached") + gap), 1).otherwise(0)
+    cut = running(reached, keys, bins, [left, right], new, "sum", "_k")
+    return cut.groupBy(*keys, "_k").agg(F.min(left).alias("l"), F.max(right).alias("r")).drop("_k")
 
 
 def covering(points: DataFrame, segs: DataFrame, keys: Sequence[str], point: str = "x") -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.operators.running import running
+from lociflow.operators.running import following, running
 from lociflow.sources.tables import ORDER
 
 BIN = 4096
@@ -37,10 +37,10 @@ def locus_strand(assigned: DataFrame, keys: Sequence[str] = ("tid",)) -> DataFra
     return votes.select(*keys, "bid", F.when(F.col("p") > F.col("q"), "+").when(F.col("p") < F.col("q"), "-").otherwise(".").alias("strand"))
 
 
-def next_block(aln: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
+def next_block(aln: DataFrame, order: Sequence[str] = ORDER, bin_width: int = BIN) -> DataFrame:
     """aln with nxt: where the next alignment of its sequence and strand starts, if that leaves an intron behind this one, else null."""
-    after = F.lead("pos").over(Window.partitionBy("tid", "xs").orderBy(*order))
-    return aln.withColumn("nxt", F.when(after > F.col("rpos"), after))
+    after = following(aln, ["tid", "xs"], F.floor(F.col(order[0]) / bin_width), order, "pos", "nxt")
+    return after.withColumn("nxt", F.when(F.col("nxt") > F.col("rpos"), F.col("nxt")))
 
 
 def route_strands(aln: DataFrame, strand: str = "xs", spliced: str = "spliced") -> DataFrame:

@@ -22,3 +22,13 @@ def running(df: DataFrame, keys: Sequence[str], bin_by: Column, order: Sequence[
     both = rows.withColumn("_here", f("_value").over(window)).join(carried, [*keys, "_bin"])
     value_now = F.greatest("_here", "_carry") if how == "max" else F.coalesce("_here", F.lit(0)) + F.coalesce("_carry", F.lit(0))
     return both.select(*df.columns, value_now.alias(name))
+
+
+def following(df: DataFrame, keys: Sequence[str], bin_by: Column, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """df with `name`: value of the next row within keys, in `order`, null for the last; cut into bins as in running()."""
+    rows = df.withColumn("_bin", bin_by)
+    by_bin = Window.partitionBy(*keys).orderBy("_bin")
+    first = rows.groupBy(*keys, "_bin").agg(F.min(F.struct(*order, F.col(value).alias("_value"))).alias("_first"))
+    first = first.withColumn("_next", F.lead("_first").over(by_bin)).select(*keys, "_bin", F.col("_next._value").alias("_next"))
+    here = rows.withColumn("_here", F.lead(value).over(Window.partitionBy(*keys, "_bin").orderBy(*order)))
+    return here.join(first, [*keys, "_bin"]).select(*df.columns, F.coalesce("_here", "_next").alias(name))

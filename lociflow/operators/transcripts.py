@@ -72,13 +72,13 @@ def expression(rows: DataFrame, coverage: str, length: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(total)).withColumns({"rpkm": F.col(coverage) * 1e9 / F.col("_bases"), "tpm": F.col(coverage) * 1e6 / F.col("_all")}).drop("_bases", "_all")
 
 
-def best_overlap(queries: DataFrame, targets: DataFrame, bin_width: int = 64) -> DataFrame:
-    """qid, tid, overlap: for each query (qid, l, r) the target (tid, l, r) that overlaps it most, the lowest tid on ties. Both sides meet in bins of the coordinate."""
+def best_overlap(queries: DataFrame, targets: DataFrame, keys: Sequence[str], bin_width: int = 64) -> DataFrame:
+    """qid, id, overlap: for each query (keys, qid, l, r) the target (keys, id, l, r) that overlaps it most, the lowest id on ties. Both sides meet in bins of the coordinate."""
     bins = lambda l, r: F.explode(F.sequence(F.floor(F.col(l) / bin_width), F.floor((F.col(r) - 1) / bin_width)))
     q = queries.where("r > l").withColumn("_bin", bins("l", "r"))
-    t = targets.where("r > l").select("tid", F.col("l").alias("tl"), F.col("r").alias("tr")).withColumn("_bin", bins("tl", "tr"))
-    both = q.join(t, "_bin").where("tl < r AND l < tr").select("qid", "tid", (F.least("r", "tr") - F.greatest("l", "tl")).alias("overlap"))
-    return both.groupBy("qid").agg(F.max(F.struct("overlap", (-F.col("tid")).alias("back"))).alias("_m")).select("qid", (-F.col("_m.back")).alias("tid"), "_m.overlap")
+    t = targets.where("r > l").select(*keys, "id", F.col("l").alias("tl"), F.col("r").alias("tr")).withColumn("_bin", bins("tl", "tr"))
+    both = q.join(t, [*keys, "_bin"]).where("tl < r AND l < tr").select("qid", "id", (F.least("r", "tr") - F.greatest("l", "tl")).alias("overlap"))
+    return both.groupBy("qid").agg(F.max(F.struct("overlap", (-F.col("id")).alias("back"))).alias("_m")).select("qid", (-F.col("_m.back")).alias("id"), "_m.overlap")
 
 
 def compare(reference: DataFrame, predicted: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -68,9 +68,11 @@ def graph_max_edge(spark, d):
 
 
 def graph_components(spark, d):
-    e = read(spark, d, "lineitem").where("l_quantity = 50 AND l_linenumber = 1")
-    links = e.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") * 7 + F.col("l_orderkey") % 7 + 10_000_000).alias("b"))
-    return components(links).select("node", "label")
+    """Events linked to the user's next within six hours, as a graph: its components."""
+    e = _events(spark, d).select("user_id", F.col("event_id").alias("a"), F.unix_timestamp("ts").alias("at"))
+    w = Window.partitionBy("user_id").orderBy("at", "a")
+    links = e.select("a", "at", F.lead("a").over(w).alias("b"), F.lead("at").over(w).alias("then")).where("then - at <= 21600")
+    return components(links.select("a", "b")).select("node", "label")
 
 
 def graph_path_count(spark, d):
@@ -195,7 +197,7 @@ QUERIES = {
     "graph_max_edge": (graph_max_edge, f"WITH {EDG} SELECT s, t, w FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY w DESC, t DESC) AS k FROM edg) WHERE k = 1"),
     "graph_components": (
         graph_components,
-        "WITH RECURSIVE e AS (SELECT l_partkey AS a, l_suppkey * 7 + l_orderkey % 7 + 10000000 AS b FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON r.node = u.a) SELECT node, min(root) AS label FROM r GROUP BY node",
+        "WITH e AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events), c AS (SELECT *, CASE WHEN s - lag(s) OVER w <= 21600 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)), k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s, event_id) AS k FROM c) SELECT event_id AS node, min(event_id) OVER (PARTITION BY user_id, k) AS label FROM k QUALIFY count(*) OVER (PARTITION BY user_id, k) > 1",
     ),
     "graph_path_count": (graph_path_count, f"WITH RECURSIVE {LAY}, r AS (SELECT DISTINCT s AS v FROM lay WHERE s LIKE '0:%' UNION ALL SELECT t FROM r JOIN lay ON v = s) SELECT v, count(*) AS value FROM r GROUP BY v"),
     "graph_widest_path": (graph_widest_path, f"WITH RECURSIVE {LAY}, r AS (SELECT DISTINCT s AS v, CAST(1099511627776 AS BIGINT) AS x FROM lay WHERE s LIKE '0:%' UNION ALL SELECT t, least(x, w) FROM r JOIN lay ON v = s) SELECT v, max(x) AS value FROM r GROUP BY v HAVING max(x) < 1099511627776"),

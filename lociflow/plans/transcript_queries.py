@@ -59,10 +59,11 @@ def rpkm_tpm(spark, d):
 
 
 def best_overlap_gene(spark, d):
+    """For each order, as a stretch of 30 days on the sequence of its customer's number, the locus that overlaps it most."""
     day = F.datediff("o_orderdate", F.lit("1995-01-01").cast("date"))
-    q = read(spark, d, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("qid"), day.alias("l"), (day + 30).alias("r"))
-    t = alignments(spark, d).where("tid % 10 = 0").groupBy("tid").agg(F.min("pos").alias("l"), F.max("rpos").alias("r"))
-    return transcripts.best_overlap(q, t)
+    q = read(spark, d, "orders").select(F.col("o_custkey").alias("tid"), F.col("o_orderkey").alias("qid"), day.alias("l"), (day + 30).alias("r"))
+    t = _loci(spark, d).select("tid", F.col("bid").alias("id"), F.col("lpos").alias("l"), F.col("rpos").alias("r"))
+    return transcripts.best_overlap(q, t, ["tid"])
 
 
 def compare_halves(spark, d):
@@ -123,7 +124,7 @@ QUERIES = {
     "rpkm_tpm": (rpkm_tpm, "SELECT l_orderkey, l_linenumber, round(l_quantity * 1e9 / sum(l_suppkey + 1) OVER (), 3) AS rpkm, round(l_quantity * 1e6 / sum(l_quantity) OVER (), 3) AS tpm FROM lineitem"),
     "best_overlap_gene": (
         best_overlap_gene,
-        f"WITH {ALN_SQL}, q AS (SELECT o_orderkey AS qid, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS l FROM orders WHERE o_orderkey % 20 = 0), t AS (SELECT tid, min(pos) AS l, max(rpos) AS r FROM aln WHERE tid % 10 = 0 GROUP BY tid), b AS (SELECT qid, tid, CAST(least(q.l + 30, t.r) - greatest(q.l, t.l) AS INT) AS overlap FROM q JOIN t ON t.l < q.l + 30 AND q.l < t.r) SELECT qid, tid, overlap FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, tid) AS k FROM b) WHERE k = 1",
+        BASE + ", oq AS (SELECT o_custkey AS tid, o_orderkey AS qid, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS l FROM orders), ob AS (SELECT qid, bid AS id, CAST(least(q.l + 30, t.rpos) - greatest(q.l, t.lpos) AS INT) AS overlap FROM oq q JOIN bun t ON q.tid = t.tid AND t.lpos < q.l + 30 AND q.l < t.rpos) SELECT qid, id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, id) AS kk FROM ob) WHERE kk = 1",
     ),
     "compare_halves": (compare_halves, f"WITH {ALN_SQL}, a AS (SELECT DISTINCT tid, pos FROM aln WHERE hid % 2 = 0), b AS (SELECT DISTINCT tid, pos FROM aln WHERE hid % 2 = 1) SELECT (SELECT count(*) FROM a JOIN b ON a.tid = b.tid AND a.pos = b.pos) AS tp, (SELECT count(*) FROM (FROM b EXCEPT FROM a)) AS fp, (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS fn"),
     "set_ops": (
