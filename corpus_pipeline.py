@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.llm import decontaminate, jaccard_join, line_dedup, packing, quality
-from lociflow.llm.common import written
+from lociflow.sources.shared import written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,7 +24,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that more than a tenth of their source's texts have."""
-    return _as_documents(line_dedup.drop_boilerplate_lines(docs, ratio=0.1, min_pages=20), docs)
+    return _as_documents(line_dedup.drop_boilerplate_lines(docs, ratio=0.1, min_pages=20, counts=False), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,8 +8,6 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.sources.shared import written  # noqa: F401
-
 #: Raw text bytes that one block of documents is planned to hold.
 BLOCK_BYTES = 16 << 20
 
@@ -25,14 +23,19 @@ def blocks_needed(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES
     return max(least, -(-((total["n"] or 0) + 64 * total["k"]) // block_bytes))
 
 
+def sliced(batches, rows: int = 400):
+    """Arrow batches cut into parts of at most `rows`, so that a task turns few texts at once into Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def compressed(batches):
-    """Arrow batches with the text in the last column compressed (null as empty), the others as they are; a few hundred rows at a time."""
+    """Arrow batches with the text in the last column compressed (null as empty), the others as they are."""
     z = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            packed = pa.array([z.compress((t or "").encode("utf-8", "surrogatepass")) for t in part.column(part.num_columns - 1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], packed], part.schema.names)
+    for batch in sliced(batches):
+        packed = pa.array([z.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], batch.schema.names)
 
 
 def unpacked(column: pa.ChunkedArray):

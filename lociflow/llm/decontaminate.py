@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import FILTER_BITS, bit_rows, has_bit, written
+from lociflow.llm.common import FILTER_BITS, bit_rows, has_bit, sliced
 from lociflow.llm.words import ngrams, parts, words_of
+from lociflow.sources.shared import written
 
 SEED_WORDS = 3
 GAP, MISMATCH = 0.5, 0.5
@@ -70,7 +71,7 @@ def seed_documents(docs: DataFrame, text_col: str, orders: list[int], bits) -> D
     """seed, n: in how many documents each n-gram occurs that the filter lets through, added up within each task first."""
 
     def count(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             seen = []
             for _, run in parts(_lower(batch.column(0).to_pylist())):
                 words = words_of(run)
@@ -99,7 +100,7 @@ def passages(docs: DataFrame, id_col: str, text_col: str, orders: list[int], bit
     """id_col, start (word index), passage (its words, lower case), seeds: the document's words within `margin` words of seed hits, hits that are near in one passage."""
 
     def cut(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             at_row, starts, texts, found = [], [], [], []
             for first, run in parts(_lower(batch.column(1).to_pylist())):
                 words = words_of(run)

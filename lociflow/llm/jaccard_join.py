@@ -5,12 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import array_of, blocks_needed, packed, unpacked, written
+from lociflow.llm.common import array_of, blocks_needed, packed, sliced, unpacked
 from lociflow.operators.components import components
 from lociflow.llm.words import mixed, ngrams, parts, words_of
+from lociflow.sources.shared import written
 
 SHINGLE = 4
 BLOCK = 12 << 20
@@ -52,7 +53,7 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
     """id, n, s1, s2 for each row: the set's size and signature (null: empty)."""
 
     def make(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             n, s1, s2 = [], [], []
             for _, run in parts(_raw(batch.column(1).to_pylist())):
                 for s in shingle_sets(run, shingle):
@@ -77,16 +78,18 @@ def linkable_sets(docs: DataFrame, text_col: str, shingle: int, num: int, den: i
     frequency, then hash, without those that it has alone; `places` their positions in that order.
     `centre` says how frequent its shingles are: a group's original has more than its edited copies.
 
-    One text of each set and input batch is dealt by its signature, so copies meet in a block. Blocks send their shingles' frequencies, sorted and packed, to
+    One text of each set and task, about, is dealt by its signature, so copies meet in a block. Blocks send their shingles' frequencies, sorted and packed, to
     buckets by hash range, and get back those that another set has too.
     """
     blocks = blocks_needed(docs, text_col, BLOCK)
     drop = np.uint64(64 - COUNTED_BITS)
 
     def deal(batches):
-        z = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            seen, rows = set(), []
+        z, seen = zstandard.ZstdCompressor(level=3), set()
+        for batch in sliced(batches):
+            rows = []
+            if len(seen) > 200_000:
+                seen.clear()
             for _, run in parts(_raw(batch.column(0).to_pylist())):
                 for text, s in zip(run, shingle_sets(run, shingle)):
                     if len(s) and (key := _signature(s)) not in seen:

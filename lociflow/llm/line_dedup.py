@@ -17,12 +17,12 @@ def _line_hash(line: Column) -> Column:
     return F.struct(first.alias("h1"), second.alias("h2"))
 
 
-def drop_boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", ratio: float = 0.05, min_pages: int = 20) -> DataFrame:
+def drop_boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", ratio: float = 0.05, min_pages: int = 20, counts: bool = True) -> DataFrame:
     """docs with the lines removed that more than `ratio` of their host's pages contain.
 
     A host's rows with equal texts are one page of it, so that copies don't make boilerplate of what they say; a page counts once for each of its distinct lines,
     compared without surrounding spaces. Hosts with fewer than `min_pages` pages lose nothing. All columns are kept in order, with
-    `text_col` rewritten and `n_lines`, `n_dropped` added last (replacing input columns so named).
+    `text_col` rewritten; with `counts`, `n_lines` and `n_dropped` come last (replacing input columns so named).
 
     Defined cases: a null text stays null with 0 lines; a null host is no host, so its pages stay as they are;
     blank lines are never boilerplate; repeated rows count once and all lose the same lines; rows that share
@@ -45,11 +45,8 @@ def drop_boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     kept = F.when(F.col("_drop").isNull(), F.col("_ls")).otherwise(F.filter("_ls", lambda x: (_key(x) == "") | ~F.array_contains(F.col("_drop"), _line_hash(x))))
     joined = keyed.join(dropped, on, "left").withColumn("_kept", kept)
     n = F.coalesce(F.size("_ls"), F.lit(0))
-    return joined.select(
-        *[F.when(F.col("_ls").isNotNull(), F.array_join("_kept", "\n")).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
-        F.when(F.col("_ls").isNull(), 0).otherwise(n).alias("n_lines"),
-        F.when(F.col("_ls").isNull(), 0).otherwise(n - F.size("_kept")).alias("n_dropped"),
-    )
+    own = [F.when(F.col("_ls").isNotNull(), F.array_join("_kept", "\n")).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
+    return joined.select(*own, *([n.alias("n_lines"), F.when(F.col("_ls").isNull(), 0).otherwise(n - F.size("_kept")).alias("n_dropped")] if counts else []))
 
 
 #: Tags that do not end a line, and what of a page is no text.

@@ -14,7 +14,8 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import written
+from lociflow.llm.common import sliced
+from lociflow.sources.shared import written
 
 CAPACITY, END_ID = 1024, 2
 #: Rows of one length that one task ranks, about.
@@ -54,7 +55,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
     """
 
     def cut(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts, at, rows = batch.column(1).to_pylist(), [], defaultdict(list)
             for i, text in enumerate(texts):
                 ids = np.array([*token_ids(text, tokenizer_path), end_id], "<u4")

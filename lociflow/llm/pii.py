@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.llm.common import sliced
+
 #: Given names by gender (fixed values); a name in a list gets another of its list.
 GIVEN = {
     "f": "Anna Alice Amelia Carla Carmen Charlotte Claire Elena Emma Eva Greta Hannah Helen Ingrid Isabel Jane Julia Karin Laura Lucia Maria Marie Martha Mary Monica Nina Nora Olivia Paula Rosa Ruth Sarah Sofia Susan Teresa Ursula".split(),
@@ -247,7 +249,7 @@ def replace_entities(docs: DataFrame, secret: str, id_col: str = "doc_id", text_
     key, kind = _key(secret), docs.schema[id_col].dataType.simpleString()
 
     def apply(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             made = [(None, []) if t is None else replaced(t, key) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in made], pa.string()), pa.array([[k for k, _, _ in told] for _, told in made], pa.list_(pa.string()))], [id_col, "text", "kinds"])
 
@@ -264,7 +266,7 @@ def entity_table(docs: DataFrame, secret: str, text_col: str = "text") -> DataFr
     key = _key(secret)
 
     def tell(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [(k, canonical(k, a), canonical(k, b)) for t in batch.column(0).to_pylist() if t for k, a, b in replaced(t, key)[1]]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["kind", "original", "surrogate"])
 

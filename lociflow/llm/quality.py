@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import FILTER_BITS, array_of, bit_rows, blocks_needed, compressed, has_bit, hash_pair, packed, unpacked, written
+from lociflow.llm.common import FILTER_BITS, array_of, bit_rows, blocks_needed, compressed, has_bit, hash_pair, packed, sliced, unpacked
 from lociflow.llm.words import mixed
+from lociflow.sources.shared import written
 
 ORDER, BITS = 5, 12
 BEGIN, REST = 1, (1 << BITS) - 1  # classes: before the text; all characters from U+0FFF on
@@ -132,7 +133,7 @@ def distinct_grams(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
     """gram: all grams of the texts once. Tasks send theirs sorted and packed to buckets by hash."""
 
     def cut(batches):
-        grams, _ = _gram_counts(t for batch in batches for t in batch.column(0).to_pylist() if t)
+        grams, _ = _gram_counts(t for batch in sliced(batches) for t in batch.column(0).to_pylist() if t)
         for bucket, own, _ in _dealt(grams, buckets):
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([packed(np.diff(own, prepend=0))], pa.binary())], ["bucket", "grams"])
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import array_of, dealt_in_blocks, packed, unpacked
+from lociflow.llm.common import array_of, dealt_in_blocks, packed, sliced, unpacked
 from lociflow.llm.words import Words, ngrams, parts, single_spaced, slices, words_of
 
 WINDOW, MINIMISER = 13, 3
@@ -28,7 +28,7 @@ def hot_cells(docs: DataFrame, text_col: str, minimiser: int) -> np.ndarray:
 
     def count(batches):
         n = np.zeros(1 << CELL_BITS, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             for _, run in parts((t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()):
                 n += np.bincount(_cells(ngrams(words_of(run), minimiser)[1]), minlength=len(n))
         cells = np.flatnonzero(n > n.sum() * HOT_SHARE)
