@@ -23,11 +23,20 @@ def blocks_needed(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES
     return max(least, -(-((total["n"] or 0) + 64 * total["k"]) // block_bytes))
 
 
+def modest_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """docs; from now on its session sends Python at most `rows` rows at once, as texts are long: the default of 10,000 takes both sides tens of MB a task."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= rows:
+        conf.set(name, str(rows))
+    return docs
+
+
 def sliced(batches, rows: int = 400):
     """Arrow batches cut into parts of at most `rows`, so that a task turns few texts at once into Python objects."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def compressed(batches):
@@ -73,10 +82,11 @@ def bit_rows(slots: DataFrame) -> np.ndarray:
     """A bitmap of 2**FILTER_BITS bits with those set that the column slots (long) names: made in tasks, of one size for any number of rows."""
 
     def make(batches):
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
         for batch in batches:
-            bits[batch.column(0).to_numpy()] = True
-        yield pa.RecordBatch.from_arrays([pa.array([packed(np.packbits(bits, bitorder="little"))], pa.binary())], ["bits"])
+            own = batch.column(0).to_numpy()
+            np.bitwise_or.at(bits, own >> 3, (1 << (own & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([packed(bits)], pa.binary())], ["bits"])
 
     out = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
     for row in slots.coalesce(4).mapInArrow(make, "bits binary").collect():

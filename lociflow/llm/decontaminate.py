@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import FILTER_BITS, bit_rows, has_bit, sliced
+from lociflow.llm.common import bit_rows, FILTER_BITS, has_bit, modest_batches, sliced
 from lociflow.llm.words import ngrams, parts, words_of
 from lociflow.sources.shared import written
 
@@ -167,7 +167,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Nothing of the documents is kept back or moved but the words around seeds. The broadcast is a bitmap of fixed size. An item that very many
     documents hold makes a frequent join key with a single row on the item's side, which Spark broadcasts or splits.
     """
-    spark = docs.sparkSession
+    spark = modest_batches(docs).sparkSession
     seeds = written(item_seeds(benchmark, item_col, item_text_col, n), "seeds")
     lengths = [r["words"] for r in seeds.where(F.col("words") <= n).select("words").distinct().collect()]
     orders = sorted({min(w, n) for w in lengths} | {n})

@@ -8,13 +8,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import array_of, blocks_needed, packed, sliced, unpacked
+from lociflow.llm.common import array_of, blocks_needed, modest_batches, packed, sliced, unpacked
 from lociflow.operators.components import components
 from lociflow.llm.words import mixed, ngrams, parts, words_of
 from lociflow.sources.shared import written
 
 SHINGLE = 4
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 #: Bits of a shingle by which its frequency is counted; another shingle with the same bits can only make it seem more frequent.
 COUNTED_BITS = 40
 
@@ -82,6 +82,7 @@ def linkable_sets(docs: DataFrame, text_col: str, shingle: int, num: int, den: i
     buckets by hash range, and get back those that another set has too.
     """
     blocks = blocks_needed(docs, text_col, BLOCK)
+    buckets = 2 * blocks
     drop = np.uint64(64 - COUNTED_BITS)
 
     def deal(batches):
@@ -113,12 +114,12 @@ def linkable_sets(docs: DataFrame, text_col: str, shingle: int, num: int, den: i
         for s in sets:
             run.append(s >> drop)
             held += len(s)
-            if held > 1 << 21:
+            if held > 1 << 20:
                 done.append(np.unique(np.concatenate(run), return_counts=True))
                 run, held = [], 0
         done += [np.unique(np.concatenate(run), return_counts=True)] if run else []
         tokens, n = _summed(done)
-        edges = np.searchsorted(tokens, (np.arange(1, blocks, dtype=np.float64) / blocks * (1 << COUNTED_BITS)).astype(np.uint64))
+        edges = np.searchsorted(tokens, (np.arange(1, buckets, dtype=np.float64) / buckets * (1 << COUNTED_BITS)).astype(np.uint64))
         cut = [(k, t, c) for k, (t, c) in enumerate(zip(np.split(tokens, edges), np.split(n, edges))) if len(t)]
         return pa.Table.from_arrays([pa.array([k for k, _, _ in cut], pa.int32()), pa.array([number] * len(cut), pa.int32()), pa.array([packed(np.diff(t, prepend=np.uint64(0))) for _, t, _ in cut], pa.binary()), pa.array([packed(c) for _, _, c in cut], pa.binary())], ["bucket", "block", "tokens", "n"])
 
@@ -159,7 +160,7 @@ def linkable_sets(docs: DataFrame, text_col: str, shingle: int, num: int, den: i
         return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["s1", "s2", "n", "centre", "shared", "tokens", "places"])
 
     counted = dealt.groupBy("block").applyInArrow(count, "bucket int, block int, tokens binary, n binary")
-    told = counted.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(answer, "block int, tokens binary, n binary")
+    told = counted.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, "block int, tokens binary, n binary")
     return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(select, "s1 long, s2 long, n long, centre double, shared binary, tokens array<long>, places array<int>")
 
 
@@ -236,7 +237,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The method is exact up to hash collisions (64 bits a shingle, 128 a set). Equal sets are one set from the start. Only the shingles of sets that may have links, and
     only those that other sets have too, are compared.
     """
-    rows = written(set_table(docs, id_col, text_col, shingle), "sets")
+    rows = written(set_table(modest_batches(docs), id_col, text_col, shingle), "sets")
     classes = rows.where("s1 IS NOT NULL").groupBy("s1", "s2").agg(F.min("id").alias("first"))
     sets = written(linkable_sets(docs, text_col, shingle, num, den).join(classes.where("first IS NOT NULL").withColumnRenamed("first", "id"), ["s1", "s2"]).drop("s1", "s2"), "linkable")
     labels = components(set_links(sets, num, den))

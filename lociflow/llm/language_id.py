@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociflow.llm.common import modest_batches
+
 #: Families of language codes (fixed values). A code that is not here is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
@@ -116,7 +118,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
     a short middle part. Features are made on the executors; the driver gets
     per_lang * most_langs * 2 rows at most. None without labelled text.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    labelled = modest_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = labelled.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(most_langs).collect()
     if not counts:
         return None

@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import sliced
+from lociflow.llm.common import modest_batches, sliced
 from lociflow.sources.shared import written
 
 CAPACITY, END_ID = 1024, 2
@@ -168,7 +168,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     Defined cases: a null or empty text is one piece, the end id; a null id is kept; repeated rows are packed
     each on their own; other columns are left out; an empty table gives no rows.
     """
-    return pack_pieces(written(tokenize_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, with_ids), "pieces"), capacity)
+    return pack_pieces(written(tokenize_pieces(modest_batches(docs), tokenizer_path, id_col, text_col, capacity, end_id, with_ids), "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import sliced
+from lociflow.llm.common import modest_batches, sliced
 
 #: Given names by gender (fixed values); a name in a list gets another of its list.
 GIVEN = {
@@ -246,7 +246,7 @@ def replace_entities(docs: DataFrame, secret: str, id_col: str = "doc_id", text_
     Defined cases: a null text stays null, with no kinds; texts without entities are unchanged; equal entities get equal surrogates in any row; other columns are left
     out; an empty table gives no rows.
     """
-    key, kind = _key(secret), docs.schema[id_col].dataType.simpleString()
+    key, kind = _key(secret), modest_batches(docs).schema[id_col].dataType.simpleString()
 
     def apply(batches):
         for batch in sliced(batches):

@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import FILTER_BITS, array_of, bit_rows, blocks_needed, compressed, has_bit, hash_pair, packed, sliced, unpacked
+from lociflow.llm.common import array_of, bit_rows, blocks_needed, compressed, FILTER_BITS, has_bit, hash_pair, modest_batches, packed, sliced, unpacked
 from lociflow.llm.words import mixed
 from lociflow.sources.shared import written
 
 ORDER, BITS = 5, 12
 BEGIN, REST = 1, (1 << BITS) - 1  # classes: before the text; all characters from U+0FFF on
-BLOCK = 24 << 20
-PART = 1 << 20
+BLOCK = 16 << 20
+PART = 1 << 19
 
 
 def grams_of(text: str) -> np.ndarray:
@@ -258,6 +258,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Defined cases: a null or empty text has no perplexity and isn't kept; a null language has the threshold of all; without trusted
     texts nothing is known and all texts are kept; repeated rows get equal results; an empty table gives no rows.
     """
+    modest_batches(docs)
     judged = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 AND t = 0").select(id_col)
     out = F.pmod(F.xxhash64(id_col, F.lit("held out")), F.lit(held_out)) == 0
     model = fit(train_counts(docs, judged.where(~out), id_col, text_col))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import array_of, dealt_in_blocks, packed, sliced, unpacked
+from lociflow.llm.common import array_of, dealt_in_blocks, modest_batches, packed, sliced, unpacked
 from lociflow.llm.words import Words, ngrams, parts, single_spaced, slices, words_of
 
 WINDOW, MINIMISER = 13, 3
@@ -79,7 +79,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     arrive once for each block. A bucket sorts its windows and answers a block only for windows that a smaller id holds.
     Windows are compared by 128 bits in buckets, answers applied by 64 bits within a block.
     """
-    hot = docs.sparkSession.sparkContext.broadcast(hot_cells(docs, text_col, minimiser))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_cells(modest_batches(docs), text_col, minimiser))
     dealt, blocks = dealt_in_blocks(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text", BLOCK)
     buckets = 2 * blocks
 

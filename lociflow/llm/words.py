@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Text bytes taken at once.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
