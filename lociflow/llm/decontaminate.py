@@ -1,20 +1,22 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of the passages around them."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of the passages around them."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import bit_rows, FILTER_BITS, has_bit, modest_batches, sliced
+from lociflow.llm.common import bit_rows, FILTER_BITS, has_bit, hash_pair, modest_batches, sliced
 from lociflow.llm.words import ngrams, parts, words_of
 from lociflow.sources.shared import written
 
 SEED_WORDS = 3
 GAP, MISMATCH = 0.5, 0.5
+STRETCH = 8192  # words of a passage aligned at once
 
 
 def _lower(texts: list[str | None]) -> list[bytes]:
@@ -67,35 +69,6 @@ def _hits(words, orders, bits):
     return at[order], h[order]
 
 
-def seed_documents(docs: DataFrame, text_col: str, orders: list[int], bits) -> DataFrame:
-    """seed, n: in how many documents each n-gram occurs that the filter lets through, added up within each task first."""
-
-    def count(batches):
-        for batch in sliced(batches):
-            seen = []
-            for _, run in parts(_lower(batch.column(0).to_pylist())):
-                words = words_of(run)
-                at, h = _hits(words, orders, bits.value)
-                pairs = np.stack([words.text_of()[at].astype(np.uint64), h]) if len(at) else np.zeros((2, 0), np.uint64)
-                seen.append(np.unique(pairs, axis=1)[1])
-            seeds, n = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(n.astype(np.int64))], ["seed", "n"])
-
-    return docs.select(text_col).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("docs"))
-
-
-def rare_seeds(seeds: DataFrame, counted: DataFrame, rare_docs: int, always: int = 8) -> DataFrame:
-    """The seeds that stand for their item: those in at most `rare_docs` documents, or in at most twice as many as a quarter of the item's own seeds, and always its `always` rarest.
-
-    The second bound follows an item that was copied very often: all its seeds are then frequent, and stay.
-    """
-    known = seeds.join(counted, "seed", "left").fillna(0, ["docs"])
-    by_item = Window.partitionBy("item").orderBy("docs", "seed")
-    ranked = known.withColumns({"nth": F.row_number().over(by_item), "of": F.count(F.lit(1)).over(Window.partitionBy("item"))})
-    quarter = F.max(F.when(F.col("nth") <= F.greatest(F.lit(1), F.ceil(F.col("of") / 4)), F.col("docs"))).over(Window.partitionBy("item"))
-    return ranked.withColumn("most", F.greatest(F.lit(rare_docs), 2 * quarter)).where((F.col("docs") <= F.col("most")) | (F.col("nth") <= always)).select("item", "words", "seed", F.least("of", F.lit(6)).alias("of"))
-
-
 def passages(docs: DataFrame, id_col: str, text_col: str, orders: list[int], bits, margin: int) -> DataFrame:
     """id_col, start (word index), passage (its words, lower case), seeds: the document's words within `margin` words of seed hits, hits that are near in one passage."""
 
@@ -154,44 +127,56 @@ def align(item: list[str], passage: list[str]) -> tuple[float, int, int, int]:
     return score / len(x), matches, j, end
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = SEED_WORDS, threshold: float = 0.4, rare_share: float = 1e-4, least_rare: int = 10) -> DataFrame:
+def best_alignment(item: list[str], passage: list[str], threshold: float) -> tuple[float, int, int, int]:
+    """align(), or zeros where the words that both have can't reach `threshold`. Long passages go in stretches that overlap by more words than a local alignment can span (as many matches as the item has words, two gaps each)."""
+    if sum((Counter(item) & Counter(passage)).values()) < threshold * len(item):
+        return 0.0, 0, 0, 0
+    over, best = 3 * len(item), (0.0, 0, 0, 0)
+    for at in range(0, max(1, len(passage) - over), STRETCH):
+        score, matches, start, end = align(item, passage[at : at + STRETCH + over])
+        best = max(best, (score, matches, at + start, at + end), key=lambda r: r[0])
+    return best
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = SEED_WORDS, threshold: float = 0.4) -> DataFrame:
     """Which documents hold copies of which items, edited ones too: id_col, item, score, matched, from_word, to_word; the best passage for each pair.
 
     `score` is the Smith-Waterman score of the item's words against the document's passage, 1 for a whole copy; pairs of `threshold`
-    or more count. Words are runs without white space, lower case. A passage is aligned with an item that shares two of the item's
-    rare seeds with it (one, if the item has less than six).
+    or more count. Words are runs without white space, lower case. A passage is aligned with every item that
+    shares two seeds with it (one, if the item has less than six), however many documents hold those; equal passages once.
 
     Defined cases: null or empty texts, of documents or items, match nothing; an item of fewer than n words is its own
     only seed; rows of an equal id count as one document; other columns are left out; an empty table on either side gives no rows.
 
-    Nothing of the documents is kept back or moved but the words around seeds. The broadcast is a bitmap of fixed size. An item that very many
-    documents hold makes a frequent join key with a single row on the item's side, which Spark broadcasts or splits.
+    Nothing of the documents is kept back or moved but the words around seeds. The broadcast is a bitmap of fixed size. A passage that very many
+    documents hold makes a frequent join key with a row for each item on the other side, which Spark broadcasts or splits. A seed costs the distinct
+    passages that hold it times the items that do.
     """
     spark = modest_batches(docs).sparkSession
     seeds = written(item_seeds(benchmark, item_col, item_text_col, n), "seeds")
     lengths = [r["words"] for r in seeds.where(F.col("words") <= n).select("words").distinct().collect()]
     orders = sorted({min(w, n) for w in lengths} | {n})
     margin = seeds.agg(F.max("words")).first()[0] or 0
-    every = docs.count()
-    counted = seed_documents(docs, text_col, orders, spark.sparkContext.broadcast(seed_filter(seeds)))
-    rare = written(rare_seeds(seeds, counted, max(least_rare, int(every * rare_share))), "rare-seeds")
-    cut = written(passages(docs, id_col, text_col, orders, spark.sparkContext.broadcast(seed_filter(rare)), margin), "passages")
-    kind = docs.schema[id_col].dataType.simpleString()
+    cut = passages(docs, id_col, text_col, orders, spark.sparkContext.broadcast(seed_filter(seeds)), margin)
     item_kind = benchmark.schema[item_col].dataType.simpleString()
-    keyed = cut.withColumn("_key", F.xxhash64(id_col, "start", "passage"))
-    shared = keyed.select("_key", F.explode("seeds").alias("seed")).distinct().join(rare, "seed").groupBy("_key", "item").agg(F.count(F.lit(1)).alias("n"), F.max("of").alias("of"))
-    pairs = shared.where((F.col("n") >= 2) | (F.col("of") < 6)).select("_key", "item")
+    k0, k1 = hash_pair(F.col("passage"), F.col("seeds"))
+    keyed = written(cut.withColumns({"_k0": k0, "_k1": k1}), "passages")
+    distinct = keyed.groupBy("_k0", "_k1").agg(F.first("passage").alias("passage"), F.first("seeds").alias("seeds"))
+    own = seeds.join(seeds.groupBy("item").agg(F.count(F.lit(1)).alias("of")), "item").select("item", "seed", "of")
+    shared = distinct.select("_k0", "_k1", F.explode("seeds").alias("seed")).join(own, "seed").groupBy("_k0", "_k1", "item").agg(F.count(F.lit(1)).alias("n"), F.max("of").alias("of"))
+    pairs = shared.where((F.col("n") >= 2) | (F.col("of") < 6)).select("_k0", "_k1", "item")
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("_item_text"))
-    both = pairs.join(keyed.select("_key", id_col, "start", "passage"), "_key").join(items, "item")
+    both = pairs.join(distinct.select("_k0", "_k1", "passage"), ["_k0", "_k1"]).join(items, "item")
 
     def score(batches):
         for batch in batches:
-            rows = [align(split_words((x or "").lower()), split_words(y)) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
-            at = np.array([r[0] >= threshold for r in rows], bool)
-            kept, start = [r for r in rows if r[0] >= threshold], batch.column(2).filter(pa.array(at)).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(at)), batch.column(1).filter(pa.array(at)), pa.array([r[0] for r in kept], pa.float64()), pa.array([r[1] for r in kept], pa.int32()), pa.array([s + r[2] for s, r in zip(start, kept)], pa.int64()), pa.array([s + r[3] for s, r in zip(start, kept)], pa.int64())], [id_col, "item", "score", "matched", "from_word", "to_word"])
+            rows = [best_alignment(split_words((x or "").lower()), split_words(y), threshold) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            at, kept = pa.array([r[0] >= threshold for r in rows], pa.bool_()), [r for r in rows if r[0] >= threshold]
+            told = [pa.array([r[i] for r in kept], t) for i, t in enumerate((pa.float64(), pa.int32(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).filter(at) for i in range(3)], *told], ["_k0", "_k1", "item", "score", "matched", "first", "last"])
 
-    scored = both.select(id_col, "item", "start", "_item_text", "passage").mapInArrow(score, f"`{id_col}` {kind}, item {item_kind}, score double, matched int, from_word long, to_word long")
+    aligned = both.select("_k0", "_k1", "item", "_item_text", "passage").mapInArrow(score, f"_k0 long, _k1 long, item {item_kind}, score double, matched int, first long, last long")
+    scored = keyed.select("_k0", "_k1", id_col, "start").join(written(aligned, "aligned"), ["_k0", "_k1"]).select(id_col, "item", "score", "matched", (F.col("start") + F.col("first")).alias("from_word"), (F.col("start") + F.col("last")).alias("to_word"))
     best = F.max(F.struct("score", (-F.col("from_word")).alias("back"), "matched", "to_word")).alias("b")
     return scored.groupBy(id_col, "item").agg(best).select(id_col, "item", "b.score", "b.matched", (-F.col("b.back")).alias("from_word"), "b.to_word")
 

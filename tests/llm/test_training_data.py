@@ -277,6 +277,24 @@ def test_leaks_exact_and_edited(spark, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_that_many_documents_share(spark, empty):
+    r = random.Random(8)
+    items = [(k, sentence(r, 40, 50_000)) for k in range(4)]
+    edited = ["changed" if j % 6 == 5 else w for j, w in enumerate(items[0][1].split())]
+    half = items[1][1].split()[:20]
+    around = lambda w: f"{sentence(r, 60, 50_000)} {' '.join(w)} {sentence(r, 60, 50_000)}"
+    rows = [(i, around(edited)) for i in range(40)] + [(100 + i, around(half)) for i in range(40)]
+    copied = around(items[2][1].split()[:25])
+    rows += [(200 + i, copied) for i in range(40)] + [(300 + k, around(items[k][1].split())) for k in range(4)]
+    want = {(i, 0) for i in range(40)} | {(100 + i, 1) for i in range(40)} | {(200 + i, 2) for i in range(40)} | {(300 + k, k) for k in range(4)}
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item) for x in found} == want and len(found) == len(want)
+    assert {(x.from_word, x.to_word, x.score) for x in found if 100 <= x.doc_id < 140} == {(60, 80, 0.5)}
+    item = items[3][1].split()
+    long_one = sentence(r, 8180, 50_000).split() + item + sentence(r, 9000, 50_000).split()
+    assert decontaminate.best_alignment(item, long_one, 0.4) == decontaminate.align(item, long_one) == (1.0, 40, 8180, 8220)
+
+
 def test_alignment_by_brute_force():
     r = random.Random(2)
     for _ in range(60):
