@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.llm.common import array_of, dealt_in_blocks, modest_batches, packed, sliced, unpacked
-from lociflow.llm.words import Words, ngrams, parts, single_spaced, slices, words_of
+from lociflow.llm.words import _BASE, _BASE_INVERSE, _power_table, mixed, ngrams, parts, single_spaced, slices, Words, words_of
 
 WINDOW, MINIMISER = 13, 3
 CELL_BITS, HOT_SHARE = 20, 1e-4
@@ -66,6 +66,13 @@ def super_kmers(words: Words, hot: np.ndarray, window: int, minimiser: int) -> t
     return at[first], at[last] + window, low[first]
 
 
+def run_keys(h: np.ndarray, first: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of all of h[first:behind] in order, for each pair."""
+    upto = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _power_table(_BASE, len(h)), out=upto[1:])
+    return mixed((upto[behind] - upto[first]) * _power_table(_BASE_INVERSE, max(1, len(h)))[first]) + (behind - first).astype(np.uint64)
+
+
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
     """Each text without the words that a smaller id's document has in a window too: id_col, n_words, n_removed, kept (the words left, joined by one space).
 
@@ -74,7 +81,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Defined cases: a null or empty text has no words; texts shorter than a window lose nothing; a null id is larger than all others; rows
     with equal ids don't remove each other's words, only smaller ids' do; repeats within one text stay; other columns are left out; an empty table gives no rows.
 
-    Texts travel once, compressed, to blocks. A block sends each distinct super-k-mer once, as text, to its minimiser's
+    Texts travel once, compressed, to blocks. A block sends each distinct super-k-mer (all its windows count) once, as text, to its minimiser's
     bucket with the lowest and highest id that hold it, so copies and passages that very many documents share
     arrive once for each block. A bucket sorts its windows and answers a block only for windows that a smaller id holds.
     Windows are compared by 128 bits in buckets, answers applied by 64 bits within a block.
@@ -98,7 +105,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             at, h = ngrams(words, window)
             index = np.zeros(len(words.hash), np.int64)
             index[at] = np.arange(len(at))
-            key = h[index[a]] * np.uint64(3) + h[index[b - window]] * np.uint64(5) + (b - a).astype(np.uint64)
+            key = run_keys(h, index[a], index[b - window] + 1)
             bucket = ((low & np.uint64((1 << 62) - 1)) % np.uint64(buckets)).astype(np.int64)
             owner = ids[first + words.text_of()[a]]
             order = np.lexsort((key, bucket))

@@ -72,6 +72,30 @@ def test_substring_dedup_by_brute_force(corpus, empty, monkeypatch):
     assert substring_dedup.repeated_words(empty).count() == 0
 
 
+def test_substring_dedup_of_templates_by_brute_force(spark):
+    r = random.Random(4)
+    middles = [[sentence(r, 6, 99_999) for _ in range(12)] for _ in range(6)]
+    rows = []
+    lowest = lambda word: min((f"{word}{k} of table" for k in range(20_000)), key=lambda x: int(substring_dedup.ngrams(substring_dedup.words_of([x.encode()]), 3)[1][0]) >> 1)
+    for phrase in map(lowest, ("row", "line", "entry")):  # the minimiser of each window over it
+        template = lambda middle: " ".join([f"{phrase} a b c d e f"] * 3 + [f"{phrase} {x}" for x in middle] + [f"{phrase} u v w x y z"] * 3)  # noqa: E731, B023
+        rows += [template(m) for m in middles]
+        rows += [sentence(r, 20, 99_999) + " " + " ".join(f"{phrase} {x}" for x in middles[k][3:9]) for k in (5, 1, 3)]
+    rows = list(enumerate(rows))
+    first = {}
+    for i, t in rows:
+        w = t.split()
+        for j in range(len(w) - 12):
+            first.setdefault(tuple(w[j : j + 13]), i)
+    want = {}
+    for i, t in rows:
+        w = t.split()
+        gone = {k for j in range(len(w) - 12) if first[tuple(w[j : j + 13])] < i for k in range(j, j + 13)}
+        want[i] = " ".join(x for k, x in enumerate(w) if k not in gone)
+    got = substring_dedup.repeated_words(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.kept for x in got} == want
+
+
 @pytest.mark.parametrize("shingle,num", [(4, 85), (5, 80), (2, 50)])
 def test_jaccard_groups_by_brute_force(corpus, empty, monkeypatch, shingle, num):
     docs, rows = corpus
