@@ -35,8 +35,11 @@ NAME_CLASSES = [c for pair in LETTERS.values() for group in pair for c in (group
 DIGITS, HEX, LOWER, UPPER, BASE32 = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RESERVED = re.compile(r"(?:^|\.)(?:example\.(?:com|net|org)|[a-z]{2,})$", re.I)
 
-#: What any entity has: a digit, an @, or one of these words.
-SIGNS, WORDS, REACH = re.compile("[0-9@]+"), ["password", "passwd", "pwd", "secret", "token", "api", *TITLES], 160
+#: What any entity has: a digit, an @, one of these words in any case, or a title.
+SIGNS, WORDS, REACH = re.compile("[0-9@]+"), ["password", "passwd", "pwd", "secret", "token", "api"], 160
+#: What names a secret, in any case; alone, or with more words of an identifier on either side (underscores, hyphens, a capital, digits).
+KEYWORDS = r"(?:password|passwd|pwd|secret|token|api[_-]?key)"
+_ASCII_LOWER = {ord(c): c.lower() for c in UPPER}
 
 NAME = r"[^\W\d_a-zа-яα-ω][^\W\d_]+(?:-[^\W\d_a-zа-яα-ω][^\W\d_]+)?"
 PATTERNS = re.compile(
@@ -44,7 +47,7 @@ PATTERNS = re.compile(
         [
             r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})",
             r"(?P<awskey>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)",
-            r"(?P<secret>\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s?[=:]\s?[\"']?[A-Za-z0-9_+/-]{8,})",
+            rf"(?P<secret>(?:(?<![^\W\d_])|(?<=[a-z])(?=[A-Z]))(?i:{KEYWORDS}\d*(?:[_-]+(?!{KEYWORDS})[A-Za-z0-9]*)*+)[\"']?\s?[=:]\s?[\"']?[A-Za-z0-9_+/-]{{8,}})",
             r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)",
             r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))",
             r"(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?![\w-])|(?<![\w(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-]))",
@@ -110,6 +113,11 @@ def disguise(text: str, kind: str, key: bytes, classes: list[str], ok: Callable[
             return made
 
 
+def _hex(text: str) -> list[str] | None:
+    """The class of hexadecimal digits that the text is of, if any."""
+    return next(([c] for c in (HEX, HEX.upper()) if not set(text) - set(c)), None)
+
+
 def luhn(text: str) -> bool:
     total = 0
     for i, ch in enumerate(reversed([c for c in text if c.isdigit()])):
@@ -173,7 +181,7 @@ def surrogate(kind: str, text: str, key: bytes) -> str:
         return text[:4] + disguise(text[4:], kind, key, [UPPER + DIGITS])
     if kind == "secret":
         value = re.search(r"[A-Za-z0-9_+/-]+$", text)[0]
-        return text[: -len(value)] + disguise(value, kind, key, [HEX] if re.fullmatch("[0-9a-f]+", value) else [LOWER, UPPER, DIGITS])
+        return text[: -len(value)] + disguise(value, kind, key, _hex(value) or [LOWER, UPPER, DIGITS], _hex)
     if kind == "iban":
         return text[:2] + disguise(text[2:], kind, key, [DIGITS, UPPER])
     if kind == "ip":
@@ -192,11 +200,12 @@ def surrogate(kind: str, text: str, key: bytes) -> str:
 def _near(text: str) -> list[tuple[int, int]]:
     """The stretches of the text, in order, that can hold entities: what lies around a sign or word, out to white space."""
     at = [(m.start(), m.end()) for m in SIGNS.finditer(text)]
-    for word in WORDS:
-        i = text.find(word)
+    low = text.translate(_ASCII_LOWER) if len(text.lower()) != len(text) else text.lower()
+    for word, where in [*((w, low) for w in WORDS), *((t, text) for t in TITLES)]:
+        i = where.find(word)
         while i >= 0:
             at.append((i, i + len(word)))
-            i = text.find(word, i + 1)
+            i = where.find(word, i + 1)
     out: list[tuple[int, int]] = []
     for a, b in sorted(at):
         a = max(text.rfind(" ", 0, max(0, a - REACH)), text.rfind("\n", 0, max(0, a - REACH))) + 1

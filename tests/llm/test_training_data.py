@@ -379,6 +379,20 @@ def test_surrogates_keep_formats_and_identity(spark, empty):
     assert pii.collisions(bad).count() == 2
 
 
+def test_secrets_in_any_case_and_within_identifiers():
+    key_, value = pii._key("k"), "QzRtVbNmKpLw"
+    for name in ("token", "TOKEN", "Password", "API_KEY", "api-key", "apiKey", "ApiKey", "AWS_SECRET_ACCESS_KEY", "db_password", "DB-PASSWD", "my_secret_token", "token_id", "secret2", "accessToken", "é_pwd"):
+        for form in ("{}={}", '{} = "{}"', "'{}': '{}'", "{}: {}"):
+            text = f"{'İ' * 3} plain words {form.format(name, value)} and more"
+            made, told = pii.replaced(text, key_)
+            assert [k for k, _, _ in told] == ["secret"] and value not in made and len(made) == len(text) and name in made, text
+    for text in ("tokenizer: something", "Mytoken8 = x", "secretary: somebody", "no password here at all", "token " * 1000):
+        assert pii.replaced(text, key_) == (text, [])
+    made = pii.replaced('TOKEN = "ABCDEFABCDEF"', key_)[0]
+    assert re.fullmatch('TOKEN = "[0-9A-F]{12}"', made) and "ABCDEFABCDEF" not in made
+    assert pii.replaced("token-" * 100_000, key_)[1] == []
+
+
 def test_permutations_are_single_cycles():
     for size in (2, 3, 10, 37, 1000):
         p, x, seen = pii.Permutation(size, b"k", b"t"), 0, set()
