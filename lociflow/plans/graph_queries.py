@@ -161,7 +161,7 @@ def bridge_paths(spark, d):
     v, e = _graph(spark, d)
     ends = v.groupBy("tid", "bid").agg(F.min("v").alias("s"), F.max("v").alias("t")).where("s < t")
     lengths = v.select("tid", "bid", "v", (F.col("r") - F.col("l")).alias("length"))
-    out = bridging.widest_bridges(ends, e.where("kind IN ('junction', 'adjacent')"), lengths, 6, ["tid", "bid"])
+    out = bridging.widest_bridges(ends, e.where("kind IN ('junction', 'adjacent')"), lengths, None, ["tid", "bid"])
     return out.select("tid", "bid", "rank", F.array_join("path", ">").alias("path"), "length")
 
 

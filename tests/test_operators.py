@@ -215,6 +215,18 @@ def test_bridges_by_brute_force(spark):
     assert (nobody.rank, nobody.votes) == (1, 0)
 
 
+def test_bridges_of_long_loci_are_whole(spark, monkeypatch):
+    from lociflow.plans import graph_queries
+
+    exons = [(1, b, v, 10 * v, 10 * v + 5) for b in (1, 2) for v in range(1, 13)]
+    ways = [(1, b, v, v + 1, 9.0, "adjacent") for b in (1, 2) for v in range(1, 12)] + [(1, 2, 1, 12, 2.0, "junction"), (1, 2, 1, 13, 99.0, "end")]
+    graph = spark.createDataFrame(exons, "tid int, bid int, v int, l int, r int"), spark.createDataFrame(ways, "tid int, bid int, s int, t int, w double, kind string")
+    monkeypatch.setattr(graph_queries, "_graph", lambda s, d: graph)
+    whole = ">".join(map(str, range(1, 13)))
+    got = [tuple(x) for x in graph_queries.bridge_paths(spark, "").orderBy("bid", "rank").collect()]
+    assert got == [(1, 1, 1, whole, 60), (1, 2, 1, whole, 60), (1, 2, 2, "1>12", 10)]
+
+
 def test_disconnected_vertices(spark):
     e = spark.createDataFrame([("s", "a", 1), ("a", "t", 1), ("s", "b", 1), ("c", "t", 1)], "s string, t string, w int")
     v = spark.createDataFrame([(x,) for x in "sabct"], "v string")
