@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.sources.shared import written
+from lociflow.sources.shared import drop_written, written
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -22,7 +22,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")
+        last, edges = edges, written(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")
+        drop_written(last)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
