@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.llm.common import hash_pair
+from lociflow.sources.shared import written
 
 
 def _key(line: Column) -> Column:
@@ -13,8 +14,9 @@ def _key(line: Column) -> Column:
 
 
 def _line_hash(line: Column) -> Column:
+    """128 bits of a line without its surrounding spaces; null for a blank one."""
     first, second = hash_pair(_key(line))
-    return F.struct(first.alias("h1"), second.alias("h2"))
+    return F.when(_key(line) != "", F.struct(first.alias("h1"), second.alias("h2")))
 
 
 def drop_boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", ratio: float = 0.05, min_pages: int = 20, counts: bool = True) -> DataFrame:
@@ -28,25 +30,27 @@ def drop_boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     blank lines are never boilerplate; repeated rows count once and all lose the same lines; rows that share
     an id are told apart by host and text; an empty table gives an empty table.
 
-    Lines travel as 128-bit hashes. Pages are told apart by line and page, then counted in each task first, so a line that a third of all
+    `docs` is evaluated once, into a table of its rows and their lines' 128-bit hashes, so it may hold dear expressions; counting and matching read the hashes only.
+    Pages are told apart by line and page, then counted in each task first, so a line that a third of all
     pages hold reaches its counter once per task. Only occurrences of boilerplate go on to be collected, by page.
     """
-    lines = F.split(F.col(text_col), "\n")
-    rows = docs.select(F.col(host_col).alias("_host"), F.col(id_col).alias("_id"), *[h.alias(f"_k{i}") for i, h in enumerate(hash_pair(F.col(text_col)))], F.filter(lines, lambda x: _key(x) != "").alias("_lines"))
-    rows = rows.where(F.col("_host").isNotNull() & F.col("_lines").isNotNull())
-    held = rows.select("_host", "_id", "_k0", "_k1", F.explode(F.array_distinct(F.transform("_lines", _line_hash))).alias("_h")).select("_host", "_id", "_k0", "_k1", "_h.h1", "_h.h2")
+    k0, k1 = hash_pair(F.col(text_col))
+    table = written(docs.select(F.struct(*docs.columns).alias("_row"), F.col(host_col).alias("_host"), F.col(id_col).alias("_id"), k0.alias("_k0"), k1.alias("_k1"), F.transform(F.split(F.col(text_col), "\n"), _line_hash).alias("_lines")), "lines")
+    page = ["_host", "_id", "_k0", "_k1"]
+    rows = table.where(F.col("_host").isNotNull() & F.col("_lines").isNotNull())
+    held = rows.select(*page, F.explode(F.array_distinct("_lines")).alias("_h")).where(F.col("_h").isNotNull()).select(*page, "_h.h1", "_h.h2")
     pages = rows.groupBy("_host").agg(F.count_distinct("_k0", "_k1").alias("_pages")).where(F.col("_pages") >= min_pages)
     common = held.groupBy("_host", "h1", "h2").agg(F.count_distinct("_k0", "_k1").alias("_n")).where(F.col("_n") > 1).join(pages, "_host").where(F.col("_n") > F.col("_pages") * F.lit(ratio)).select("_host", "h1", "h2")
-    dropped = held.join(common, ["_host", "h1", "h2"]).groupBy("_host", "_id", "_k0", "_k1").agg(F.collect_set(F.struct("h1", "h2")).alias("_drop"))
-
-    first, second = hash_pair(F.col(text_col))
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id1"), F.col(host_col).alias("_host1"), first.alias("_j0"), second.alias("_j1"), lines.alias("_ls"))
-    on = F.col("_j0").eqNullSafe(F.col("_k0")) & F.col("_j1").eqNullSafe(F.col("_k1")) & F.col("_host1").eqNullSafe(F.col("_host")) & F.col("_id1").eqNullSafe(F.col("_id"))
-    kept = F.when(F.col("_drop").isNull(), F.col("_ls")).otherwise(F.filter("_ls", lambda x: (_key(x) == "") | ~F.array_contains(F.col("_drop"), _line_hash(x))))
-    joined = keyed.join(dropped, on, "left").withColumn("_kept", kept)
-    n = F.coalesce(F.size("_ls"), F.lit(0))
-    own = [F.when(F.col("_ls").isNotNull(), F.array_join("_kept", "\n")).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
-    return joined.select(*own, *([n.alias("n_lines"), F.when(F.col("_ls").isNull(), 0).otherwise(n - F.size("_kept")).alias("n_dropped")] if counts else []))
+    dropped = held.join(common, ["_host", "h1", "h2"]).groupBy(*page).agg(F.collect_set(F.struct("h1", "h2")).alias("_drop")).select("_drop", *[F.col(c).alias(f"{c}_") for c in page])
+
+    joined = table.join(dropped, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in page], "left")
+    split = F.split(F.col("_row")[text_col], "\n")
+    stays = lambda x, i: F.get("_lines", i).isNull() | ~F.array_contains(F.col("_drop"), F.get("_lines", i))
+    made = joined.select("_row", F.size("_lines").alias("_n"), F.when(F.col("_drop").isNull(), split).otherwise(F.filter(split, stays)).alias("_kept"))
+    whole = F.col("_kept").isNotNull()
+    own = [F.when(whole, F.array_join("_kept", "\n")).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
+    n = F.when(whole, F.col("_n")).otherwise(0)
+    return made.select(*own, *([n.alias("n_lines"), F.when(whole, F.col("_n") - F.size("_kept")).otherwise(0).alias("n_dropped")] if counts else []))
 
 
 #: Tags that do not end a line, and what of a page is no text.
