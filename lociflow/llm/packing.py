@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_right
 from collections import Counter, defaultdict
@@ -41,11 +42,22 @@ def tokenizer(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: Runs of white space (as the pattern's \\s) that are too long for the pattern matcher's stack.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{20000,}")
+
+
 def token_ids(text: str | None, path: str) -> list[int]:
+    """The text's ids. Long runs of white space are cut out where the pattern would cut: all but the last character before a word, all before a special token or the end."""
     bpe = tokenizer(path)
     if not text:
         return []
-    return bpe.encode(text, allowed_special="all") if "<|" in text else bpe.encode_ordinary(text)
+    plain = (lambda t: bpe.encode(t, allowed_special="all")) if "<|" in text else bpe.encode_ordinary
+    ids, at = [], 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end() if run.end() == len(text) or text.startswith(tuple(bpe.special_tokens_set), run.end()) else run.end() - 1
+        ids += plain(text[at : run.start()]) + bpe._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + plain(text[at:])
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
