@@ -8,7 +8,10 @@ documents, and two entities never get one surrogate; entity_table() and collisio
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import secrets
+import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -32,6 +35,12 @@ LETTERS = {  # vowels and consonants of the scripts, in both cases
     "cyrillic": ("аеиоуыэюя", "бвгджзклмнпрстфхцчшщ"),
 }
 NAME_CLASSES = [c for pair in LETTERS.values() for group in pair for c in (group, group.upper())]
+#: Combining marks, which letters of many scripts carry, as a class of a pattern: a rule over Unicode's categories.
+MARKS = "".join(re.escape(chr(c)) for c in range(0x300, 0x1E000) if unicodedata.category(chr(c))[0] == "M")
+#: Scripts that write words without spaces, or endings right behind names, by the first word of their letters' names.
+UNSPACED = ("CJK", "HIRAGANA", "KATAKANA", "HANGUL", "THAI", "LAO", "KHMER", "MYANMAR")
+#: Calling codes of one and of two digits (fixed values); all others have three.
+CALLING = {1: "1 7".split(), 2: "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 DIGITS, HEX, LOWER, UPPER, BASE32 = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RESERVED = re.compile(r"(?:^|\.)(?:example\.(?:com|net|org)|[a-z]{2,})$", re.I)
 
@@ -41,19 +50,23 @@ SIGNS, WORDS, REACH = re.compile("[0-9@]+"), ["password", "passwd", "pwd", "secr
 KEYWORDS = r"(?:password|passwd|pwd|secret|token|api[_-]?key)"
 _ASCII_LOWER = {ord(c): c.lower() for c in UPPER}
 
-NAME = r"[^\W\d_a-zа-яα-ω][^\W\d_]+(?:-[^\W\d_a-zа-яα-ω][^\W\d_]+)?"
+LETTER = rf"(?:[^\W\d_][{MARKS}]*)"
+NAME = rf"(?![a-zа-яα-ω]){LETTER}{{2,}}(?:-(?![a-zа-яα-ω]){LETTER}{{2,}})?"
+KNOWN = rf"\b(?:{'|'.join(n for names in GIVEN.values() for n in names)})(?= (?![a-zа-яα-ω])[^\W\d_])"
+KNOWN_SIGN = re.compile(KNOWN)
 PATTERNS = re.compile(
     "|".join(
         [
             r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})",
             r"(?P<awskey>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)",
-            rf"(?P<secret>(?:(?<![^\W\d_])|(?<=[a-z])(?=[A-Z]))(?i:{KEYWORDS}\d*(?:[_-]+(?!{KEYWORDS})[A-Za-z0-9]*)*+)[\"']?\s?[=:]\s?[\"']?[A-Za-z0-9_+/-]{{8,}})",
+            rf"(?P<secret>(?:(?<![^\W\d_])|(?<=[a-z])(?=[A-Z]))(?i:{KEYWORDS}\d*(?:[_-]+(?!{KEYWORDS})[A-Za-z0-9]*)*+)[\"']?\s?[=:]\s?[\"']?(?=[_+/-]*[A-Za-z0-9])[A-Za-z0-9_+/-]{{8,}})",
             r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)",
             r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))",
-            r"(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?![\w-])|(?<![\w(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-]))",
+            r"(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?![\w-])|(?<![\w(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-]))",
             r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
             r"(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))",
             rf"(?P<person>\b(?:{'|'.join(TITLES)})\b\.? {NAME}(?: {NAME}){{0,2}})",
+            rf"(?P<known>{KNOWN}(?: {NAME}){{1,2}})",
         ]
     )
 )
@@ -155,9 +168,36 @@ def _digits(text: str, kind: str, key: bytes, kept: int, ok, same: int | None =
 
 
 def _national(text: str) -> tuple[int, str]:
-    """How many digits of a phone number stay (the country code), and its digits."""
-    m = re.match(r"\+(\d{1,3}?)(?=[ .-]?\(|[ .-])|\+(\d)", text)
-    return len((m[1] or m[2]) if m else ""), "".join(c for c in text if c.isdigit())
+    """How many digits of a phone number stay (the calling code), and its digits; the same however it is spaced."""
+    digits = "".join(c for c in text if c.isdigit())
+    return next((n for n, codes in CALLING.items() if digits[:n] in codes), 3) if text[0] == "+" else 0, digits
+
+
+def mod97(text: str) -> bool:
+    """Whether an account number's check digits hold."""
+    t = "".join(c for c in text if c.isalnum())
+    return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+
+
+def _iban(text: str, key: bytes) -> str:
+    """The country stays, the check digits hold if they did, and spaces stand where they stood."""
+    compact = text.replace(" ", "")
+    made = iter(compact[:2] + disguise(compact[2:], "iban " + compact[:2], key, [DIGITS, UPPER], lambda s: mod97(compact[:2] + s)))
+    return "".join(c if c == " " else next(made) for c in text)
+
+
+@lru_cache(maxsize=100_000)
+def _alike(letter: str) -> str | None:
+    """The letters of a letter's script and case around it (256 code points), from Unicode's data, without those of NAME_CLASSES; None if it is the only one."""
+    kind = lambda c: (unicodedata.category(c), unicodedata.name(c, "").split(" ")[0])
+    start = ord(letter) & ~0xFF
+    found = "".join(chr(c) for c in range(start, start + 256) if kind(chr(c)) == kind(letter) and not any(chr(c) in known for known in NAME_CLASSES))
+    return found if len(found) > 1 else None
+
+
+def _tail(word: str) -> str:
+    """The end of a name that may show the gender and stays."""
+    return re.search(r"(?:ova|eva|ina|ова|ева|ина|[aаα]|ой)?$", word[1:])[0]
 
 
 def _person(word: str, key: bytes) -> str:
@@ -165,13 +205,21 @@ def _person(word: str, key: bytes) -> str:
     for names in GIVEN.values():
         if word in names:
             return names[Permutation(len(names), key, names[0].encode()).next(names.index(word))]
-    known = lambda s: any(s in names for names in GIVEN.values())
-    tail = len(re.search(r"(?:ova|eva|ina|ова|ева|ина|[aаα]|ой)?$", word)[0])
-    return disguise(word[: len(word) - tail], f"person {word[len(word) - tail :]}", key, NAME_CLASSES, lambda s: known(s + word[len(word) - tail :])) + word[len(word) - tail :]
+    tail = _tail(word)
+    stem = word[: len(word) - len(tail)]
+    kind = lambda s: (any(s + tail in names for names in GIVEN.values()), _tail(s + tail))
+    classes = [*NAME_CLASSES, *{c for ch in stem if ch.isalpha() and not any(ch in known for known in NAME_CLASSES) and (c := _alike(ch))}]
+    return disguise(stem, f"person {tail}", key, classes, kind) + tail
 
 
 @lru_cache(maxsize=100_000)
 def surrogate(kind: str, text: str, key: bytes) -> str:
+    """The entity's surrogate; a keyed hash where its format holds no other string."""
+    made = _formed(kind, text, key)
+    return made if made != text else hashlib.blake2b(f"{kind}\0{text}".encode("utf-8", "surrogatepass"), key=key, digest_size=12).hexdigest()
+
+
+def _formed(kind: str, text: str, key: bytes) -> str:
     if kind == "email":
         local, _, domain = text.rpartition("@")
         kept = RESERVED.search(domain)[0]
@@ -183,7 +231,7 @@ def surrogate(kind: str, text: str, key: bytes) -> str:
         value = re.search(r"[A-Za-z0-9_+/-]+$", text)[0]
         return text[: -len(value)] + disguise(value, kind, key, _hex(value) or [LOWER, UPPER, DIGITS], _hex)
     if kind == "iban":
-        return text[:2] + disguise(text[2:], kind, key, [DIGITS, UPPER])
+        return _iban(text, key)
     if kind == "ip":
         return _ip(text, key)
     if kind == "phone":
@@ -201,6 +249,7 @@ def _near(text: str) -> list[tuple[int, int]]:
     """The stretches of the text, in order, that can hold entities: what lies around a sign or word, out to white space."""
     at = [(m.start(), m.end()) for m in SIGNS.finditer(text)]
     low = text.translate(_ASCII_LOWER) if len(text.lower()) != len(text) else text.lower()
+    at += [(m.start(), m.end()) for m in KNOWN_SIGN.finditer(text)]
     for word, where in [*((w, low) for w in WORDS), *((t, text) for t in TITLES)]:
         i = where.find(word)
         while i >= 0:
@@ -217,20 +266,30 @@ def _near(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _word_pattern(name: str) -> str:
+    """The name as a whole word, or anywhere if its script has no spaces between words."""
+    whole = re.escape(name)
+    return whole if all(unicodedata.name(c, "").startswith(UNSPACED) for c in name) else rf"(?<!\w){whole}(?![\w{MARKS}])"
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
-    """start, end, kind of each entity in order, from one place to the next; names without their titles, each word on its own, and wherever else a titled name's words stand in the text."""
+    """start, end, kind of each entity in order, from one place to the next.
+
+    Names come without their titles, each word on its own, and wherever else the words of a name stand in the text. A name is what follows a title, or
+    a known given name before another name. Card numbers are those whose check digit holds.
+    """
     found = []
     names = set()
     for m in (m for a, b in _near(text) for m in PATTERNS.finditer(text, a, b)):
-        if m.lastgroup == "person":
-            names |= set(re.findall(r"[^\W\d_]+", m[0].split(" ", 1)[1]))
-        else:
+        if m.lastgroup in ("person", "known"):
+            names |= set(re.findall(f"{LETTER}{{2,}}", m[0].split(" ", 1)[1] if m.lastgroup == "person" else m[0]))
+        elif m.lastgroup != "card" or luhn(m[0]):
             found.append((m.start(), m.end(), m.lastgroup))
     if names:
         taken = [False] * (len(text) + 1)
         for a, b, _ in found:
             taken[a:b] = [True] * (b - a)
-        found += [(m.start(), m.end(), "person") for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(names)))})(?!\w)", text) if not taken[m.start()]]
+        found += [(m.start(), m.end(), "person") for m in re.finditer("|".join(_word_pattern(n) for n in sorted(names, key=lambda n: (-len(n), n))), text) if not any(taken[m.start() : m.end()])]
     return sorted(found)
 
 
@@ -267,6 +326,8 @@ def replace_entities(docs: DataFrame, secret: str, id_col: str = "doc_id", text_
 
 def canonical(kind: str, text: str) -> str:
     """What two mentions of one entity share."""
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in text.split("."))
     return text.lower() if kind == "email" else "".join(c for c in text if c.isalnum()) if kind in ("phone", "card", "ssn", "iban") else text
 
 
@@ -290,9 +351,14 @@ def collisions(table: DataFrame) -> DataFrame:
     return by_surrogate.unionByName(by_original).unionByName(same)
 
 
-def op10_pii_surrogates(spark, sf_dir: str, secret: str = "a key that the caller keeps") -> DataFrame:
-    """All documents with surrogates for their entities: doc_id, text, kinds, n_entities; raises if two entities share a surrogate."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run_key(spark) -> str:
+    """The caller's key: spark.lociflow.pii.key, or the environment's LOCIFLOW_PII_KEY; where neither is set, a new random one, so that surrogates agree within a run only."""
+    return spark.conf.get("spark.lociflow.pii.key", None) or os.environ.get("LOCIFLOW_PII_KEY") or secrets.token_hex(32)
+
+
+def op10_pii_surrogates(spark, sf_dir: str, secret: str | None = None) -> DataFrame:
+    """All documents with surrogates for their entities: doc_id, text, kinds, n_entities; raises if two entities share a surrogate. `secret`: see run_key()."""
+    docs, secret = spark.read.parquet(f"{sf_dir}/documents.parquet"), secret or run_key(spark)
     if bad := collisions(entity_table(docs, secret)).take(3):
-        raise ValueError(f"surrogates are not distinct: {bad}")
+        raise ValueError(f"surrogates are not distinct: {[(b['kind'], b['n']) for b in bad]}")
     return replace_entities(docs, secret).withColumn("n_entities", F.size("kinds"))
