@@ -1,7 +1,8 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model's units are characters and its order is 5, so that words no text has shown before still get a fair probability. Five
-classes of 12 bits make one 64-bit number, its suffixes and contexts come by shifts, and all counts are tables that Spark joins by those numbers.
+The model's units are characters and its order is 5, so that words no text has shown before still get a fair probability. Characters up to U+06FF (Latin, Greek,
+Cyrillic, Hebrew, Arabic) are one unit, all others two: which 1,024 code points they lie in, and which of those they are. Five
+units of 12 bits make one 64-bit number, its suffixes and contexts come by shifts, and all counts are tables that Spark joins by those numbers.
 """
 
 from __future__ import annotations
@@ -13,22 +14,38 @@ from pyspark.sql import functions as F
 
 from lociflow.llm.common import array_of, bit_rows, blocks_needed, compressed, FILTER_BITS, has_bit, hash_pair, modest_batches, packed, sliced, unpacked
 from lociflow.llm.words import mixed
-from lociflow.sources.shared import written
+from lociflow.sources.shared import drop_written, written
 
 ORDER, BITS = 5, 12
-BEGIN, REST = 1, (1 << BITS) - 1  # classes: before the text; all characters from U+0FFF on
+BEGIN = 1  # the unit before the text
+NARROW, UPPER, LOWER = 0x700, 0x700, 0xC00  # code points that are their own unit; where the units of wide characters' halves begin
 BLOCK = 16 << 20
 PART = 1 << 19
 
 
-def grams_of(text: str) -> np.ndarray:
-    """The ORDER-grams that end at each of the text's characters, as numbers."""
-    codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), REST).astype(np.int64)
-    padded = np.concatenate([np.full(ORDER - 1, BEGIN, np.int64), codes])
-    g = np.zeros(len(codes), np.int64)
-    for k in range(ORDER):
-        g = (g << BITS) | padded[k : k + len(codes)]
-    return g
+def units_of(text: str) -> np.ndarray:
+    """The text's units: one for each character below NARROW, two for each other one."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    wide = codes >= NARROW
+    if not wide.any():
+        return codes
+    at = np.cumsum(1 + wide) - 1 - wide
+    out = np.zeros(len(codes) + int(wide.sum()), np.int64)
+    out[at] = np.where(wide, UPPER + (codes >> 10), codes)
+    out[at[wide] + 1] = LOWER + (codes[wide] & 0x3FF)
+    return out
+
+
+def gram_runs(text: str):
+    """The ORDER-grams that end at each of the text's units, as numbers, in runs of bounded size."""
+    before = np.full(ORDER - 1, BEGIN, np.int64)
+    for at in range(0, len(text), PART):
+        padded = np.concatenate([before, units_of(text[at : at + PART])])
+        before, n = padded[-(ORDER - 1) :], len(padded) - ORDER + 1
+        g = np.zeros(n, np.int64)
+        for k in range(ORDER):
+            g = (g << BITS) | padded[k : k + n]
+        yield g
 
 
 def _suffix(gram: Column, order: int) -> Column:
@@ -63,9 +80,8 @@ def _gram_counts(texts) -> tuple[np.ndarray, np.ndarray]:
             done[:] = [_merge(done)]
 
     for text in texts:
-        for at in range(0, len(text), PART):
-            back = min(at, ORDER - 1)
-            run.append(grams_of(text[at - back : at + PART])[back:])
+        for grams in gram_runs(text):
+            run.append(grams)
             if sum(map(len, run)) > PART or len(run) > 2000:
                 close()
     if run:
@@ -126,6 +142,7 @@ def fit(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
             below = F.col("p")
         p = (F.col("n") - cut + F.col("mass") * below) / F.col("total")
         model[k] = written(rows.select("gram", p.alias("p")), f"p{k}"), written(contexts.select("context", (F.col("mass") / F.col("total")).alias("rest")), f"rest{k}")
+    drop_written(*seen.values())
     return model
 
 
@@ -157,22 +174,25 @@ def _dealt(grams: np.ndarray, buckets: int):
 
 
 def log_probabilities(grams: DataFrame, model: dict) -> DataFrame:
-    """gram, logp for distinct grams, seen or not: the longest seen suffix's probability times what the contexts above it leave.
+    """gram, logp for distinct grams, seen or not: the longest seen suffix's probability times what the contexts above it leave; a table in the shared folder.
 
     Only the grams that an order hasn't seen go on to the next lower one.
     """
-    rows, done = grams.select("gram", F.lit(1.0).alias("left")), []
+    rows, done, tables = grams.select("gram", F.lit(1.0).alias("left")), [], []
     for k in range(ORDER, 0, -1):
         known, rest = model[k]
         rows = rows.withColumn("key", _suffix(F.col("gram"), k)).join(known.select(F.col("gram").alias("key"), F.col("p").alias("found")), "key", "left")
         rows = written(rows.withColumn("context", _context(F.col("key"))).join(rest, "context", "left").select("gram", "left", "found", "rest"), f"asked{k}")
+        tables.append(rows)
         done.append(rows.where("found IS NOT NULL").select("gram", (F.col("left") * F.col("found")).alias("p")))
         rows = rows.where("found IS NULL").select("gram", (F.col("left") * F.coalesce("rest", F.lit(1.0))).alias("left"))
     done.append(rows.select("gram", (F.col("left") / (1 << BITS)).alias("p")))
     whole = done[0]
     for part in done[1:]:
         whole = whole.unionByName(part)
-    return whole.select("gram", F.log("p").cast("float").alias("logp"))
+    out = written(whole.select("gram", F.log("p").cast("float").alias("logp")), "logp")
+    drop_written(*tables)
+    return out
 
 
 def perplexities(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -184,7 +204,7 @@ def perplexities(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col:
     """
     blocks = blocks_needed(docs, text_col, BLOCK)
     kind = docs.schema[id_col].dataType.simpleString()
-    probabilities = written(log_probabilities(distinct_grams(docs.where(F.col(text_col).isNotNull()), text_col, blocks), model), "logp")
+    probabilities = log_probabilities(distinct_grams(docs.where(F.col(text_col).isNotNull()), text_col, blocks), model)
 
     def place(batches):
         for batch in batches:
@@ -214,9 +234,8 @@ def perplexities(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col:
         chars, nats = [], []
         for text in _texts(texts.column("z")):
             total = 0.0
-            for at in range(0, len(text), PART):
-                back = min(at, ORDER - 1)
-                own, n = np.unique(grams_of(text[at - back : at + PART])[back:], return_counts=True)
+            for run in gram_runs(text):
+                own, n = np.unique(run, return_counts=True)
                 total -= float(logp[np.searchsorted(grams, own)] @ n)
             chars.append(len(text))
             nats.append(total / len(text) if text else None)
@@ -263,6 +282,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     out = F.pmod(F.xxhash64(id_col, F.lit("held out")), F.lit(held_out)) == 0
     model = fit(train_counts(docs, judged.where(~out), id_col, text_col))
     raw = written(perplexities(docs, model, id_col, text_col, lang_col), "nats")
+    drop_written(*(table for pair in model.values() for table in pair))
     seen = raw.join(judged.where(out), id_col, "left_semi").where(F.col("nats").isNotNull())
     middle = _quantile(seen.select("lang", F.col("nats").alias("v")), "lang", 0.5, "middle")
 
