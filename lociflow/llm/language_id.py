@@ -31,7 +31,9 @@ FAMILIES = {
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
 WIDTH_BITS, ORDERS, CHUNK = 13, 4, 1 << 20
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Characters that patterns take for word characters but that are no letters (numbers such as "½", "²", "①"), by their categories.
+_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+NOT_LETTERS = re.compile(rf"[\W\d_{re.escape(_NUMBERS)}]+")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
@@ -112,7 +114,7 @@ def predict(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_lang: int = 400, most_langs: int = 200) -> dict | None:
-    """The hierarchy fitted on at most `per_lang` texts for each of the `most_langs` most frequent languages.
+    """The hierarchy fitted on at most `per_lang` texts for each of the `most_langs` most frequent languages (the first in order on ties); rarer ones are never predicted.
 
     The texts with the lowest hash of key and text are taken, so the sample doesn't follow the input's order; each gives its whole text and
     a short middle part. Features are made on the executors; the driver gets
