@@ -17,14 +17,26 @@ def hash_pair(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols), F.xxhash64(F.lit(0x5EED), *cols)]
 
 
+#: Up to this many bytes of text blocks have their given size; beyond it they grow as the root of the input, up to MOST_GROWTH times that size.
+STEADY_BYTES, MOST_GROWTH = 100 << 30, 8
+
+
 def blocks_needed(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES, least: int = 1) -> int:
-    """How many blocks of about block_bytes the texts fill (one aggregate job)."""
+    """How many blocks of about block_bytes the texts fill (one aggregate job).
+
+    Blocks and buckets exchange a message for each pair, so both grow as the root of the input beyond STEADY_BYTES, until executors' memory bounds a block: at 100 TB
+    blocks of 16 MB are 128 MB each, some 800,000, and a message still holds tens of entries.
+    """
     total = docs.agg(F.sum(F.octet_length(text_col).cast("long")).alias("n"), F.count(F.lit(1)).alias("k")).first()
-    return max(least, -(-((total["n"] or 0) + 64 * total["k"]) // block_bytes))
+    size = (total["n"] or 0) + 64 * total["k"]
+    return max(least, -(-size // int(block_bytes * min(MOST_GROWTH, max(1.0, (size / STEADY_BYTES) ** 0.5)))))
 
 
 def modest_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
-    """docs; from now on its session sends Python at most `rows` rows at once, as texts are long: the default of 10,000 takes both sides tens of MB a task."""
+    """docs; from now on its session sends Python at most `rows` rows at once, as texts are long: the default of 10,000 takes both sides tens of MB a task.
+
+    The setting stays lower, as frames run later than they are made: it is this package's one lasting change to a session. Smaller values of the caller's stay.
+    """
     name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession.conf
     if not 0 < int(conf.get(name, "10000")) <= rows:
         conf.set(name, str(rows))
@@ -74,23 +86,24 @@ def array_of(z: pa.Scalar, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(z.as_buffer()), kind)
 
 
-#: Bits of bitmaps for ids and hashes: 4 MB whatever the input.
+#: Bits of bitmaps for ids and hashes: 4 MB whatever the input. A bitmap helps as long as it is sparse: for up to some ten million ids or seeds; with more,
+#: it lets ever more rows through to the exact join behind it, which stays right.
 FILTER_BITS = 25
+_CHUNK_BITS = 18
 
 
 def bit_rows(slots: DataFrame) -> np.ndarray:
-    """A bitmap of 2**FILTER_BITS bits with those set that the column slots (long) names: made in tasks, of one size for any number of rows."""
-
-    def make(batches):
-        bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
-        for batch in batches:
-            own = batch.column(0).to_numpy()
-            np.bitwise_or.at(bits, own >> 3, (1 << (own & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([packed(bits)], pa.binary())], ["bits"])
-
-    out = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
-    for row in slots.coalesce(4).mapInArrow(make, "bits binary").collect():
-        out |= np.frombuffer(zstandard.decompress(row["bits"]), np.uint8)
+    """A bitmap of 2**FILTER_BITS bits with those set that the one column of slots (long) names: chunks of it are made in tasks, and the driver gets each chunk once."""
+
+    def make(chunk: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << _CHUNK_BITS, np.uint8)
+        bits[chunk.column("slot").to_numpy() & ((1 << _CHUNK_BITS) - 1)] = 1
+        return pa.Table.from_arrays([chunk.column("chunk").slice(0, 1), pa.array([packed(np.packbits(bits, bitorder="little"))], pa.binary())], ["chunk", "bits"])
+
+    rows = slots.toDF("slot").where(F.col("slot").isNotNull()).distinct().select(F.shiftright("slot", _CHUNK_BITS).cast("int").alias("chunk"), "slot")
+    out, size = np.zeros(1 << FILTER_BITS >> 3, np.uint8), 1 << _CHUNK_BITS >> 3
+    for row in rows.groupBy("chunk").applyInArrow(make, "chunk int, bits binary").collect():
+        out[row["chunk"] * size : (row["chunk"] + 1) * size] = np.frombuffer(zstandard.decompress(row["bits"]), np.uint8)
     return out
 
 

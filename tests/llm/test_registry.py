@@ -4,6 +4,8 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
 import corpus_pipeline
 from lociflow.llm import registry
@@ -47,7 +49,7 @@ def test_pipeline_on_odd_tables(spark, tmp_path, rows):
 
     r = random.Random(1)
     made = [(i, " ".join(r.choices("the re on an er ing ed st nd or ea".split(), k=60)), "en", "s", 5) for i in range(40)]
-    made += [(40, None, "en", "s", 0), (41, "", None, None, None), (None, made[0][1], "en", "s", 1), (42, made[1][1], None, None, None), (43, "#" * 50_000, "en", "s", 1), made[3], made[3]]
+    made += [(None, "a b " + made[5][1], "en", "s", 1), (40, None, "en", "s", 0), (41, "", None, None, None), (None, made[0][1], "en", "s", 1), (42, made[1][1], None, None, None), (43, "#" * 50_000, "en", "s", 1), made[3], made[3]]
     docs = spark.createDataFrame([(*x, "x", 1, 2) for x in made] if rows == "odd" else [], "doc_id long, text string, lang string, source string, n_chars long, k0 string, n_lines int, component_id int")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(0, 40, 2)] + [(None, None, None), (1, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
@@ -59,6 +61,7 @@ def test_pipeline_on_odd_tables(spark, tmp_path, rows):
     if rows == "none":
         assert ids == []
     else:
+        assert not docs.where("doc_id IS NULL").where(F.col("text").contains(made[5][1])).count()
         assert 5 not in ids and 42 not in ids and 43 not in ids and 41 not in ids and ids.count(3) == 3 and len(set(ids)) >= 36
         assert all((x.k0, x.n_lines, x.component_id) == ("x", 1, 2) and x.n_chars == len(x.text) for x in docs.collect())
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
