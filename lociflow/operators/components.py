@@ -9,7 +9,7 @@ from lociflow.sources.shared import drop_written, written
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, label (the lowest node reachable) for every node of links (a, b: integers), by large-star and small-star rounds.
+    """node, label (the lowest node reachable) for every node of links (a, b: integers, or structs of them), by large-star and small-star rounds.
 
     Each round hangs every node's neighbours on the lowest one; rounds go as the logarithm of a component's
     width. Links stay a table; the driver sees only a count and a checksum for each round.

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.operators.bins import WIDTH, within
 from lociflow.operators.running import following, running
 
 BIN = 4096
@@ -20,10 +21,10 @@ def segments(intervals: DataFrame, keys: Sequence[str] = ("tid",), left: str = "
     return following(swept, keys, F.floor(F.col("p") / bin_width), ["p"], "p", "q").where("cov > 0 AND q IS NOT NULL").select(*keys, "p", "q", F.col("cov").cast("long").alias("cov"))
 
 
-def stretch_stats(stretches: DataFrame, segs: DataFrame, keys: Sequence[str], left: str = "lpos", right: str = "rpos") -> DataFrame:
+def stretch_stats(stretches: DataFrame, segs: DataFrame, keys: Sequence[str], left: str = "lpos", right: str = "rpos", bin_width: int = WIDTH) -> DataFrame:
     """stretches with max, area, covered, ave and dev of the segments wholly inside; gaps add nothing to the variance; without any, ave 0 and dev 1."""
     own = [*keys, left, right]
-    inside = stretches.join(segs, list(keys), "left").where(F.col("p").isNull() | ((F.col("p") >= F.col(left)) & (F.col("q") <= F.col(right))))
+    inside = within(segs, F.col("p"), stretches.select(*own).distinct(), keys, left, right, bin_width).where(F.col("q") <= F.col(right))
     width = F.col("q") - F.col("p")
     sums = inside.groupBy(*own).agg(F.max("cov").alias("max"), F.sum(width * F.col("cov")).alias("area"), F.sum(width).alias("covered"), F.sum(width * F.col("cov") * F.col("cov")).alias("_squares"))
     length = (F.col(right) - F.col(left)).cast("double")
@@ -42,11 +43,11 @@ def islands(segs: DataFrame, keys: Sequence[str] = ("tid",), gap: int = 0, left:
     return cut.groupBy(*keys, "_k").agg(F.min(left).alias("l"), F.max(right).alias("r")).drop("_k")
 
 
-def covering(points: DataFrame, segs: DataFrame, keys: Sequence[str], point: str = "x") -> DataFrame:
-    """points with cov, the coverage where they lie (0 outside segments): the last segment that starts at or before each, by one ordered pass."""
+def covering(points: DataFrame, segs: DataFrame, keys: Sequence[str], point: str = "x", bin_width: int = BIN) -> DataFrame:
+    """points with cov, the coverage where they lie (0 outside segments): the last segment that starts at or before each, by one pass in bins of the order."""
     tagged = segs.select(*keys, F.col("p").alias("_at"), F.lit(0).alias("_point"), F.struct("q", "cov").alias("_seg")).unionByName(points.select(*keys, F.col(point).alias("_at"), F.lit(1).alias("_point")), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_at", "_point").rowsBetween(Window.unboundedPreceding, 0)
-    found = tagged.withColumn("_last", F.last("_seg", ignorenulls=True).over(w)).where("_point = 1")
+    seg = F.when(F.col("_point") == 0, F.struct(F.col("_at").alias("p"), F.col("_seg.q").alias("q"), F.col("_seg.cov").alias("cov")))
+    found = running(tagged, keys, F.floor(F.col("_at") / bin_width), ["_at", "_point"], seg, "max", "_last").where("_point = 1")
     return found.select(*keys, F.col("_at").alias(point), F.when(F.col("_at") < F.col("_last.q"), F.col("_last.cov")).otherwise(F.lit(0).cast("long")).alias("cov"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociflow.operators.bins import WIDTH, within
+
 #: Kinds of boundaries (fixed values).
 START, END, LEFT, RIGHT, BOTH = 1, 2, 3, 4, 5
 
@@ -38,20 +40,20 @@ def numbered(regs: DataFrame, keys: Sequence[str] = ("tid", "bid"), left: str =
     return regs.withColumn("rid", F.row_number().over(Window.partitionBy(*keys).orderBy(left)) - 1)
 
 
-def locate(hits: DataFrame, regs: DataFrame, keys: Sequence[str] = ("tid", "bid"), left: str = "pos", right: str = "rpos") -> DataFrame:
+def locate(hits: DataFrame, regs: DataFrame, keys: Sequence[str] = ("tid", "bid"), left: str = "pos", right: str = "rpos", bin_width: int = WIDTH) -> DataFrame:
     """hits with first_rid and last_rid: the numbered regions that hold their first and last base."""
-    at = lambda x, name: regs.select(*keys, F.col("l").alias(f"_l{name}"), F.col("r").alias(f"_r{name}"), F.col("rid").alias(name))
-    both = hits.join(at(left, "first_rid"), list(keys)).where(F.col(left).between(F.col("_lfirst_rid"), F.col("_rfirst_rid") - 1))
-    both = both.join(at(right, "last_rid"), list(keys)).where((F.col(right) - 1).between(F.col("_llast_rid"), F.col("_rlast_rid") - 1))
+    at = lambda name: regs.select(*keys, F.col("l").alias("_l"), F.col("r").alias("_r"), F.col("rid").alias(name))
+    both = within(hits, F.col(left), at("first_rid"), keys, "_l", "_r", bin_width).drop("_l", "_r")
+    both = within(both, F.col(right) - 1, at("last_rid"), keys, "_l", "_r", bin_width)
     return both.select(*hits.columns, "first_rid", "last_rid")
 
 
-def partial_exons(regs: DataFrame, segs: DataFrame, keys: Sequence[str] = ("tid", "bid"), on: Sequence[str] = ("tid",), gap: int = 3, least_length: int = 15, least_sum: float = 3, least_ave: float = 1.5) -> DataFrame:
+def partial_exons(regs: DataFrame, segs: DataFrame, keys: Sequence[str] = ("tid", "bid"), on: Sequence[str] = ("tid",), gap: int = 3, least_length: int = 15, least_sum: float = 3, least_ave: float = 1.5, bin_width: int = WIDTH) -> DataFrame:
     """keys, l, r, length, area, empty: the covered stretches of each region, with gaps of at most `gap` filled, the region's ends too.
 
     A stretch that doesn't touch both ends of its region is empty if short, thin on average or thin in sum.
     """
-    inside = regs.join(segs, list(on)).where("p >= l AND q <= r").select(*keys, "l", "r", "p", "q", "cov")
+    inside = within(segs, F.col("p"), regs.select(*keys, "l", "r"), on, "l", "r", bin_width).where("q <= r").select(*keys, "l", "r", "p", "q", "cov")
     w = Window.partitionBy(*keys, "l").orderBy("p")
     new = F.when(F.col("p") > F.coalesce(F.lag("q").over(w), F.col("l")) + gap, 1).otherwise(0)
     cut = inside.withColumn("_k", F.sum(new).over(w))

@@ -58,7 +58,9 @@ def infer_library(rows: DataFrame, per_strand: int = 50_000, least: int = 10_000
 
     Which library type most of them fit, if that is more than `ratio`, and 'unstranded' otherwise or where a strand has less than `least`.
     """
-    ranked = rows.where(F.col("xs").isin("+", "-") & F.col("predicted").isin("+", "-")).withColumn("n", F.row_number().over(Window.partitionBy("xs").orderBy("i"))).where(F.col("n") <= per_strand)
+    known = rows.where(F.col("xs").isin("+", "-") & F.col("predicted").isin("+", "-"))
+    first = known.where("xs = '+'").orderBy("i").limit(per_strand).unionByName(known.where("xs = '-'").orderBy("i").limit(per_strand))  # each task keeps its own first ones
+    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("xs").orderBy("i")))
     sizes = ranked.agg(F.least(F.count_if(F.col("xs") == "+"), F.count_if(F.col("xs") == "-")).alias("each"))
     taken = ranked.crossJoin(F.broadcast(sizes)).where("n <= each")
     out = taken.agg(F.count_if(F.col("xs") == F.col("predicted")).alias("first"), F.count_if(F.col("xs") != F.col("predicted")).alias("second"), F.coalesce(F.max("each"), F.lit(0)).alias("sampled"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.operators.running import running
+
 
 def features(trs: DataFrame, exons: str = "exons") -> DataFrame:
     """trs with n_exons, length, start, end, introns (array<struct<l,r>>)."""
@@ -30,13 +32,13 @@ def nested(inner: DataFrame, introns: DataFrame, keys: Sequence[str], bin_width:
     return a.join(b.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a._bin") == F.col("b._bin"), F.col("b._l") > F.col("a.l"), F.col("b._r") < F.col("a.r"), F.col("b._cov") >= F.col("a.cov")], "left_semi").select("a.id").distinct()
 
 
-def not_contained(rows: DataFrame, keys: Sequence[str], order: Sequence[str], left: str = "pos", right: str = "rpos") -> DataFrame:
-    """rows that no other of their keys contains, by one ordered pass: a row is contained if one that starts before it, or with it but first in order, reaches as far.
+def not_contained(rows: DataFrame, keys: Sequence[str], order: Sequence[str], left: str = "pos", right: str = "rpos", bin_width: int = 4096) -> DataFrame:
+    """rows that no other of their keys contains, by one pass in bins of the order: a row is contained if one that starts before it, or with it but first in order, reaches as far.
 
     `order` starts with the left end; equal intervals keep their first.
     """
-    w = Window.partitionBy(*keys).orderBy(F.col(left), F.col(right).desc(), *order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("_far", F.max(right).over(w)).where(F.col("_far").isNull() | (F.col(right) > F.col("_far"))).drop("_far")
+    far = running(rows, keys, F.floor(F.col(left) / bin_width), [F.col(left), F.col(right).desc(), *order], F.col(right), "max", "_far", with_own=False)
+    return far.where(F.col("_far").isNull() | (F.col(right) > F.col("_far"))).drop("_far")
 
 
 def gene_features(trs: DataFrame) -> DataFrame:
@@ -46,13 +48,13 @@ def gene_features(trs: DataFrame) -> DataFrame:
     return trs.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n"), F.sum("coverage").alias("coverage"), F.min(first).alias("start"), F.max(last).alias("end"), ends.alias("boundaries"))
 
 
-def joined_neighbours(rows: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
+def joined_neighbours(rows: DataFrame, keys: Sequence[str], gap: int, bin_width: int = 4096) -> DataFrame:
     """Single-exon transcripts (keys, l, r, coverage) joined where at most `gap` apart: keys, l, r, n, coverage (by length)."""
-    w = Window.partitionBy(*keys).orderBy("l", "r")
-    reach = F.max("r").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cut = rows.withColumn("_new", F.when(reach.isNull() | (F.col("l") > reach + gap), 1).otherwise(0))
+    bins, order = F.floor(F.col("l") / bin_width), ["l", "r", *[c for c in rows.columns if c not in (*keys, "l", "r")]]
+    reached = running(rows, keys, bins, order, F.col("r"), "max", "_reach", with_own=False)
+    new = F.when(F.col("_reach").isNull() | (F.col("l") > F.col("_reach") + gap), 1).otherwise(0)
     size = F.col("r") - F.col("l")
-    return cut.withColumn("_k", F.sum("_new").over(w)).groupBy(*keys, "_k").agg(F.min("l").alias("l"), F.max("r").alias("r"), F.count(F.lit(1)).alias("n"), (F.sum(F.col("coverage") * size) / F.sum(size)).alias("coverage")).drop("_k")
+    return running(reached, keys, bins, order, new, "sum", "_k").groupBy(*keys, "_k").agg(F.min("l").alias("l"), F.max("r").alias("r"), F.count(F.lit(1)).alias("n"), (F.sum(F.col("coverage") * size) / F.sum(size)).alias("coverage")).drop("_k")
 
 
 def consensus(runs: DataFrame, keys: Sequence[str], least_multi: int = 5, least_single: int = 11, n_runs: int = 10) -> DataFrame:

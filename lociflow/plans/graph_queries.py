@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lociflow.functions import alignments as A
 from lociflow.operators import bridging, graphs, junctions, transcripts
+from lociflow.operators.bins import within
 from lociflow.operators.components import components
-from lociflow.plans.locus_queries import BASE, _junctions, _regions, _segments
+from lociflow.plans.locus_queries import BASE, BIN, _junctions, _regions, _segments
 from lociflow.sources.shared import written
 from lociflow.sources.tables import read
 
@@ -93,8 +94,9 @@ def graph_reachability(spark, d):
 def _graph(spark, d):
     """Vertices and edges of all loci, as tables: each is used several times over."""
     regs, segs = written(_regions(spark, d), "regions"), _segments(spark, d)
-    ex = junctions.partial_exons(regs, segs).where("NOT empty").select("tid", "bid", "l", "r", (F.col("area") / F.col("length")).alias("w"))
-    jun = _junctions(spark, d).join(regs.select("tid", "bid").distinct(), "tid").select("tid", "bid", "lpos", "rpos", "cnt")
+    ex = junctions.partial_exons(regs, segs, bin_width=BIN).where("NOT empty").select("tid", "bid", "l", "r", (F.col("area") / F.col("length")).alias("w"))
+    spans = regs.groupBy("tid", "bid").agg(F.min("l").alias("_l"), F.max("r").alias("_r"))
+    jun = within(_junctions(spark, d), F.col("lpos") - 1, spans, ["tid"], "_l", "_r", BIN).where("rpos < _r").select("tid", "bid", "lpos", "rpos", "cnt")
     v, e = graphs.splice_graph(written(ex, "exons"), jun, ["tid", "bid"])
     return written(v, "vertices"), written(e, "edges")
 
@@ -150,9 +152,8 @@ def locus_graph_components(spark, d):
     """The heaviest inner edge of each locus's components without source and sink."""
     v, e = _graph(spark, d)
     inner = e.where("kind IN ('junction', 'adjacent')")
-    code = F.col("tid") * 1_000_000_000 + F.col("bid") * 10_000
-    labels = components(inner.select((code + F.col("s")).alias("a"), (code + F.col("t")).alias("b")))
-    own = labels.select(F.floor(F.col("node") / 1_000_000_000).alias("tid"), (F.floor(F.col("node") / 10_000) % 100_000).alias("bid"), (F.col("node") % 10_000).cast("int").alias("v"), (F.col("label") % 10_000).cast("int").alias("label"))
+    vertex = lambda c: F.struct("tid", "bid", F.col(c).alias("v"))
+    own = components(inner.select(vertex("s").alias("a"), vertex("t").alias("b"))).select("node.*", F.col("label.v").alias("label"))
     return graphs.heaviest_edges(e, own, ["tid", "bid"], 1.5).select("tid", "bid", "label", "s", "t", F.round("w", 6).alias("w"))
 
 

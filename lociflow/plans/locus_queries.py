@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from lociflow.functions import alignments as A
 from lociflow.operators import coverage, junctions, loci, mates
+from lociflow.operators.bins import within
+from lociflow.operators.running import following
+from lociflow.sources.shared import written
 from lociflow.sources.tables import ALN_SQL, ORDER, alignments, read
 
 GAP = 20
+#: Width of coordinate bins: the projection's coordinates are days.
+BIN = 64
 ORD = "pos, rpos, qid, ln, hid"
 #: What the SQL of most queries starts with: alignments, their loci (bnd), the loci (bun), introns (jun0), junctions (jun), segments (seg).
 BASE = f"""WITH {ALN_SQL},
@@ -28,7 +33,7 @@ reg AS (SELECT tid, bid, l, r, CASE WHEN t = 5 THEN 4 ELSE t END AS ltype, CASE
 
 
 def _assigned(spark, d) -> DataFrame:
-    return loci.assign_loci(alignments(spark, d), GAP)
+    return loci.assign_loci(alignments(spark, d), GAP, bin_width=8 * BIN)
 
 
 def _loci(spark, d) -> DataFrame:
@@ -48,10 +53,17 @@ def _segments(spark, d) -> DataFrame:
 
 
 def _regions(spark, d) -> DataFrame:
-    bun = _loci(spark, d).select("tid", "bid", "lpos", "rpos")
-    ends = _junctions(spark, d).select("tid", "lpos", "rpos")
-    cuts = ends.join(bun.select("tid", "bid", F.col("lpos").alias("_l"), F.col("rpos").alias("_r")), "tid").where("(lpos > _l AND lpos < _r) OR (rpos > _l AND rpos < _r)").select("tid", "bid", "lpos", "rpos")
-    return junctions.numbered(junctions.regions(bun, cuts))
+    bun = written(_loci(spark, d).select("tid", "bid", "lpos", "rpos"), "loci")
+    ends = _junctions(spark, d).select("tid", "lpos", "rpos", F.explode(F.array("lpos", "rpos")).alias("x"))
+    held = within(ends, F.col("x"), bun.select("tid", "bid", F.col("lpos").alias("_l"), F.col("rpos").alias("_r")), ["tid"], "_l", "_r", BIN).where("x > _l")
+    return junctions.numbered(junctions.regions(bun, held.select("tid", "bid", "lpos", "rpos").distinct()))
+
+
+def _located(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Alignments of loci with the regions of their ends, and the regions."""
+    rows, regs = written(_assigned(spark, d), "assigned"), written(_regions(spark, d), "regions")
+    hits = rows.join(loci.loci(rows).select("tid", "bid"), ["tid", "bid"], "left_semi")
+    return junctions.locate(hits, regs, bin_width=BIN), regs
 
 
 def bundles(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +71,7 @@ def bundles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bundles_mate_extended(spark, d):
-    aln = alignments(spark, d).withColumn("mpos", F.lead("pos").over(Window.partitionBy("tid").orderBy(*ORDER)))
+    aln = following(alignments(spark, d), ["tid"], F.floor(F.col("pos") / (8 * BIN)), ORDER, "pos", "mpos")
     return loci.loci(loci.assign_loci(aln.withColumn("ext", loci.mate_extended()), GAP, end="ext"), end="ext")
 
 
@@ -89,7 +101,7 @@ def coverage_segments(spark, d):
 
 def coverage_bundle_stats(spark, d):
     b = _loci(spark, d).select("tid", "bid", "lpos", "rpos")
-    s = coverage.stretch_stats(b, _segments(spark, d), ["tid"])
+    s = coverage.stretch_stats(written(b, "loci"), _segments(spark, d), ["tid"], bin_width=BIN)
     return s.select("tid", "bid", F.col("max").alias("mx"), "area", "covered", F.round("ave", 6).alias("ave"), F.round("dev", 6).alias("dev"))
 
 
@@ -120,22 +132,20 @@ def regions(spark, d):
 
 
 def partial_exons(spark, d):
-    return junctions.partial_exons(_regions(spark, d), _segments(spark, d))
+    return junctions.partial_exons(_regions(spark, d), _segments(spark, d), bin_width=BIN)
 
 
 def hit_region_list(spark, d):
-    hits = _assigned(spark, d).join(_loci(spark, d).select("tid", "bid"), ["tid", "bid"], "left_semi")
-    return junctions.locate(hits, _regions(spark, d)).select("tid", "bid", "qid", "ln", "hid", "first_rid", "last_rid")
+    return _located(spark, d)[0].select("tid", "bid", "qid", "ln", "hid", "first_rid", "last_rid")
 
 
 def region_inverted_index(spark, d):
-    hits = _assigned(spark, d).join(_loci(spark, d).select("tid", "bid"), ["tid", "bid"], "left_semi")
-    listed = junctions.locate(hits, _regions(spark, d)).select("tid", "bid", F.posexplode(F.sequence("first_rid", "last_rid")).alias("place", "rid"))
+    listed = _located(spark, d)[0].select("tid", "bid", F.posexplode(F.sequence("first_rid", "last_rid")).alias("place", "rid"))
     return listed.groupBy("tid", "bid", "rid").agg(F.count(F.lit(1)).alias("n"), F.sum("place").alias("places"))
 
 
 def junction_exon_link(spark, d):
-    regs = _regions(spark, d)
+    regs = written(_regions(spark, d), "regions")
     left = regs.select("tid", "bid", F.col("r").alias("lpos"), F.col("rid").alias("lexon"))
     right = regs.select("tid", "bid", F.col("l").alias("rpos"), F.col("rid").alias("rexon"))
     return _junctions(spark, d).select("tid", "lpos", "rpos", "cnt").join(left, ["tid", "lpos"]).join(right, ["tid", "bid", "rpos"]).select("tid", "bid", "lpos", "rpos", "cnt", "lexon", "rexon")
@@ -160,9 +170,8 @@ def umi_links(spark, d):
 
 
 def tiny_boundary(spark, d):
-    regs = _regions(spark, d)
-    hits = _assigned(spark, d).join(_loci(spark, d).select("tid", "bid"), ["tid", "bid"], "left_semi")
-    first = junctions.locate(hits, regs).join(regs.select("tid", "bid", F.col("rid").alias("first_rid"), "l", "r"), ["tid", "bid", "first_rid"])
+    located, regs = _located(spark, d)
+    first = located.join(regs.select("tid", "bid", F.col("rid").alias("first_rid"), "l", "r"), ["tid", "bid", "first_rid"])
     own = F.least("rpos", "r") - F.col("pos")
     tiny = (own <= 10) & (own < F.lit(0.4) * (F.col("r") - F.col("l"))) & (F.col("last_rid") == F.col("first_rid") + 1)
     return first.groupBy("tid", tiny.alias("tiny")).agg(F.count(F.lit(1)).alias("n"))
@@ -184,7 +193,7 @@ def insert_size_stats(spark, d):
 
 def strand_inference(spark, d):
     rows = alignments(spark, d).select("xs", F.when(F.col("hid") % 10 == 0, F.when(F.col("xs") == "+", "-").otherwise("+")).otherwise(F.col("xs")).alias("predicted"), F.struct("tid", *ORDER).alias("i"))
-    return mates.infer_library(rows, per_strand=5000, least=1000)
+    return mates.infer_library(rows)
 
 
 def locus_topk(spark, d):
@@ -205,10 +214,10 @@ def sessions(spark, d):
 
 def locus_summary(spark, d):
     """Each locus of five alignments or more: bounds, number, junctions inside, covered length and highest coverage."""
-    b = _loci(spark, d)
-    st = coverage.stretch_stats(b.select("tid", "bid", "lpos", "rpos"), _segments(spark, d), ["tid"]).select("tid", "bid", "covered", F.col("max").alias("highest"))
+    b = written(_loci(spark, d), "loci")
+    st = coverage.stretch_stats(b.select("tid", "bid", "lpos", "rpos"), _segments(spark, d), ["tid"], bin_width=BIN).select("tid", "bid", "covered", F.col("max").alias("highest"))
     j = _junctions(spark, d).select("tid", F.col("lpos").alias("jl"), F.col("rpos").alias("jr"))
-    inside = b.join(j, "tid").where("jl >= lpos AND jr <= rpos").groupBy("tid", "bid").agg(F.count(F.lit(1)).alias("junctions"))
+    inside = within(j, F.col("jl"), b.select("tid", "bid", "lpos", "rpos"), ["tid"], "lpos", "rpos", BIN).where("jr <= rpos").groupBy("tid", "bid").agg(F.count(F.lit(1)).alias("junctions"))
     return b.join(st, ["tid", "bid"]).join(inside, ["tid", "bid"], "left").fillna(0, ["junctions"])
 
 
@@ -263,8 +272,8 @@ QUERIES = {
     ),
     "strand_inference": (
         strand_inference,
-        f"WITH {ALN_SQL}, p AS (SELECT xs, CASE WHEN hid % 10 = 0 THEN CASE WHEN xs = '+' THEN '-' ELSE '+' END ELSE xs END AS predicted, row_number() OVER (PARTITION BY xs ORDER BY tid, {ORD}) AS n FROM aln WHERE xs <> '.'), c AS (SELECT * FROM p WHERE n <= 5000), e AS (SELECT least(count(*) FILTER (xs = '+'), count(*) FILTER (xs = '-')) AS each FROM c), t AS (SELECT count(*) FILTER (xs = predicted) AS first, count(*) FILTER (xs <> predicted) AS second, max(each) AS sampled FROM c, e WHERE n <= each) "
-        "SELECT *, CASE WHEN sampled < 1000 THEN 'unstranded' WHEN first > 0.85 * 2 * sampled THEN 'first' WHEN second > 0.85 * 2 * sampled THEN 'second' ELSE 'unstranded' END AS library FROM t",
+        f"WITH {ALN_SQL}, p AS (SELECT xs, CASE WHEN hid % 10 = 0 THEN CASE WHEN xs = '+' THEN '-' ELSE '+' END ELSE xs END AS predicted, row_number() OVER (PARTITION BY xs ORDER BY tid, {ORD}) AS n FROM aln WHERE xs <> '.'), c AS (SELECT * FROM p WHERE n <= 50000), e AS (SELECT least(count(*) FILTER (xs = '+'), count(*) FILTER (xs = '-')) AS each FROM c), t AS (SELECT count(*) FILTER (xs = predicted) AS first, count(*) FILTER (xs <> predicted) AS second, max(each) AS sampled FROM c, e WHERE n <= each) "
+        "SELECT *, CASE WHEN sampled < 10000 THEN 'unstranded' WHEN first > 0.85 * 2 * sampled THEN 'first' WHEN second > 0.85 * 2 * sampled THEN 'second' ELSE 'unstranded' END AS library FROM t",
     ),
     "locus_topk": (locus_topk, BASE + "SELECT tid, bid, n, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY n DESC, bid) AS rank FROM bun) WHERE rank <= 10"),
     "cluster_islands": (cluster_islands, "WITH e AS (SELECT user_id, event_type, event_id, CAST(round(value * 100) AS BIGINT) AS v FROM events), c AS (SELECT *, CASE WHEN abs(v - lag(v) OVER (PARTITION BY user_id, event_type ORDER BY v, event_id)) > 300 THEN 1 ELSE 0 END AS cut FROM e), k AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY user_id, event_type ORDER BY v, event_id) AS BIGINT) AS cluster FROM c) SELECT user_id, event_type, cluster, count(*) AS n, min(v) AS lo, max(v) AS hi FROM k GROUP BY 1, 2, 3"),
