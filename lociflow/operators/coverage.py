@@ -51,6 +51,15 @@ def covering(points: DataFrame, segs: DataFrame, keys: Sequence[str], point: str
     return found.select(*keys, F.col("_at").alias(point), F.when(F.col("_at") < F.col("_last.q"), F.col("_last.cov")).otherwise(F.lit(0).cast("long")).alias("cov"))
 
 
+def split(segs: DataFrame, points: DataFrame, keys: Sequence[str] = ("tid",), point: str = "x", bin_width: int = WIDTH) -> DataFrame:
+    """segs cut at the points (keys, point) that lie strictly inside them: keys, p, q, cov."""
+    cuts = within(points.select(*keys, point).distinct(), F.col(point), segs.select(*keys, "p", "q"), keys, "p", "q", bin_width).where(F.col(point) > F.col("p"))
+    inner = cuts.groupBy(*keys, "p", "q").agg(F.array_sort(F.collect_list(point)).alias("_at"))
+    ends = segs.join(inner, [*keys, "p", "q"], "left").withColumn("_at", F.coalesce("_at", F.array().cast(inner.schema["_at"].dataType)))
+    parts = F.zip_with(F.concat(F.array("p"), "_at"), F.concat("_at", F.array("q")), lambda a, b: F.struct(a.alias("p"), b.alias("q")))
+    return ends.select(*keys, "cov", F.explode(parts).alias("e")).select(*keys, "e.p", "e.q", "cov")
+
+
 def line_fit(segs: DataFrame, keys: Sequence[str] = ("tid",)) -> DataFrame:
     """keys, slope, intercept of the least-squares line through the segments' middles."""
     middle = (F.col("p") + F.col("q")) / 2.0

@@ -80,6 +80,48 @@ def splice_graph(exons: DataFrame, junctions: DataFrame, keys: Sequence[str], fl
     return v.select(*keys, "v", "l", "r", "w"), inner.unionByName(starts).unionByName(ends)
 
 
+def graph_stats(vertices: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, vertices, edges, junctions (how many), vertex_weight, edge_weight (means), s, t, w (the heaviest edge, the last on ties) of each locus."""
+    e = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("kind") == "junction").alias("junctions"), F.avg("w").alias("edge_weight"), F.max(F.struct("w", "s", "t")).alias("_m"))
+    v = vertices.groupBy(*keys).agg(F.count(F.lit(1)).alias("vertices"), F.avg("w").alias("vertex_weight"))
+    return v.join(e, list(keys)).select(*keys, "vertices", "edges", "junctions", "vertex_weight", "edge_weight", "_m.s", "_m.t", "_m.w")
+
+
+def worth_solving(vertices: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys of the loci with an edge and with a vertex (regional: boolean) that isn't regional."""
+    return vertices.groupBy(*keys).agg(F.bool_and("regional").alias("_r")).where("NOT _r").select(*keys).join(edges.select(*keys).distinct(), list(keys), "left_semi")
+
+
+def contained_paths(paths: DataFrame, members: DataFrame) -> DataFrame:
+    """Paths (path, cnt) all of whose vertices are members (v, n: their new numbers), with numbers for vertices: path, cnt."""
+    steps = paths.select("path", "cnt", F.posexplode("path").alias("_i", "v")).join(members.select("v", "n"), "v", "left")
+    whole = steps.groupBy("path", "cnt").agg(F.array_sort(F.collect_list(F.struct("_i", "n"))).alias("_e"), F.bool_and(F.col("n").isNotNull()).alias("_ok")).where("_ok")
+    return whole.select(F.transform("_e", lambda x: x["n"]).alias("path"), "cnt")
+
+
+def graph_lines(vertices: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, line_no, value: each graph as text. The number of vertices with source and sink, then "name weight length" of each, then "source target weight length" of each edge, by number."""
+    number = lambda w: F.format_string("%.4f", w.cast("double"))
+    n = vertices.groupBy(*keys).agg((F.count(F.lit(1)) + 2).cast("int").alias("_n"))
+    ends = n.select(*keys, F.explode(F.array(F.lit(0), F.col("_n") - 1)).alias("v"), F.lit(0.0).alias("w"), F.lit(0).alias("size"))
+    named = vertices.select(*keys, "v", F.col("w").cast("double").alias("w"), (F.col("r") - F.col("l")).alias("size")).unionByName(ends)
+    head = n.select(*keys, F.lit(0).alias("line_no"), F.col("_n").cast("string").alias("value"))
+    body = named.select(*keys, (F.col("v") + 1).alias("line_no"), F.concat_ws(" ", F.concat(F.lit("v"), "v"), number(F.col("w")), F.col("size").cast("string")).alias("value"))
+    lines = edges.join(n, list(keys)).withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("s", "t", "kind")))
+    rows = lines.select(*keys, (F.col("_n") + F.col("_k")).alias("line_no"), F.concat_ws(" ", F.col("s").cast("string"), F.col("t").cast("string"), number(F.col("w")), F.lit("1")).alias("value"))
+    return head.unionByName(body).unionByName(rows)
+
+
+def parse_graph(lines: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Vertices (keys, v, name, w, length) and edges (keys, s, t, w, length) of graphs written by graph_lines()."""
+    f = F.split("value", " ")
+    n = lines.where("line_no = 0").select(*keys, F.col("value").cast("int").alias("_n"))
+    rows = lines.where("line_no > 0").join(n, list(keys))
+    v = rows.where("line_no <= _n").select(*keys, (F.col("line_no") - 1).alias("v"), f[0].alias("name"), f[1].cast("double").alias("w"), f[2].cast("int").alias("length"))
+    e = rows.where("line_no > _n").select(*keys, f[0].cast("int").alias("s"), f[1].cast("int").alias("t"), f[2].cast("double").alias("w"), f[3].cast("int").alias("length"))
+    return v, e
+
+
 def vertex_rules(vertices: DataFrame, edges: DataFrame, keys: Sequence[str], short: int = 20, thin: float = 2.0) -> DataFrame:
     """keys, v, rule of the vertices that one round of cleaning marks: 'small exon' and 'intron contamination'.
 
@@ -105,9 +147,9 @@ def weak_junctions(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return edges.where("kind = 'junction'").join(into, [*keys, "s"]).join(out, [*keys, "t"]).where((F.col("before") >= limit) & (F.col("behind") >= limit)).select(*keys, "s", "t")
 
 
-def extended_boundaries(vertices: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+def extended_boundaries(vertices: DataFrame, edges: DataFrame, keys: Sequence[str], sinks: DataFrame | None = None) -> DataFrame:
     """New start and end edges (keys, s, t, w, kind) of vertices far heavier than all that enters or leaves them (at least 10 e**2 + 10)."""
-    sink = vertices.groupBy(*keys).agg((F.max("v") + 1).alias("sink"))
+    sink = vertices.groupBy(*keys).agg((F.max("v") + 1).alias("sink")) if sinks is None else sinks
     known = vertices.select(*keys, "v", F.col("w").alias("wv")).join(degrees(edges, keys), [*keys, "v"]).join(sink, list(keys))
     enough = lambda e: (F.col("wv") >= 10 * F.col(e) * F.col(e) + 10) & (F.col("wv") >= F.col(e))
     started = edges.where("kind = 'start'").select(*keys, F.col("t").alias("v"))

@@ -14,9 +14,9 @@ START, END, LEFT, RIGHT, BOTH = 1, 2, 3, 4, 5
 
 
 def junctions(introns: DataFrame, keys: Sequence[str] = ("tid",), least: int = 1) -> DataFrame:
-    """keys, lpos, rpos, cnt, s1, s2 (how many on + and on -), strand ('.' if both or none) of each intron (lpos, rpos, xs) with `least` alignments."""
+    """keys, lpos, rpos, cnt, s1, s2 (how many on + and on -), strand ('.' if both or none), and nm (sum of mismatches) where introns have it, of each intron (lpos, rpos, xs) with `least` alignments."""
     plus, minus = F.count_if(F.col("xs") == "+"), F.count_if(F.col("xs") == "-")
-    out = introns.groupBy(*keys, "lpos", "rpos").agg(F.count(F.lit(1)).alias("cnt"), plus.alias("s1"), minus.alias("s2")).where(F.col("cnt") >= least)
+    out = introns.groupBy(*keys, "lpos", "rpos").agg(F.count(F.lit(1)).alias("cnt"), plus.alias("s1"), minus.alias("s2"), *[F.sum("nm").alias("nm") for c in introns.columns if c == "nm"]).where(F.col("cnt") >= least)
     return out.withColumn("strand", F.when((F.col("s1") > 0) & (F.col("s2") == 0), "+").when((F.col("s2") > 0) & (F.col("s1") == 0), "-").otherwise("."))
 
 
@@ -48,17 +48,76 @@ def locate(hits: DataFrame, regs: DataFrame, keys: Sequence[str] = ("tid", "bid"
     return both.select(*hits.columns, "first_rid", "last_rid")
 
 
-def partial_exons(regs: DataFrame, segs: DataFrame, keys: Sequence[str] = ("tid", "bid"), on: Sequence[str] = ("tid",), gap: int = 3, least_length: int = 15, least_sum: float = 3, least_ave: float = 1.5, bin_width: int = WIDTH) -> DataFrame:
-    """keys, l, r, length, area, empty: the covered stretches of each region, with gaps of at most `gap` filled, the region's ends too.
+def annotated(introns: DataFrame, loci: DataFrame, keys: Sequence[str] = ("tid",), bin_width: int = WIDTH) -> DataFrame:
+    """Junctions of reference transcripts' introns (keys, lpos, rpos, xs) strictly inside a locus (keys, bid, lpos, rpos): keys, bid, lpos, rpos, cnt (negative: not from reads), strand."""
+    bounds = loci.select(*keys, "bid", F.col("lpos").alias("_l"), F.col("rpos").alias("_r"))
+    held = within(introns, F.col("lpos"), bounds, keys, "_l", "_r", bin_width).where("lpos > _l AND rpos < _r")
+    return junctions(held, [*keys, "bid"]).select(*keys, "bid", "lpos", "rpos", (-F.col("cnt")).alias("cnt"), "strand")
 
-    A stretch that doesn't touch both ends of its region is empty if short, thin on average or thin in sum.
+
+def clipped(blocks: DataFrame, loci: DataFrame, keys: Sequence[str] = ("tid",), bin_width: int = WIDTH) -> DataFrame:
+    """blocks (keys, pos, rpos, ...) with bid, cut to each locus (keys, bid, lpos, rpos) that they overlap. A pair counts in the bin where the later of both starts."""
+    from lociflow.operators.bins import in_bins
+
+    bounds = in_bins(loci.select(*keys, "bid", F.col("lpos").alias("_l"), F.col("rpos").alias("_r")), "_l", "_r", bin_width)
+    both = in_bins(blocks, "pos", "rpos", bin_width).join(bounds, [*keys, "_bin"]).where((F.col("pos") < F.col("_r")) & (F.col("_l") < F.col("rpos")) & (F.col("_bin") == F.floor(F.greatest("pos", "_l") / bin_width)))
+    return both.select(*[F.greatest("pos", "_l").alias(c) if c == "pos" else F.least("rpos", "_r").alias(c) if c == "rpos" else F.col(c) for c in blocks.columns], "bid")
+
+
+def align_blocks(blocks: DataFrame, exons: DataFrame, keys: Sequence[str] = ("tid", "bid"), slack: int = 3, bin_width: int = WIDTH) -> DataFrame:
+    """blocks (keys, pos, rpos) with first and last: the numbered exons (keys, v, l, r; from 1) of their ends.
+
+    An end with less than `slack` in its exon, but more than that of the exon outside, belongs to the next one inward. Blocks with an end in no exon are left out.
     """
+    n = exons.groupBy(*keys).agg(F.max("v").alias("_n"))
+    at = exons.select(*keys, "v", F.col("l").alias("_l"), F.col("r").alias("_r"))
+    left = within(blocks, F.col("pos"), at, keys, "_l", "_r", bin_width)
+    first = F.col("v") + ((F.col("pos") - F.col("_l") > slack) & (F.col("_r") - F.col("pos") < slack)).cast("int")
+    right = within(left.select(*blocks.columns, first.alias("first")), F.col("rpos") - 1, at, keys, "_l", "_r", bin_width)
+    last = F.col("v") - ((F.col("_r") - F.col("rpos") > slack) & (F.col("rpos") - F.col("_l") <= slack)).cast("int")
+    return right.select(*blocks.columns, "first", last.alias("last")).join(n, list(keys)).where("first <= _n AND last >= 1").drop("_n")
+
+
+def _covered(regs: DataFrame, segs: DataFrame, keys: Sequence[str], on: Sequence[str], gap: int, bin_width: int) -> DataFrame:
+    """keys, _l, _r (the region's), l, r, area of the covered stretches of each region, with gaps of at most `gap` filled, the region's ends too."""
     inside = within(segs, F.col("p"), regs.select(*keys, "l", "r"), on, "l", "r", bin_width).where("q <= r").select(*keys, "l", "r", "p", "q", "cov")
     w = Window.partitionBy(*keys, "l").orderBy("p")
     new = F.when(F.col("p") > F.coalesce(F.lag("q").over(w), F.col("l")) + gap, 1).otherwise(0)
     cut = inside.withColumn("_k", F.sum(new).over(w))
     parts = cut.groupBy(*keys, "l", "r", "_k").agg(F.min("p").alias("a"), F.max("q").alias("b"), F.sum((F.col("q") - F.col("p")) * F.col("cov")).alias("area"))
     a, b = F.when(F.col("a") - F.col("l") <= gap, F.col("l")).otherwise(F.col("a")), F.when(F.col("r") - F.col("b") <= gap, F.col("r")).otherwise(F.col("b"))
-    parts = parts.select(*keys, F.col("l").alias("_l"), F.col("r").alias("_r"), a.alias("l"), b.alias("r"), "area").withColumn("length", F.col("r") - F.col("l"))
+    return parts.select(*keys, F.col("l").alias("_l"), F.col("r").alias("_r"), a.alias("l"), b.alias("r"), "area")
+
+
+def partial_exons(regs: DataFrame, segs: DataFrame, keys: Sequence[str] = ("tid", "bid"), on: Sequence[str] = ("tid",), gap: int = 3, least_length: int = 15, least_sum: float = 3, least_ave: float = 1.5, bin_width: int = WIDTH) -> DataFrame:
+    """keys, l, r, length, area, empty: the covered stretches of each region, with gaps of at most `gap` filled, the region's ends too.
+
+    A stretch that doesn't touch both ends of its region is empty if short, thin on average or thin in sum.
+    """
+    parts = _covered(regs, segs, keys, on, gap, bin_width).withColumn("length", F.col("r") - F.col("l"))
     thin = (F.col("length") < least_length) | (F.col("area") < least_ave * F.col("length")) | (F.col("area") < least_sum)
     return parts.select(*keys, "l", "r", "length", "area", (thin & ~((F.col("l") == F.col("_l")) & (F.col("r") == F.col("_r")))).alias("empty"))
+
+
+#: Weight of a one-base exon at a splice that coverage doesn't show (a fixed value).
+STUB_WEIGHT = 0.01
+
+
+def typed_exons(regs: DataFrame, segs: DataFrame, keys: Sequence[str] = ("tid", "bid"), on: Sequence[str] = ("tid",), gap: int = 3, least_length: int = 15, least_sum: float = 3, least_ave: float = 1.5, bin_width: int = WIDTH) -> DataFrame:
+    """keys, rl, rr (the region's), l, r, ltype, rtype, w (mean coverage), empty, stub: partial exons with kinds of boundaries, and one-base stubs.
+
+    A stretch has its region's kind of boundary where it reaches that end, else START or END. One that reaches a spliced end isn't empty. Where coverage
+    doesn't reach a region's spliced end, a stub of one base and STUB_WEIGHT stands there, so that the junction has an exon. Regions without coverage have none.
+    """
+    kinds = regs.select(*keys, F.col("l").alias("rl"), F.col("r").alias("rr"), F.col("ltype").alias("_lt"), F.col("rtype").alias("_rt"))
+    parts = _covered(regs, segs, keys, on, gap, bin_width).withColumnsRenamed({"_l": "rl", "_r": "rr"}).join(kinds, [*keys, "rl", "rr"])
+    left, right, length = F.col("l") == F.col("rl"), F.col("r") == F.col("rr"), F.col("r") - F.col("l")
+    thin = (length < least_length) | (F.col("area") < least_ave * length) | (F.col("area") < least_sum)
+    spliced = (left & (F.col("_lt") == RIGHT)) | (right & (F.col("_rt") == LEFT))
+    columns = [*keys, "rl", "rr", "l", "r", "ltype", "rtype", "w", "empty", "stub"]
+    own = parts.withColumns({"ltype": F.when(left, F.col("_lt")).otherwise(START), "rtype": F.when(right, F.col("_rt")).otherwise(END), "w": F.col("area") / length, "empty": thin & ~(left & right) & ~spliced, "stub": F.lit(False)})
+    seen = parts.groupBy(*keys, "rl", "rr", "_lt", "_rt").agg(F.bool_or(left).alias("_left"), F.bool_or(right).alias("_right"))
+    stub = lambda l, lt, rt: F.struct(l.cast("int").alias("l"), (l + 1).cast("int").alias("r"), lt.alias("ltype"), rt.alias("rtype"))
+    at = F.array_compact(F.array(F.when(~F.col("_left") & (F.col("_lt") == RIGHT), stub(F.col("rl"), F.col("_lt"), F.lit(END))), F.when(~F.col("_right") & (F.col("_rt") == LEFT), stub(F.col("rr") - 1, F.lit(START), F.col("_rt")))))
+    stubs = seen.select(*keys, "rl", "rr", F.explode(at).alias("e")).select(*keys, "rl", "rr", "e.*", F.lit(STUB_WEIGHT).alias("w"), F.lit(False).alias("empty"), F.lit(True).alias("stub"))
+    return own.select(*columns).unionByName(stubs.select(*columns))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.operators.bins import within
 from lociflow.operators.running import following, running
 from lociflow.sources.tables import ORDER
 
@@ -49,6 +50,19 @@ def route_strands(aln: DataFrame, strand: str = "xs", spliced: str = "spliced")
     return aln.withColumn("stream", F.explode(to))
 
 
+def settled_strand(strand: Column, xs: Column) -> Column:
+    """The strand of a stranded library's row: the flags' one, where they show none the tag's; null (not admitted) where both are known and differ."""
+    return F.when((strand != ".") & (xs != ".") & (strand != xs), None).when(strand == ".", xs).otherwise(strand)
+
+
+def touching_coverage(hits: DataFrame, segs: DataFrame, keys: Sequence[str] = ("tid",), bin_width: int = BIN) -> DataFrame:
+    """hits (keys, pos, rpos) with inside: whether one of their ends lies in a covered segment (keys, p, q)."""
+    rows = hits.withColumn("_row", F.struct(*hits.columns))
+    ends = rows.select(*keys, "_row", F.explode(F.array(F.col("pos"), F.col("rpos") - 1)).alias("_x"))
+    held = within(ends, F.col("_x"), segs.select(*keys, "p", "q"), keys, "p", "q", bin_width).select("_row").distinct()
+    return rows.join(held.withColumn("_in", F.lit(True)), "_row", "left").select(*hits.columns, F.coalesce("_in", F.lit(False)).alias("inside"))
+
+
 def admission(tid: str = "tid", flag: str = "flag", n_cigar: str = "n_cigar", mapq: str = "mapq", nh: str = "nh", max_cigar: int = 1000, min_mapq: int = 1, secondary: bool = False, unique: bool = False) -> Column:
     """Why a row is not admitted: the first reason that holds, or 'admitted'."""
     reason = F.when(F.col(tid) < 0, "no sequence").when(F.col(flag).bitwiseAND(0x4) > 0, "unmapped")

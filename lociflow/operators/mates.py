@@ -53,6 +53,13 @@ def insert_size_stats(sizes: DataFrame, low: float = 0.005, high: float = 0.998,
     return run.agg(at(0.5).alias("median"), at(low).alias("low"), at(high).alias("high"), (s / n).alias("mean"), F.sqrt(q / n - (s / n) * (s / n)).alias("std"))
 
 
+def capped(rows: DataFrame, keys: Sequence[str], order: Sequence[str], per_key: int = 1000, least: int = 50, total: int = 1_000_000) -> DataFrame:
+    """A bounded sample: the first `per_key` rows of each key that has `least` or more, and of those the first `total` in order of key."""
+    big = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_of")).where(F.col("_of") >= least).drop("_of")
+    ranked = rows.join(big, list(keys)).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= per_key).drop("_n")
+    return ranked.orderBy(*keys, *order).limit(total)
+
+
 def infer_library(rows: DataFrame, per_strand: int = 50_000, least: int = 10_000, ratio: float = 0.85) -> DataFrame:
     """first, second, sampled, library from rows (xs, predicted, order columns i): balanced samples of both strands, the first `per_strand` of each.
 

@@ -24,6 +24,20 @@ def running(df: DataFrame, keys: Sequence[str], bin_by: Column, order: Sequence[
     return both.select(*df.columns, value_now.alias(name))
 
 
+def look_back(df: DataFrame, keys: Sequence[str], bin_by: Column, order: Sequence[str], value: Column, how: str, name: str, rows: int, chunk: int = 10_000) -> DataFrame:
+    """df with `name`: the max or min of value over the `rows` rows before each within keys, in `order`; null for the first.
+
+    Rows are numbered by running() and windowed in chunks of numbers, each with the last rows of the chunk before it.
+    """
+    f = {"max": F.max, "min": F.min}[how]
+    numbered = running(df.withColumn("_v", value), keys, bin_by, order, F.lit(1), "sum", "_n")
+    own = F.floor((F.col("_n") - 1) / chunk)
+    halo = (F.col("_n") - 1) % chunk >= chunk - rows
+    spread = numbered.withColumn("_chunk", F.explode(F.when(halo, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_n").rowsBetween(-rows, -1)
+    return spread.withColumn(name, f("_v").over(w)).where(F.col("_chunk") == own).select(*df.columns, name)
+
+
 def following(df: DataFrame, keys: Sequence[str], bin_by: Column, order: Sequence[str], value: str, name: str) -> DataFrame:
     """df with `name`: value of the next row within keys, in `order`, null for the last; cut into bins as in running()."""
     rows = df.withColumn("_bin", bin_by)

@@ -68,6 +68,30 @@ def consensus(runs: DataFrame, keys: Sequence[str], least_multi: int = 5, least_
     return grouped.where(F.col("cnt") >= F.when(multi, least_multi).otherwise(least_single)).select(*keys, "introns", "cnt", F.when(multi, F.col("_sum") / n_runs).otherwise(F.col("_min")).alias("coverage"), "start", "end")
 
 
+def merge_items(items: DataFrame, keys: Sequence[str], mode: str = "add") -> DataFrame:
+    """keys, cnt, coverage, start, end, samples (map of sample to its highest coverage) of equal transcripts (keys, coverage, start, end, sample).
+
+    mode: coverages are added, or the highest or lowest one stays ("max", "min"); "none" keeps those of the first item (lowest sample, then bounds and coverage) and only counts.
+    """
+    first = lambda c: F.min(F.struct("sample", "start", "end", "coverage"))[c]
+    known = {"add": F.sum("coverage"), "max": F.max("coverage"), "min": F.min("coverage"), "none": first("coverage")}[mode]
+    bounds = (first("start"), first("end")) if mode == "none" else (F.min("start"), F.max("end"))
+    by_sample = items.groupBy(*keys, "sample").agg(F.max("coverage").alias("_c")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("sample", "_c"))).alias("samples"))
+    merged = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"), known.alias("coverage"), bounds[0].alias("start"), bounds[1].alias("end"))
+    return merged.join(by_sample, list(keys))
+
+
+def known_chains(trs: DataFrame, others: DataFrame, on: Sequence[str], least: int = 1) -> DataFrame:
+    """trs with found: whether `least` rows or more of others have its key (strand and intron chain)."""
+    known = others.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    return trs.join(known, list(on), "left").withColumn("found", F.col("_n").isNotNull()).drop("_n")
+
+
+def expressed(trs: DataFrame, least: float, single_exons: bool = False) -> DataFrame:
+    """Transcripts (exons, coverage) of `least` coverage, without those of one exon unless asked for."""
+    return trs.where((F.col("coverage") >= least) & (F.lit(single_exons) | (F.size("exons") > 1)))
+
+
 def expression(rows: DataFrame, coverage: str, length: str) -> DataFrame:
     """rows with rpkm (coverage over all aligned bases, times 1e9) and tpm (its share of all, times 1e6): sums over the table, joined as one row."""
     total = rows.agg(F.sum(length).alias("_bases"), F.sum(coverage).alias("_all"))
