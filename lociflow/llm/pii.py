@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.llm.common import modest_batches, sliced
+from lociflow.sources.shared import drop_written, written
 
 #: Given names by gender (fixed values); a name in a list gets another of its list.
 GIVEN = {
@@ -52,8 +53,8 @@ _ASCII_LOWER = {ord(c): c.lower() for c in UPPER}
 
 LETTER = rf"(?:[^\W\d_][{MARKS}]*)"
 NAME = rf"(?![a-zа-яα-ω]){LETTER}{{2,}}(?:-(?![a-zа-яα-ω]){LETTER}{{2,}})?"
-KNOWN = rf"\b(?:{'|'.join(n for names in GIVEN.values() for n in names)})(?= (?![a-zа-яα-ω])[^\W\d_])"
-KNOWN_SIGN = re.compile(KNOWN)
+KNOWN = rf"(?:{'|'.join(n for names in GIVEN.values() for n in names)})(?= (?![a-zа-яα-ω])[^\W\d_])"
+KNOWN_SIGN = re.compile(KNOWN)  # begins with a letter of a few, which a search skips to
 PATTERNS = re.compile(
     "|".join(
         [
@@ -66,7 +67,7 @@ PATTERNS = re.compile(
             r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
             r"(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))",
             rf"(?P<person>\b(?:{'|'.join(TITLES)})\b\.? {NAME}(?: {NAME}){{0,2}})",
-            rf"(?P<known>{KNOWN}(?: {NAME}){{1,2}})",
+            rf"(?P<known>\b{KNOWN}(?: {NAME}){{1,2}})",
         ]
     )
 )
@@ -359,6 +360,8 @@ def run_key(spark) -> str:
 def op10_pii_surrogates(spark, sf_dir: str, secret: str | None = None) -> DataFrame:
     """All documents with surrogates for their entities: doc_id, text, kinds, n_entities; raises if two entities share a surrogate. `secret`: see run_key()."""
     docs, secret = spark.read.parquet(f"{sf_dir}/documents.parquet"), secret or run_key(spark)
-    if bad := collisions(entity_table(docs, secret)).take(3):
+    table = written(entity_table(docs, secret), "entities")
+    if bad := collisions(table).take(3):
         raise ValueError(f"surrogates are not distinct: {[(b['kind'], b['n']) for b in bad]}")
+    drop_written(table)
     return replace_entities(docs, secret).withColumn("n_entities", F.size("kinds"))
