@@ -31,9 +31,11 @@ FAMILIES = {
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
 WIDTH_BITS, ORDERS, CHUNK = 13, 4, 1 << 20
+NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Characters that patterns take for word characters but that are no letters (numbers such as "½", "²", "①"), by their categories.
-_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-NOT_LETTERS = re.compile(rf"[\W\d_{re.escape(_NUMBERS)}]+")
+NUMBERS = re.compile(f"[{''.join(c for c in map(chr, range(0x10000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())}]")
+_WIDE_NUMBERS = re.compile(f"[{''.join(c for c in map(chr, range(0x10000, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())}]")
+_WIDE = re.compile("[\U00010000-\U0001ffff]")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
@@ -42,7 +44,10 @@ def features(text: str | None) -> np.ndarray | None:
 
     The whole text counts; a long one goes through in pieces that overlap by an n-gram.
     """
-    letters = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    letters = NOT_LETTERS.sub(" ", (text or "").lower())
+    if not letters.isascii() and (NUMBERS.search(letters) or _WIDE.search(letters)):
+        letters = NOT_LETTERS.sub(" ", _WIDE_NUMBERS.sub(" ", NUMBERS.sub(" ", letters)))
+    letters = letters.strip()
     if not letters:
         return None
     codes = np.frombuffer(f" {letters} ".encode("utf-32-le", "surrogatepass"), np.uint32)
