@@ -78,6 +78,20 @@ def align_blocks(blocks: DataFrame, exons: DataFrame, keys: Sequence[str] = ("ti
     return right.select(*blocks.columns, "first", last.alias("last")).join(n, list(keys)).where("first <= _n AND last >= 1").drop("_n")
 
 
+def linked_paths(pairs: DataFrame, exons: DataFrame, keys: Sequence[str] = ("tid", "bid"), slack: int = 3, bin_width: int = WIDTH) -> DataFrame:
+    """keys, path (exon numbers), cnt: the exons of each two blocks that a junction links (pairs: keys, pos, rpos, next_pos, next_rpos), how often each list of three or more occurs.
+
+    Equal pairs are counted before they are located. Pairs with an end in no exon of their locus, or with the second not behind the first, are left out.
+    """
+    at = ["pos", "rpos", "next_pos", "next_rpos"]
+    counted = pairs.groupBy(*keys, *at).agg(F.count(F.lit(1)).alias("cnt"))
+    own = align_blocks(counted, exons, keys, slack, bin_width)
+    then = own.select(*keys, F.col("next_pos").alias("pos"), F.col("next_rpos").alias("rpos"), F.col("first").alias("from"), F.col("last").alias("to"), "cnt")
+    both = align_blocks(then, exons, keys, slack, bin_width).where("from <= to AND to < first AND first <= last")
+    path = F.concat(F.sequence("from", "to"), F.sequence("first", "last"))
+    return both.select(*keys, path.alias("path"), "cnt").where(F.size("path") >= 3).groupBy(*keys, "path").agg(F.sum("cnt").alias("cnt"))
+
+
 def _covered(regs: DataFrame, segs: DataFrame, keys: Sequence[str], on: Sequence[str], gap: int, bin_width: int) -> DataFrame:
     """keys, _l, _r (the region's), l, r, area of the covered stretches of each region, with gaps of at most `gap` filled, the region's ends too."""
     inside = within(segs, F.col("p"), regs.select(*keys, "l", "r"), on, "l", "r", bin_width).where("q <= r").select(*keys, "l", "r", "p", "q", "cov")

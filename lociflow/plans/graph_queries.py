@@ -9,9 +9,10 @@ from lociflow.functions import alignments as A
 from lociflow.operators import bridging, graphs, junctions, transcripts
 from lociflow.operators.bins import within
 from lociflow.operators.components import components
-from lociflow.plans.locus_queries import BASE, BIN, _junctions, _regions, _segments
+from lociflow.operators.running import following
+from lociflow.plans.locus_queries import BASE, BIN, ORD, _assigned, _junctions, _regions, _segments
 from lociflow.sources.shared import written
-from lociflow.sources.tables import read
+from lociflow.sources.tables import ORDER, read
 
 LAYERS = 6
 
@@ -124,18 +125,27 @@ def extended_boundaries(spark, d):
     return x.select("tid", "bid", "s", "t", F.round("w", 6).alias("w"), "kind")
 
 
-def _paths(spark, d):
-    return graphs.decompose(_graph(spark, d)[1], ["tid", "bid"])
+def _linked(spark, d, vertices: DataFrame) -> DataFrame:
+    """The vertex lists that alignments and those a junction leads to show, with their counts."""
+    rows = _assigned(spark, d).withColumn("_at", F.struct("pos", "rpos"))
+    pairs = following(rows, ["tid", "xs"], F.floor(F.col("pos") / (8 * BIN)), ORDER, "_at", "next").where("next.pos > rpos")
+    return junctions.linked_paths(pairs.select("tid", "bid", "pos", "rpos", F.col("next.pos").alias("next_pos"), F.col("next.rpos").alias("next_rpos")), vertices, bin_width=BIN)
+
+
+def linked_paths(spark, d):
+    return _linked(spark, d, _graph(spark, d)[0]).select("tid", "bid", F.array_join("path", ">").alias("path"), "cnt")
 
 
 def decomposition(spark, d):
-    """Each locus's graph as weighted paths."""
-    return _paths(spark, d).select("tid", "bid", "k", F.array_join("path", ">").alias("path"), F.round("abundance", 6).alias("abundance"))
+    """Each locus's graph as weighted paths, those that linked alignments show first."""
+    v, e = _graph(spark, d)
+    paths = graphs.decompose(e, ["tid", "bid"], _linked(spark, d, v))
+    return paths.select("tid", "bid", "k", F.array_join("path", ">").alias("path"), F.round("abundance", 6).alias("abundance"))
 
 
 def path_to_exons(spark, d):
     v, e = _graph(spark, d)
-    out = transcripts.path_exons(graphs.decompose(e, ["tid", "bid"]), v, ["tid", "bid"])
+    out = transcripts.path_exons(graphs.decompose(e, ["tid", "bid"], _linked(spark, d, v)), v, ["tid", "bid"])
     return out.select("tid", "bid", "k", F.explode("exons").alias("e")).select("tid", "bid", "k", "e.l", "e.r")
 
 
@@ -221,6 +231,13 @@ QUERIES = {
         locus_graph_components,
         BASE.replace("WITH ", "WITH RECURSIVE ", 1) + PEX + ", und AS (SELECT tid, bid, s AS a, t AS b FROM inn UNION SELECT tid, bid, t, s FROM inn), rea AS (SELECT tid, bid, a AS v, a AS root FROM und UNION SELECT u.tid, u.bid, u.b, x.root FROM rea x JOIN und u ON u.tid = x.tid AND u.bid = x.bid AND u.a = x.v), lab AS (SELECT tid, bid, v, min(root) AS label FROM rea GROUP BY tid, bid, v) SELECT tid, bid, label, s, t, round(w, 6) AS w FROM (SELECT i.tid, i.bid, label, s, t, w, row_number() OVER (PARTITION BY i.tid, i.bid, label ORDER BY w DESC, s DESC, t DESC) AS kk FROM inn i JOIN lab ON lab.tid = i.tid AND lab.bid = i.bid AND lab.v = i.s) WHERE kk = 1 AND w >= 1.5",
     ),
+    "linked_paths": (
+        linked_paths,
+        BASE + PEX + f", prs AS (SELECT tid, bid, pos, rpos, np, nr, count(*) AS n FROM (SELECT *, lead(pos) OVER w AS np, lead(rpos) OVER w AS nr FROM bnd WINDOW w AS (PARTITION BY tid, xs ORDER BY {ORD})) WHERE np > rpos GROUP BY ALL), "
+        "loc AS (SELECT p.tid, p.bid, n, sink - 1 AS m, a.v + CASE WHEN pos - a.l > 3 AND a.r - pos < 3 THEN 1 ELSE 0 END AS f1, b.v - CASE WHEN b.r - rpos > 3 AND rpos - b.l <= 3 THEN 1 ELSE 0 END AS l1, c.v + CASE WHEN np - c.l > 3 AND c.r - np < 3 THEN 1 ELSE 0 END AS f2, e.v - CASE WHEN e.r - nr > 3 AND nr - e.l <= 3 THEN 1 ELSE 0 END AS l2 "
+        "FROM prs p JOIN snk ON snk.tid = p.tid AND snk.bid = p.bid JOIN pex a ON a.tid = p.tid AND a.bid = p.bid AND pos >= a.l AND pos < a.r JOIN pex b ON b.tid = p.tid AND b.bid = p.bid AND rpos - 1 >= b.l AND rpos - 1 < b.r JOIN pex c ON c.tid = p.tid AND c.bid = p.bid AND np >= c.l AND np < c.r JOIN pex e ON e.tid = p.tid AND e.bid = p.bid AND nr - 1 >= e.l AND nr - 1 < e.r) "
+        "SELECT tid, bid, path, CAST(sum(n) AS BIGINT) AS cnt FROM (SELECT tid, bid, n, list_concat(range(f1, l1 + 1), range(f2, l2 + 1)) AS way, array_to_string(way, '>') AS path FROM loc WHERE f1 <= m AND l1 >= 1 AND f2 <= m AND l2 >= 1 AND f1 <= l1 AND l1 < f2 AND f2 <= l2) WHERE len(way) >= 3 GROUP BY tid, bid, path",
+    ),
     "bridge_paths": (bridge_paths, None),
     "decomposition": (decomposition, None),
     "path_to_exons": (path_to_exons, None),

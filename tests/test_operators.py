@@ -147,6 +147,44 @@ def test_decompose_does_not_depend_on_row_order(spark):
     assert a == b and a[0].path == [0, 1, 2, 4, 5]
 
 
+def test_linked_paths_by_brute_force(spark):
+    r = random.Random(11)
+    exons, pairs = [], []
+    for bid in (1, 2):
+        at = 0
+        for v in range(1, 9):
+            at += r.choice((0, 0, 40))
+            exons.append((0, bid, v, at, at := at + r.randint(8, 60)))
+        for _ in range(300):
+            a = r.randint(0, at)
+            b = a + r.randint(1, 120)
+            c = b + r.randint(1, 100)
+            pairs += [(0, bid, a, b, c, c + r.randint(1, 120))] * r.randint(1, 2)
+    of = {bid: [(v, x, y) for _, k, v, x, y in exons if k == bid] for bid in (1, 2)}
+
+    def ends(bid, a, b):
+        first = [v + (a - x > 3 and y - a < 3) for v, x, y in of[bid] if x <= a < y]
+        last = [v - (y - b > 3 and b - x <= 3) for v, x, y in of[bid] if x <= b - 1 < y]
+        return (first[0], last[0]) if first and last and first[0] <= 8 and last[0] >= 1 else None
+
+    want = {}
+    for _, bid, a, b, c, e in pairs:
+        if (x := ends(bid, a, b)) and (y := ends(bid, c, e)) and x[0] <= x[1] < y[0] <= y[1]:
+            path = (*range(x[0], x[1] + 1), *range(y[0], y[1] + 1))
+            if len(path) >= 3:
+                want[bid, path] = want.get((bid, path), 0) + 1
+    made = junctions.linked_paths(spark.createDataFrame(pairs, "tid int, bid int, pos int, rpos int, next_pos int, next_rpos int"), spark.createDataFrame(exons, "tid int, bid int, v int, l int, r int"), bin_width=64)
+    assert len(want) > 10 and {(x.bid, tuple(x.path)): x.cnt for x in made.collect()} == want
+
+
+def test_phased_lists_come_before_wider_paths(spark):
+    edges = [(1, 0, 1, 9.0), (1, 1, 2, 3.0), (1, 1, 3, 6.0), (1, 2, 4, 3.0), (1, 3, 4, 6.0), (1, 4, 5, 9.0)]
+    frame = spark.createDataFrame(edges, "g int, s int, t int, w double")
+    seen = spark.createDataFrame([(1, [1, 2, 4], 3), (2, [1, 2, 3], 1)], "g int, path array<int>, cnt long")
+    paths = lambda ph: [tuple(x.path) for x in graphs.decompose(frame, ["g"], ph).orderBy("k").collect()]
+    assert paths(None) == [(0, 1, 3, 4, 5), (0, 1, 2, 4, 5)] and paths(seen) == [(0, 1, 2, 4, 5), (0, 1, 3, 4, 5)]
+
+
 def test_length_filter_of_two_exons(spark):
     ok = transcripts.long_and_covered(F.lit(2), F.col("length"), F.lit(2.0))
     df = spark.createDataFrame([(249,), (250,)], "length int")
