@@ -113,6 +113,24 @@ def partial_exons(regs: DataFrame, segs: DataFrame, keys: Sequence[str] = ("tid"
     return parts.select(*keys, "l", "r", "length", "area", (thin & ~((F.col("l") == F.col("_l")) & (F.col("r") == F.col("_r")))).alias("empty"))
 
 
+def low_middles(regs: DataFrame, segs: DataFrame, keys: Sequence[str] = ("tid", "bid"), on: Sequence[str] = ("tid",), least_region: int = 100, least_middle: int = 10, least_flank: int = 40, most_cov: int = 2, least_ave: float = 10, bin_width: int = WIDTH) -> DataFrame:
+    """keys, l, r (the region's), left, right, left_ave, right_ave: where a region covered from its start on, but not throughout, splits.
+
+    A split lies between two segments of more than `most_cov` with none between them, `least_middle` apart and `least_flank` from both ends of the region; before and
+    behind it the mean coverage is `least_ave` at least. Regions shorter than `least_region` have none.
+    """
+    inside = within(segs, F.col("p"), regs.select(*keys, "l", "r"), on, "l", "r", bin_width).where(f"q <= r AND r - l >= {least_region}").withColumn("_area", F.col("cov") * (F.col("q") - F.col("p")))
+    whole = Window.partitionBy(*keys, "l")
+    upto = whole.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    before = whole.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    heavy = lambda c: F.last(F.when(F.col("cov") > most_cov, F.col(c)), ignorenulls=True).over(before)
+    summed = inside.withColumns({"_sum": F.sum("_area").over(upto), "_all": F.sum("_area").over(whole), "_covered": F.sum(F.col("q") - F.col("p")).over(whole), "_first": F.min("p").over(whole)})
+    met = summed.withColumns({"left": heavy("q"), "_left_area": heavy("_sum"), "right": F.col("p"), "_right_area": F.col("_all") - F.col("_sum") + F.col("_area")})
+    met = met.where((F.col("cov") > most_cov) & (F.col("_first") == F.col("l")) & (F.col("_covered") < F.col("r") - F.col("l")) & (F.col("right") - F.col("left") >= least_middle) & (F.col("left") - F.col("l") >= least_flank) & (F.col("r") - F.col("right") >= least_flank))
+    split = met.select(*keys, "l", "r", "left", "right", (F.col("_left_area") / (F.col("left") - F.col("l"))).alias("left_ave"), (F.col("_right_area") / (F.col("r") - F.col("right"))).alias("right_ave"))
+    return split.where((F.col("left_ave") >= least_ave) & (F.col("right_ave") >= least_ave))
+
+
 #: Weight of a one-base exon at a splice that coverage doesn't show (a fixed value).
 STUB_WEIGHT = 0.01
 

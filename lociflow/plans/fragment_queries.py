@@ -126,6 +126,11 @@ def regional_loci(spark, d):
     return graphs.worth_solving(x, x.where("rtype = 3").select("tid", "bid"), ["tid", "bid"])
 
 
+def low_middles(spark, d):
+    out = junctions.low_middles(_regions(spark, d), _segments(spark, d), least_region=10, least_middle=1, least_flank=2, most_cov=0, least_ave=0.5, bin_width=BIN)
+    return out.select("tid", "bid", "l", "r", "left", "right", F.round("left_ave", 6).alias("left_ave"), F.round("right_ave", 6).alias("right_ave"))
+
+
 def hit_exon_list(spark, d):
     hits, regs = _located(spark, d)
     ex = junctions.partial_exons(regs, _segments(spark, d), bin_width=BIN).where("NOT empty")
@@ -229,6 +234,12 @@ QUERIES = {
     "exon_types": (exon_types, TYPED + "SELECT tid, bid, l, r, ltype, rtype, round(w, 6) AS w, empty, stub, regional FROM typ"),
     "region_inclusion": (region_inclusion, TYPED + 'SELECT tid, bid, ol AS rl, orr AS rr, min(l) = ol AS "left", max(r) = orr AS "right" FROM typ GROUP BY tid, bid, ol, orr'),
     "regional_loci": (regional_loci, TYPED + "SELECT tid, bid FROM typ WHERE NOT empty GROUP BY tid, bid HAVING NOT bool_and(regional) AND bool_or(rtype = 3)"),
+    "low_middles": (
+        low_middles,
+        BASE + ", x AS (SELECT g.tid, bid, l, r, p, q, cov FROM reg g JOIN seg s ON g.tid = s.tid AND p >= l AND q <= r WHERE r - l >= 10), c AS (SELECT tid, bid, l FROM x GROUP BY tid, bid, l, r HAVING min(p) = l AND sum(q - p) < r - l), h AS (SELECT *, lag(q) OVER (PARTITION BY tid, bid, l ORDER BY p) AS a FROM x JOIN c USING (tid, bid, l) WHERE cov > 0), "
+        "m AS (SELECT h.tid, h.bid, h.l, h.r, h.a, h.p, sum(CASE WHEN x.q <= h.a THEN (x.q - x.p) * x.cov END) / CAST(h.a - h.l AS DOUBLE) AS la, sum(CASE WHEN x.p >= h.p THEN (x.q - x.p) * x.cov END) / CAST(h.r - h.p AS DOUBLE) AS ra FROM h JOIN x ON x.tid = h.tid AND x.bid = h.bid AND x.l = h.l WHERE h.p - h.a >= 1 AND h.a - h.l >= 2 AND h.r - h.p >= 2 GROUP BY h.tid, h.bid, h.l, h.r, h.a, h.p) "
+        "SELECT tid, bid, l, r, a AS \"left\", p AS \"right\", round(la, 6) AS left_ave, round(ra, 6) AS right_ave FROM m WHERE la >= 0.5 AND ra >= 0.5",
+    ),
     "hit_exon_list": (
         hit_exon_list,
         BASE + PARTS + f", {HITS}, e0 AS (SELECT tid, bid, l, r FROM g3 WHERE NOT ((r - l < 15 OR area < 1.5 * (r - l) OR area < 3) AND NOT (l = ol AND r = orr))), e AS (SELECT *, CAST(row_number() OVER (PARTITION BY tid, bid ORDER BY l) AS INT) AS v, count(*) OVER (PARTITION BY tid, bid) AS n FROM e0), x AS (SELECT h.tid, h.bid, qid, ln, hid, a.v + CASE WHEN pos - a.l > 3 AND a.r - pos < 3 THEN 1 ELSE 0 END AS first, b.v - CASE WHEN b.r - rpos > 3 AND rpos - b.l <= 3 THEN 1 ELSE 0 END AS last, a.n FROM hit h JOIN e a ON h.tid = a.tid AND h.bid = a.bid AND pos >= a.l AND pos < a.r JOIN e b ON h.tid = b.tid AND h.bid = b.bid AND rpos - 1 >= b.l AND rpos - 1 < b.r) SELECT * EXCLUDE (n) FROM x WHERE first <= n AND last >= 1",

@@ -21,6 +21,10 @@ def transcript_features(spark, d):
     return transcripts.features(_transcripts(spark, d)).select("tid", "bid", "n_exons", "length", "start", "end", F.size("introns").alias("n_introns"))
 
 
+def expressed_transcripts(spark, d):
+    return transcripts.expressed(_transcripts(spark, d), 8.0).select("tid", "bid", "coverage", F.size("exons").alias("n_exons"))
+
+
 def transcript_filter(spark, d):
     f = transcripts.features(_transcripts(spark, d))
     return f.select("tid", "bid", transcripts.long_and_covered(F.col("n_exons"), F.col("length"), F.col("coverage"), base=20, increase=10, single=6).alias("kept"))
@@ -110,6 +114,7 @@ itr AS (SELECT tid, bid, r AS l, lead(l) OVER (PARTITION BY tid, bid ORDER BY l)
 QUERIES = {
     "transcript_features": (transcript_features, MERGED + 'SELECT tid, bid, n_exons, length, "start", "end", CAST(n_exons - 1 AS INT) AS n_introns FROM trs'),
     "transcript_filter": (transcript_filter, MERGED + "SELECT tid, bid, length >= 20 + 10 * n_exons AND coverage >= CASE WHEN n_exons > 1 THEN 1.5 ELSE 6 END AS kept FROM trs"),
+    "expressed_transcripts": (expressed_transcripts, MERGED + "SELECT tid, bid, coverage, CAST(n_exons AS INT) AS n_exons FROM trs WHERE coverage >= 8 AND n_exons > 1"),
     "single_exon_containment": (
         single_exon_containment,
         f"WITH {ALN_SQL} SELECT tid, pos, rpos, qid, ln, hid FROM (SELECT *, max(rpos) OVER (PARTITION BY tid ORDER BY pos, rpos DESC, qid, ln, hid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM aln) WHERE far IS NULL OR rpos > far",

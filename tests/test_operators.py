@@ -185,6 +185,15 @@ def test_phased_lists_come_before_wider_paths(spark):
     assert paths(None) == [(0, 1, 3, 4, 5), (0, 1, 2, 4, 5)] and paths(seen) == [(0, 1, 2, 4, 5), (0, 1, 3, 4, 5)]
 
 
+def test_a_low_middle_splits_its_region(spark):
+    regs = spark.createDataFrame([(1, 1, 0, 200), (1, 2, 300, 500), (1, 3, 600, 690), (1, 4, 700, 900), (1, 5, 1000, 1200)], "tid int, bid int, l int, r int")
+    cov = [(0, 60, 20), (60, 80, 1), (90, 150, 30), (150, 190, 2), (300, 400, 20), (400, 420, 2), (420, 500, 20), (600, 640, 20), (650, 690, 20), (710, 800, 20), (820, 900, 20), (1000, 1030, 20), (1100, 1200, 20)]
+    segs = spark.createDataFrame([(1, *x) for x in cov], "tid int, p int, q int, cov int")
+    got = rows_of(junctions.low_middles(regs, segs, bin_width=64), "bid", "left", "right", "left_ave", "right_ave")
+    # 2 is covered throughout, 3 too short, 4 not covered at its start, 5 left of its gap too short
+    assert got == [(1, 60, 90, 20.0, (60 * 30 + 40 * 2) / 110)]
+
+
 def test_length_filter_of_two_exons(spark):
     ok = transcripts.long_and_covered(F.lit(2), F.col("length"), F.lit(2.0))
     df = spark.createDataFrame([(249,), (250,)], "length int")
