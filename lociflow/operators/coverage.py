@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.operators.bins import WIDTH, within
@@ -13,9 +13,10 @@ from lociflow.operators.running import following, running
 BIN = 4096
 
 
-def segments(intervals: DataFrame, keys: Sequence[str] = ("tid",), left: str = "pos", right: str = "rpos", bin_width: int = BIN) -> DataFrame:
-    """keys, p, q, cov: the stretches between neighbouring ends of intervals that some cover, and how many do."""
-    ends = intervals.select(*keys, F.explode(F.array(F.struct(F.col(left).alias("p"), F.lit(1).alias("d")), F.struct(F.col(right).alias("p"), F.lit(-1).alias("d")))).alias("e"))
+def segments(intervals: DataFrame, keys: Sequence[str] = ("tid",), left: str = "pos", right: str = "rpos", bin_width: int = BIN, weight: Column | None = None) -> DataFrame:
+    """keys, p, q, cov: the stretches between neighbouring ends of intervals that some cover, and how many do, or the sum of their weights (whole numbers above 0)."""
+    by = F.lit(1) if weight is None else weight
+    ends = intervals.select(*keys, F.explode(F.array(F.struct(F.col(left).alias("p"), by.alias("d")), F.struct(F.col(right).alias("p"), (-by).alias("d")))).alias("e"))
     points = ends.groupBy(*keys, F.col("e.p").alias("p")).agg(F.sum("e.d").cast("long").alias("d"))
     swept = running(points, keys, F.floor(F.col("p") / bin_width), ["p"], F.col("d"), "sum", "cov")
     return following(swept, keys, F.floor(F.col("p") / bin_width), ["p"], "p", "q").where("cov > 0 AND q IS NOT NULL").select(*keys, "p", "q", F.col("cov").cast("long").alias("cov"))

@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociflow.operators.bins import WIDTH, within
+from lociflow.operators.coverage import segments
+from lociflow.sources.shared import written
+
 
 def degrees(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys, v, in_degree, out_degree, in_weight, out_weight of each vertex with an edge."""
@@ -80,6 +84,30 @@ def splice_graph(exons: DataFrame, junctions: DataFrame, keys: Sequence[str], fl
     return v.select(*keys, "v", "l", "r", "w"), inner.unionByName(starts).unionByName(ends)
 
 
+def annotation_graph(exons: DataFrame, keys: Sequence[str], bin_width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """Vertices (keys, v, l, r, w) and edges (keys, s, t, w, kind) of each gene, from the exons (keys, id, l, r, coverage) of reference transcripts.
+
+    Exons are cut at each other's ends; a vertex weighs the whole parts of the coverages of the transcripts over it, each 1 at least. Each transcript goes from the source (0) over its
+    vertices to the sink, one more than the vertices' number, and adds its weight to each edge.
+    """
+    rows = exons.select(*keys, "id", F.col("l").alias("_l"), F.col("r").alias("_r"), F.greatest(F.floor("coverage"), F.lit(1)).cast("int").alias("_c"))
+    parts = segments(rows, keys, "_l", "_r", bin_width, F.col("_c"))
+    v = written(parts.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("p")).alias("v"), F.col("p").alias("l"), F.col("q").alias("r"), F.col("cov").cast("double").alias("w")), "annotated")
+    sink = v.groupBy(*keys).agg((F.max("v") + 1).alias("_sink"))
+    own = Window.partitionBy(*keys, "id").orderBy("v")
+    steps = within(v, F.col("l"), rows, keys, "_l", "_r", bin_width).withColumns({"_to": F.lead("v").over(own), "_at": F.lead("l").over(own), "_from": F.lag("v").over(own)})
+    first = steps.where("_from IS NULL").select(*keys, F.lit(0).alias("s"), F.col("v").alias("t"), "_c", F.lit("start").alias("kind"))
+    inner = steps.where("_to IS NOT NULL").select(*keys, F.col("v").alias("s"), F.col("_to").alias("t"), "_c", F.when(F.col("_at") == F.col("r"), "adjacent").otherwise("junction").alias("kind"))
+    last = steps.where("_to IS NULL").join(sink, list(keys)).select(*keys, F.col("v").alias("s"), F.col("_sink").alias("t"), "_c", F.lit("end").alias("kind"))
+    return v, first.unionByName(inner).unionByName(last).groupBy(*keys, "s", "t", "kind").agg(F.sum("_c").cast("double").alias("w"))
+
+
+def landmarks(vertices: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, kind, l, r: a graph's junctions (from l to r), the places where it starts (r) and where it ends (l); -1 for the other side."""
+    at = edges.where("kind <> 'adjacent'").join(vertices.select(*keys, F.col("v").alias("s"), F.col("r").alias("_r")), [*keys, "s"], "left").join(vertices.select(*keys, F.col("v").alias("t"), F.col("l").alias("_l")), [*keys, "t"], "left")
+    return at.select(*keys, "kind", F.coalesce(F.when(F.col("kind") != "start", F.col("_r")), F.lit(-1)).alias("l"), F.coalesce(F.when(F.col("kind") != "end", F.col("_l")), F.lit(-1)).alias("r"))
+
+
 def graph_stats(vertices: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, vertices, edges, junctions (how many), vertex_weight, edge_weight (means), s, t, w (the heaviest edge, the last on ties) of each locus."""
     e = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("kind") == "junction").alias("junctions"), F.avg("w").alias("edge_weight"), F.max(F.struct("w", "s", "t")).alias("_m"))

@@ -107,11 +107,11 @@ def best_overlap(queries: DataFrame, targets: DataFrame, keys: Sequence[str], bi
     return both.groupBy("qid").agg(F.max(F.struct("overlap", (-F.col("id")).alias("back"))).alias("_m")).select("qid", (-F.col("_m.back")).alias("id"), "_m.overlap")
 
 
-def compare(reference: DataFrame, predicted: DataFrame, on: Sequence[str]) -> DataFrame:
-    """tp, fp, fn of distinct rows."""
+def compare(reference: DataFrame, predicted: DataFrame, on: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """tp, fp, fn of distinct rows, for each value of the columns `by` (some of on)."""
     a, b = reference.select(*on).distinct().withColumn("_a", F.lit(1)), predicted.select(*on).distinct().withColumn("_b", F.lit(1))
     both = a.join(b, list(on), "full")
-    return both.agg(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("tp"), F.count_if(F.col("_a").isNull()).alias("fp"), F.count_if(F.col("_b").isNull()).alias("fn"))
+    return both.groupBy(*by).agg(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("tp"), F.count_if(F.col("_a").isNull()).alias("fp"), F.count_if(F.col("_b").isNull()).alias("fn"))
 
 
 def path_exons(paths: DataFrame, vertices: DataFrame, keys: Sequence[str]) -> DataFrame:
