@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociflow.operators import cleaning, coverage, fragments, graphs, junctions, transcripts
+from lociflow.operators import bridging, cleaning, coverage, fragments, graphs, junctions, transcripts
 from lociflow.operators.bins import within
 from lociflow.plans.fragment_queries import HIGH, LOW, _bridged, _typed
 from lociflow.plans.graph_queries import BASE, PEX, _graph
-from lociflow.plans.locus_queries import BIN, ORD, _assigned, _junctions, _loci
+from lociflow.plans.locus_queries import BIN, ORD, PAIRS, _assigned, _junctions, _loci, mate_pairs
 from lociflow.sources.shared import written
-from lociflow.sources.tables import ALN_SQL, alignments
+from lociflow.sources.tables import ALN_SQL, alignments, read
 
 KEYS = ["tid", "bid"]
 
@@ -68,6 +68,20 @@ def intron_consensus(spark, d):
     return out.select("strand", chain.alias("chain"), "cnt", F.round("coverage", 4).alias("coverage"), "start", "end")
 
 
+def phased_bridges(spark, d):
+    """Orders as ascending lists of part numbers modulo 9: the even ones are reference paths, the first and last two of the odd ones mates."""
+    o = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set((F.col("l_partkey") % 9).cast("int"))).alias("path")).withColumn("k", F.col("id") % 7)
+    mates = o.where("id % 2 = 1 AND size(path) >= 4").select("k", F.slice("path", 1, 2).alias("v1"), F.slice("path", -2, 2).alias("v2")).distinct()
+    out = bridging.phased(mates, o.where("id % 2 = 0").select("k", "path"), ["k"])
+    return out.select("k", *[F.array_join(c, ">").alias(c) for c in ("v1", "v2", "way")], "cnt")
+
+
+def chosen_paths(spark, d):
+    """Pairs of an order's lines as candidates of one fragment; those of even orders count as linked reads."""
+    c = mate_pairs(spark, d).withColumn("length", F.abs(F.col("mate_pos") - F.col("pos"))).withColumn("type", (F.col("qid") + 1) % 2)
+    return bridging.chosen_paths(c, ["qid"], 20, 60, 90, ["ln", "mate_ln"]).select("qid", "ln", "mate_ln", "length", "kind")
+
+
 ANNOTATED = f""", rf AS (SELECT a.*, ln % 3 AS id FROM bnd a JOIN bun b ON a.tid = b.tid AND a.bid = b.bid), rn AS (SELECT *, CASE WHEN pos > max(rpos) OVER (PARTITION BY tid, bid, id ORDER BY {ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM rf), ri AS (SELECT *, sum(new) OVER (PARTITION BY tid, bid, id ORDER BY {ORD}) AS i FROM rn),
 rx AS (SELECT tid, bid, id, min(pos) AS l, max(rpos) AS r FROM ri GROUP BY tid, bid, id, i), rc AS (SELECT tid, bid, id, greatest(CAST(floor(count(*) * 0.75) AS INT), 1) AS c FROM rf GROUP BY tid, bid, id),
 rp AS (SELECT tid, bid, p, lead(p) OVER (PARTITION BY tid, bid ORDER BY p) AS q FROM (SELECT tid, bid, l AS p FROM rx UNION SELECT tid, bid, r FROM rx)),
@@ -91,4 +105,13 @@ QUERIES = {
         f"WITH {ALN_SQL}, n AS (SELECT *, lead(pos) OVER (PARTITION BY qid ORDER BY pos, rpos, ln) AS nx FROM aln), t AS (SELECT qid, qid % 3 AS strand, coalesce(string_agg(CASE WHEN nx > rpos THEN CAST(floor(rpos / 32.0) AS INT) || ':' || CAST(floor(nx / 32.0) AS INT) END, ',' ORDER BY pos, rpos, ln), '') AS chain, sum(hid) AS c, min(pos) AS p, max(rpos) AS q FROM n GROUP BY qid) "
         "SELECT strand, chain, count(*) AS cnt, round(CASE WHEN chain = '' THEN min(c) ELSE sum(c) / 10.0 END, 4)::DOUBLE AS coverage, min(p) AS \"start\", max(q) AS \"end\" FROM t GROUP BY strand, chain, CASE WHEN chain = '' THEN floor((p + q) / 10000.0) END HAVING count(*) >= CASE WHEN chain = '' THEN 5 ELSE 3 END",
     ),
+    "phased_bridges": (
+        phased_bridges,
+        "WITH o AS (SELECT l_orderkey AS id, l_orderkey % 7 AS k, list_sort(list(DISTINCT l_partkey % 9)) AS p FROM lineitem GROUP BY l_orderkey), c AS (SELECT DISTINCT k, p[1:2] AS v1, p[len(p) - 1:] AS v2 FROM o WHERE id % 2 = 1 AND len(p) >= 4), x AS (SELECT c.k, v1, v2, p, list_position(p, v1[1]) AS i, list_position(p, v2[1]) AS j FROM c JOIN o ON o.k = c.k WHERE id % 2 = 0) "
+        "SELECT k, array_to_string(v1, '>') AS v1, array_to_string(v2, '>') AS v2, array_to_string(p[i:j + 1], '>') AS way, count(*) AS cnt FROM x WHERE i > 0 AND j >= i + 2 AND p[i:i + 1] = x.v1 AND p[j:j + 1] = x.v2 GROUP BY ALL",
+    ),
+    "chosen_paths": (
+        chosen_paths,
+        f"WITH {ALN_SQL}, {PAIRS}, x AS (SELECT qid, ln, mate_ln, abs(mate_pos - pos) AS length FROM pr) SELECT qid, ln, mate_ln, length, CASE WHEN length BETWEEN 20 AND 90 THEN 1 ELSE 2 END AS kind FROM x WHERE qid % 2 = 1 OR length BETWEEN 16 AND 108 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY abs(length - 60), ln, mate_ln) = 1",
+    ),
 }

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lociflow.operators import cleaning, fragments, graphs, transcripts
+from lociflow.operators import bridging, cleaning, fragments, graphs, transcripts
+from lociflow.sources import gtf
 
 
 def rows_of(df, *columns):
@@ -103,3 +104,24 @@ def test_consensus_of_intron_chains(spark):
     runs = spark.createDataFrame(rows, "strand string, introns array<struct<l:int,r:int>>, coverage double, start int, end int")
     got = transcripts.consensus(runs, ["strand"], least_multi=2, least_single=2, n_runs=10)
     assert rows_of(got.withColumn("n", F.size("introns")), "strand", "n", "cnt", "coverage", "start", "end") == [("+", 0, 2, 3.0, 100, 200), ("+", 2, 2, 0.6, 0, 60)]
+
+
+def test_phased_ways(spark):
+    """A mate that the path doesn't hold whole, a second one before the first's end, and another key's path show nothing; equal ways count together."""
+    paths = spark.createDataFrame([(1, [1, 2, 3, 5, 6]), (1, [0, 1, 2, 3, 5, 6, 9]), (1, [1, 2, 4, 5, 6]), (2, [1, 2, 7])], "k int, path array<int>")
+    mates = spark.createDataFrame([(1, [1, 2], [5, 6]), (1, [1, 2, 3], [3, 5]), (1, [1, 3], [6]), (2, [1], [7]), (2, [1, 2], [9]), (1, [], [5])], "k int, v1 array<int>, v2 array<int>")
+    got = {(r.k, tuple(r.v1), tuple(r.way)): r.cnt for r in bridging.phased(mates, paths, ["k"]).collect()}
+    assert got == {(1, (1, 2), (1, 2, 3, 5, 6)): 2, (1, (1, 2), (1, 2, 4, 5, 6)): 1, (2, (1,), (1, 2, 7)): 1}
+
+
+def test_linked_reads_keep_near_lengths(spark):
+    rows = [(1, 0, 1, 500), (1, 0, 2, 900), (2, 1, 1, 500), (3, 1, 1, 79), (3, 1, 2, 80), (3, 1, 3, 240), (4, 0, 1, 90), (4, 0, 2, 110), (5, 1, 1, 241)]
+    got = bridging.chosen_paths(spark.createDataFrame(rows, "fid int, type int, k int, length int"), ["fid"], 100, 100, 200, ["k"])
+    assert rows_of(got, "fid", "k", "kind") == [(1, 1, 2), (3, 2, 2), (4, 1, 2)]
+
+
+def test_full_length_transcripts_and_the_rest(spark, tmp_path):
+    t = spark.createDataFrame([("c", "+", "g", f"t{i}", 1.0, [(0, 10), (20, 30)], full) for i, full in enumerate([True, False, None])], "seqname string, strand string, gene_id string, transcript_id string, coverage double, exons array<struct<l:int,r:int>>, full boolean")
+    gtf.write_split_gtf(t, str(tmp_path / "full"), str(tmp_path / "rest"))
+    ids = lambda name: rows_of(gtf.read_gtf(spark, str(tmp_path / name)), "transcript_id")
+    assert ids("full") == [("t0",)] and ids("rest") == [("t1",), ("t2",)]
