@@ -13,6 +13,9 @@ from lociflow.operators.bins import WIDTH, within
 from lociflow.operators.coverage import segments
 from lociflow.sources.shared import written
 
+#: How many paths to a vertex are told apart (a fixed value).
+MOST_PATHS = 9_999_999_999
+
 
 def degrees(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys, v, in_degree, out_degree, in_weight, out_weight of each vertex with an edge."""
@@ -53,6 +56,42 @@ def propagate(sources: DataFrame, edges: DataFrame, rounds: int, how: str) -> Da
     return reached.groupBy("v").agg(merge("value").alias("value"))
 
 
+def layers(starts: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, v, hops, depth, paths, widest of each vertex that the starts (keys, v) reach over edges (keys, s, t, w; without cycles): the fewest and most edges of a path to it, how many paths
+    there are (MOST_PATHS at most), and the largest smallest weight of one, null for the starts themselves.
+
+    All loci go on at once, a round for each edge of the longest path; a round has a row for each vertex that it reaches, never one for each path, and is a table in the shared folder.
+    Depths order a locus's vertices so that each edge leads upward.
+    """
+    keys, cap, done = list(keys), F.lit(MOST_PATHS), []
+    weighed = edges.groupBy(*keys, F.col("s").alias("v"), "t").agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("w").cast("double")).alias("_w"))
+    weighed = written(weighed, "ways")
+    front = starts.select(*keys, "v").distinct().select("*", F.lit(1).cast("long").alias("paths"), F.lit(None).cast("double").alias("widest"))
+    while not (front := written(front.withColumn("k", F.lit(len(done))), "layer")).isEmpty():
+        done.append(front)
+        moved = front.join(weighed, [*keys, "v"]).groupBy(*keys, F.col("t").alias("v"))
+        front = moved.agg(F.least(F.sum(F.col("paths") * F.col("_n")), cap).alias("paths"), F.max(F.least("widest", "_w")).alias("widest"))
+    reached = front
+    for part in done:
+        reached = reached.unionByName(part)
+    return reached.groupBy(*keys, "v").agg(F.min("k").alias("hops"), F.max("k").alias("depth"), F.least(F.sum("paths"), cap).alias("paths"), F.max("widest").alias("widest"))
+
+
+def split_components(vertices: DataFrame, edges: DataFrame, labels: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Each component of the graphs without source and sink as a graph of its own: vertices (keys, label, v, n: its new number, from 1, l, r, w) and edges (keys, label, s, t, w, kind) between new numbers.
+
+    labels (keys, v, label) hold the vertices with an inner edge; one without is a component itself. 0 is each component's source, one more than its vertices' number its sink.
+    """
+    keys = list(keys)
+    own = vertices.join(labels.select(*keys, "v", "label"), [*keys, "v"], "left").withColumn("label", F.coalesce("label", "v"))
+    member = Window.partitionBy(*keys, "label")
+    own = written(own.withColumns({"n": F.row_number().over(member.orderBy("v")), "_size": F.count(F.lit(1)).over(member).cast("int")}), "members")
+    end = lambda c: own.select(*keys, F.col("v").alias(c), F.col("n").alias(f"_{c}"), F.col("label").alias(f"_{c}l"), F.col("_size").alias(f"_{c}n"))
+    both = edges.join(end("s"), [*keys, "s"], "left").join(end("t"), [*keys, "t"], "left").where("_s IS NOT NULL OR _t IS NOT NULL")
+    copied = both.select(*keys, F.coalesce("_sl", "_tl").alias("label"), F.coalesce("_s", F.lit(0)).alias("s"), F.coalesce("_t", F.col("_sn") + 1).alias("t"), "w", "kind")
+    return own.select(*keys, "label", "v", "n", "l", "r", "w"), copied
+
+
 def path_edges_valid(paths: DataFrame, edges: DataFrame, path: str = "path") -> DataFrame:
     """paths with valid: whether it has two edges at least and each step is an edge."""
     steps = paths.select(path, F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(path) - 1, F.lit(1))), lambda i: F.struct(F.try_element_at(F.col(path), i).alias("s"), F.try_element_at(F.col(path), i + 1).alias("t")))).alias("_i", "_e"))

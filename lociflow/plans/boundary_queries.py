@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lociflow.operators import bridging, cleaning, coverage, fragments, graphs, junctions, transcripts
 from lociflow.operators.bins import within
+from lociflow.operators.components import components
 from lociflow.plans.fragment_queries import HIGH, LOW, _bridged, _typed
 from lociflow.plans.graph_queries import BASE, PEX, _graph
 from lociflow.plans.locus_queries import BIN, ORD, PAIRS, _assigned, _junctions, _loci, mate_pairs
@@ -82,6 +83,22 @@ def chosen_paths(spark, d):
     return bridging.chosen_paths(c, ["qid"], 20, 60, 90, ["ln", "mate_ln"]).select("qid", "ln", "mate_ln", "length", "kind")
 
 
+def graph_layers(spark, d):
+    """Fewest and most edges, number of paths and widest path from each locus's source to its vertices and sink."""
+    v, e = _graph(spark, d)
+    out = graphs.layers(v.select(*KEYS, F.lit(0).alias("v")), e, KEYS)
+    return out.select(*KEYS, "v", "hops", "depth", "paths", F.round("widest", 6).alias("widest"))
+
+
+def split_graphs(spark, d):
+    """The edges of each component of each locus, with vertices numbered anew."""
+    v, e = _graph(spark, d)
+    vertex = lambda c: F.struct(*KEYS, F.col(c).alias("v"))
+    inner = e.where("kind IN ('junction', 'adjacent')")
+    labels = components(inner.select(vertex("s").alias("a"), vertex("t").alias("b"))).select("node.*", F.col("label.v").alias("label"))
+    return graphs.split_components(v, e, labels, KEYS)[1].select(*KEYS, "label", "s", "t", F.round("w", 6).alias("w"), "kind")
+
+
 ANNOTATED = f""", rf AS (SELECT a.*, ln % 3 AS id FROM bnd a JOIN bun b ON a.tid = b.tid AND a.bid = b.bid), rn AS (SELECT *, CASE WHEN pos > max(rpos) OVER (PARTITION BY tid, bid, id ORDER BY {ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM rf), ri AS (SELECT *, sum(new) OVER (PARTITION BY tid, bid, id ORDER BY {ORD}) AS i FROM rn),
 rx AS (SELECT tid, bid, id, min(pos) AS l, max(rpos) AS r FROM ri GROUP BY tid, bid, id, i), rc AS (SELECT tid, bid, id, greatest(CAST(floor(count(*) * 0.75) AS INT), 1) AS c FROM rf GROUP BY tid, bid, id),
 rp AS (SELECT tid, bid, p, lead(p) OVER (PARTITION BY tid, bid ORDER BY p) AS q FROM (SELECT tid, bid, l AS p FROM rx UNION SELECT tid, bid, r FROM rx)),
@@ -90,6 +107,7 @@ ak AS (SELECT tid, bid, CAST(max(v) + 1 AS INT) AS sink FROM av GROUP BY tid, bi
 st AS (SELECT v.tid, v.bid, v.v, v.r, c, lag(v.v) OVER o AS pv, lead(v.v) OVER o AS nv, lead(v.l) OVER o AS nl FROM av v JOIN rx x ON v.tid = x.tid AND v.bid = x.bid AND v.l >= x.l AND v.r <= x.r JOIN rc ON rc.tid = x.tid AND rc.bid = x.bid AND rc.id = x.id WINDOW o AS (PARTITION BY v.tid, v.bid, x.id ORDER BY v.v)),
 ae AS (SELECT tid, bid, s, t, kind, CAST(sum(c) AS DOUBLE) AS w FROM (SELECT tid, bid, 0 AS s, v AS t, 'start' AS kind, c FROM st WHERE pv IS NULL UNION ALL SELECT tid, bid, v, nv, CASE WHEN nl = r THEN 'adjacent' ELSE 'junction' END, c FROM st WHERE nv IS NOT NULL UNION ALL SELECT tid, bid, v, sink, 'end', c FROM st JOIN ak USING (tid, bid) WHERE nv IS NULL) GROUP BY tid, bid, s, t, kind)
 """
+RECURSIVE = BASE.replace("WITH ", "WITH RECURSIVE ", 1)
 MARKS = "SELECT DISTINCT e.tid, e.bid, kind, CASE WHEN kind <> 'start' THEN x.r ELSE -1 END AS l, CASE WHEN kind <> 'end' THEN y.l ELSE -1 END AS r FROM {e} e LEFT JOIN {v} x ON e.tid = x.tid AND e.bid = x.bid AND e.s = x.v LEFT JOIN {v} y ON e.tid = y.tid AND e.bid = y.bid AND e.t = y.v WHERE kind <> 'adjacent'"
 
 QUERIES = {
@@ -114,4 +132,14 @@ QUERIES = {
         chosen_paths,
         f"WITH {ALN_SQL}, {PAIRS}, x AS (SELECT qid, ln, mate_ln, abs(mate_pos - pos) AS length FROM pr) SELECT qid, ln, mate_ln, length, CASE WHEN length BETWEEN 20 AND 90 THEN 1 ELSE 2 END AS kind FROM x WHERE qid % 2 = 1 OR length BETWEEN 16 AND 108 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY abs(length - 60), ln, mate_ln) = 1",
     ),
+    "graph_layers": (
+        graph_layers,
+        RECURSIVE + PEX + ", wk AS (SELECT tid, bid, 0 AS v, 0 AS k, CAST(NULL AS DOUBLE) AS x FROM (SELECT DISTINCT tid, bid FROM pex) UNION ALL SELECT e.tid, e.bid, e.t, k + 1, least(coalesce(x, w), w) FROM wk JOIN edges e ON e.tid = wk.tid AND e.bid = wk.bid AND e.s = wk.v) SELECT tid, bid, v, min(k) AS hops, max(k) AS depth, count(*) AS paths, round(max(x), 6) AS widest FROM wk GROUP BY tid, bid, v",
+    ),
+    "split_graphs": (
+        split_graphs,
+        RECURSIVE + PEX + ", und AS (SELECT tid, bid, s AS a, t AS b FROM inn UNION SELECT tid, bid, t, s FROM inn), rea AS (SELECT tid, bid, a AS v, a AS root FROM und UNION SELECT u.tid, u.bid, u.b, x.root FROM rea x JOIN und u ON u.tid = x.tid AND u.bid = x.bid AND u.a = x.v), lab AS (SELECT tid, bid, v, min(root) AS label FROM rea GROUP BY tid, bid, v), "
+        "mem AS (SELECT tid, bid, label, v, CAST(row_number() OVER (PARTITION BY tid, bid, label ORDER BY v) AS INT) AS n, CAST(count(*) OVER (PARTITION BY tid, bid, label) + 1 AS INT) AS sink FROM (SELECT p.tid, p.bid, p.v, coalesce(label, p.v) AS label FROM pex p LEFT JOIN lab ON lab.tid = p.tid AND lab.bid = p.bid AND lab.v = p.v)) "
+        "SELECT e.tid, e.bid, coalesce(a.label, b.label) AS label, coalesce(a.n, 0) AS s, coalesce(b.n, a.sink) AS t, round(w, 6) AS w, kind FROM edges e LEFT JOIN mem a ON a.tid = e.tid AND a.bid = e.bid AND a.v = e.s LEFT JOIN mem b ON b.tid = e.tid AND b.bid = e.bid AND b.v = e.t",
+    ),
 }

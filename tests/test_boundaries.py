@@ -125,3 +125,38 @@ def test_full_length_transcripts_and_the_rest(spark, tmp_path):
     gtf.write_split_gtf(t, str(tmp_path / "full"), str(tmp_path / "rest"))
     ids = lambda name: rows_of(gtf.read_gtf(spark, str(tmp_path / name)), "transcript_id")
     assert ids("full") == [("t0",)] and ids("rest") == [("t1",), ("t2",)]
+
+
+def test_layers_by_brute_force(spark):
+    """Two edges between the same vertices are two paths; a vertex that nothing reaches has no row."""
+    r = random.Random(3)
+    rows, want = [(0, 1, 2, 1.0), (0, 1, 2, 4.0)], {(0, 1): (0, 0, 1, None), (0, 2): (1, 1, 2, 4.0)}
+    for g in range(1, 15):
+        n = r.randint(2, 8)
+        e = [(s, t, float(r.randint(1, 9))) for s in range(n) for t in range(s + 1, n) if r.random() < 0.5]
+        rows += [(g, *x) for x in e]
+        found, at = {}, [(0, 0, None)]
+        while at:
+            v, k, x = at.pop()
+            found.setdefault(v, []).append((k, x))
+            at += [(t, k + 1, w if x is None else min(x, w)) for s, t, w in e if s == v]
+        want |= {(g, v): (min(k for k, _ in f), max(k for k, _ in f), len(f), None if v == 0 else max(x for _, x in f)) for v, f in found.items()}
+    starts = spark.createDataFrame([(g, 0 if g else 1) for g in range(15)], "g int, v int")
+    got = graphs.layers(starts, spark.createDataFrame(rows, "g int, s int, t int, w double"), ["g"])
+    assert {(x.g, x.v): (x.hops, x.depth, x.paths, x.widest) for x in got.collect()} == want
+
+
+def test_the_number_of_paths_is_bounded(spark):
+    e = [(1, k, k + 1, 1.0) for k in range(40) for _ in range(2)]
+    got = graphs.layers(spark.createDataFrame([(1, 0)], "g int, v int"), spark.createDataFrame(e, "g int, s int, t int, w double"), ["g"])
+    counts = {x.v: x.paths for x in got.collect()}
+    assert counts[33] == 2**33 and counts[34] == counts[40] == graphs.MOST_PATHS
+
+
+def test_components_become_graphs(spark):
+    v = spark.createDataFrame([(1, x, 10 * x, 10 * x + 5, 1.0) for x in (1, 2, 3, 4)], "g int, v int, l int, r int, w double")
+    e = spark.createDataFrame([(1, 0, 1, "start"), (1, 1, 3, "junction"), (1, 3, 5, "end"), (1, 0, 2, "start"), (1, 2, 5, "end"), (1, 0, 4, "start"), (1, 4, 5, "end")], "g int, s int, t int, kind string").withColumn("w", F.lit(1.0))
+    labels = spark.createDataFrame([(1, 1, 1), (1, 3, 1)], "g int, v int, label int")
+    own, parts = graphs.split_components(v, e, labels, ["g"])
+    assert rows_of(own, "label", "v", "n") == [(1, 1, 1), (1, 3, 2), (2, 2, 1), (4, 4, 1)]
+    assert rows_of(parts, "label", "s", "t", "kind") == [(1, 0, 1, "start"), (1, 1, 2, "junction"), (1, 2, 3, "end"), (2, 0, 1, "start"), (2, 1, 2, "end"), (4, 0, 1, "start"), (4, 1, 2, "end")]
