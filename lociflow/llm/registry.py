@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lociflow.llm import chat, decontaminate, fingerprints, jaccard_join, language_id, line_dedup, packing, pii, quality, substring_dedup
+from lociflow.llm import chat, decontaminate, fingerprints, jaccard_join, language_id, line_dedup, packing, pii, quality, source_audit, substring_dedup, token_alignment
 
 
 def queries() -> dict:
@@ -17,9 +17,11 @@ def queries() -> dict:
         "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_pii_surrogates": pii.op10_pii_surrogates,
+        "op12_token_alignment": token_alignment.op12_token_alignment,
+        "op13_source_divergence": source_audit.op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the operator; the others are tested against brute force, exact round trips or held-out accuracy."""
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op5_chat_formatting": chat.ORACLE_SQL}
+    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op5_chat_formatting": chat.ORACLE_SQL, "op13_source_divergence": source_audit.ORACLE_SQL}
