@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lociflow.llm import chat, decontaminate, fingerprints, jaccard_join, language_id, line_dedup, packing, pii, quality, source_audit, substring_dedup, token_alignment
+from lociflow.llm import chat, decontaminate, fingerprints, jaccard_join, language_id, line_dedup, nearest, packing, pii, quality, source_audit, substring_dedup, token_alignment
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_pii_surrogates": pii.op10_pii_surrogates,
+        "op11_nearest_neighbours": nearest.op11_nearest_neighbours,
         "op12_token_alignment": token_alignment.op12_token_alignment,
         "op13_source_divergence": source_audit.op13_source_divergence,
     }

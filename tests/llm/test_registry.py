@@ -16,7 +16,7 @@ DATA = "/root/testdata/sf0.001"
 
 def test_every_operator_has_a_query():
     names = __spark_entry__.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
