@@ -48,6 +48,27 @@ def locate(hits: DataFrame, regs: DataFrame, keys: Sequence[str] = ("tid", "bid"
     return both.select(*hits.columns, "first_rid", "last_rid")
 
 
+def locate_blocks(hits: DataFrame, regs: DataFrame, ids: Sequence[str], keys: Sequence[str] = ("tid", "bid"), bin_width: int = WIDTH) -> DataFrame:
+    """Spliced hits (keys, ids, blocks: array<struct<l,r>>, ascending) with ends (array<struct<k,rid,...>>: the region of each block's first and last base, two entries for each block) and v, the regions along the blocks.
+
+    The outer ends are looked up by place; the inner ones are splices, so they must be a region's own boundary, and are joined by it. Regions between blocks are left out of v.
+    A hit with an end on no region or boundary, or whose regions don't ascend, is left out. `ids` tell hits of equal keys apart; other columns of regs come along in ends.
+    """
+    more = [c for c in regs.columns if c not in (*keys, "rid")]
+    at = lambda *names: regs.select(*keys, *[F.col(c).alias(n) for c, n in names], F.struct("rid", *more).alias("_e"))
+    own = hits.select(*keys, *ids, F.size("blocks").alias("_of"), F.posexplode("blocks").alias("_i", "_b")).select(*keys, *ids, "_of", "_i", F.col("_b.l").alias("_x"), F.col("_b.r").alias("_y"))
+    out = lambda df, k: df.select(*keys, *ids, "_of", k.alias("_k"), "_e")
+    left, right = 2 * F.col("_i"), 2 * F.col("_i") + 1
+    outer = at(("l", "_l"), ("r", "_r"))
+    ends = out(within(own.where("_i = 0"), F.col("_x"), outer, keys, "_l", "_r", bin_width), left)
+    ends = ends.unionByName(out(within(own.where("_i = _of - 1"), F.col("_y") - 1, outer, keys, "_l", "_r", bin_width), right))
+    ends = ends.unionByName(out(own.where("_i > 0").join(at(("l", "_x")), [*keys, "_x"]), left)).unionByName(out(own.where("_i < _of - 1").join(at(("r", "_y")), [*keys, "_y"]), right))
+    held = ends.groupBy(*keys, *ids, "_of").agg(F.array_sort(F.collect_list(F.struct(F.col("_k").alias("k"), "_e.*"))).alias("ends")).where(F.size("ends") == 2 * F.col("_of"))
+    rising = F.forall(F.sequence(F.lit(1), F.size("ends") - 1), lambda k: F.when(k % 2 == 1, F.get("ends", k - 1)["rid"] <= F.get("ends", k)["rid"]).otherwise(F.get("ends", k - 1)["rid"] < F.get("ends", k)["rid"]))
+    v = F.flatten(F.transform(F.sequence(F.lit(0), F.col("_of") - 1), lambda i: F.sequence(F.get("ends", 2 * i)["rid"], F.get("ends", 2 * i + 1)["rid"])))
+    return hits.join(held.where(rising).select(*keys, *ids, "ends", v.alias("v")), [*keys, *ids])
+
+
 def annotated(introns: DataFrame, loci: DataFrame, keys: Sequence[str] = ("tid",), bin_width: int = WIDTH) -> DataFrame:
     """Junctions of reference transcripts' introns (keys, lpos, rpos, xs) strictly inside a locus (keys, bid, lpos, rpos): keys, bid, lpos, rpos, cnt (negative: not from reads), strand."""
     bounds = loci.select(*keys, "bid", F.col("lpos").alias("_l"), F.col("rpos").alias("_r"))

@@ -5,7 +5,7 @@ In the projection mates are the n-th odd and the n-th even line of a locus and s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.operators import bridging, coverage, fragments, graphs, junctions, loci, mates, transcripts
@@ -19,14 +19,54 @@ MATE = ["pos", "rpos", "qid", "ln", "hid", "xs", "nm", "kl", "kr", "outer_l", "o
 LOW, HIGH = bridging.length_window(60, 10, 150)
 
 
+def _reads(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Spliced alignments of up to four blocks, the following rows of a locus and strand as long as each lies behind the one before it, and the regions."""
+    rows, regs = written(_assigned(spark, d), "assigned"), written(_regions(spark, d), "regions")
+    w = Window.partitionBy("tid", "bid", "xs").orderBy(*ORDER)
+    ahead = [F.lead(F.struct("pos", "rpos"), k).over(w).alias(f"_b{k}") for k in (1, 2, 3)]
+    reads = rows.join(loci.loci(rows).select("tid", "bid"), ["tid", "bid"], "left_semi").select("*", *ahead)
+    own, ok = [F.struct(F.col("pos").alias("l"), F.col("rpos").alias("r"))], F.lit(True)
+    for k in (1, 2, 3):
+        b, before = F.col(f"_b{k}"), F.col("rpos") if k == 1 else F.col(f"_b{k - 1}.rpos")
+        ok = ok & F.coalesce((b["pos"] > before) & (F.col("qid") % 4 >= k), F.lit(False))
+        own.append(F.when(ok, F.struct(b["pos"].alias("l"), b["rpos"].alias("r"))))
+    reads = reads.withColumn("blocks", F.array_compact(F.array(*own)))
+    return reads.withColumn("rpos", F.element_at("blocks", -1)["r"]).drop("_b1", "_b2", "_b3"), regs
+
+
+def _paired(hits: DataFrame) -> DataFrame:
+    one = hits.select("tid", "bid", F.floor(F.col("pos") / 64).alias("part"), *ORDER, F.struct(*MATE).alias("m"))
+    pairs = mates.pair_mates(one.where("ln % 2 = 1"), one.where("ln % 2 = 0"), ["tid", "bid", "part"], ORDER, ORDER)
+    frags = fragments.fragments(pairs.select("tid", "bid", F.least("m", "mate_m").alias("m1"), F.greatest("m", "mate_m").alias("m2")))
+    return frags.withColumns({"fid": F.struct(*[F.col(f"m1.{c}").alias(c) for c in ORDER]), "type": F.when(F.col("m1.hid") % 5 == 0, 1).otherwise(0)})
+
+
 def _fragments(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fragments, located alignments and regions."""
     hits, regs = _located(spark, d)
     hits = written(fragments.with_offsets(hits.withColumn("nm", F.col("qid") % 4), regs), "hits")
-    one = hits.select("tid", "bid", F.floor(F.col("pos") / 64).alias("part"), *ORDER, F.struct(*MATE).alias("m"))
-    pairs = mates.pair_mates(one.where("ln % 2 = 1"), one.where("ln % 2 = 0"), ["tid", "bid", "part"], ORDER, ORDER)
-    frags = fragments.fragments(pairs.select("tid", "bid", F.least("m", "mate_m").alias("m1"), F.greatest("m", "mate_m").alias("m2")))
-    return frags.withColumns({"fid": F.struct(*[F.col(f"m1.{c}").alias(c) for c in ORDER]), "type": F.when(F.col("m1.hid") % 5 == 0, 1).otherwise(0)}), hits, regs
+    return _paired(hits), hits, regs
+
+
+def _spliced_fragments(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fragments of spliced mates, the spliced alignments and regions."""
+    reads, regs = _reads(spark, d)
+    hits = written(fragments.on_regions(reads.withColumn("nm", F.col("qid") % 4), regs, ORDER, bin_width=BIN), "hits")
+    return _paired(hits), hits, regs
+
+
+def spliced_region_list(spark, d):
+    """The regions along the blocks of each spliced alignment, and their length."""
+    reads, regs = _reads(spark, d)
+    hits = fragments.on_regions(reads, regs, ORDER, bin_width=BIN)
+    return hits.select("tid", "bid", *ORDER, F.size("blocks").alias("n_blocks"), F.array_join("v", ">").alias("v"), "size")
+
+
+def spliced_fragments(spark, d):
+    """Fragments of spliced mates: offsets, what may be shortened, lengths and regions."""
+    f = _spliced_fragments(spark, d)[0]
+    told = [F.col(f"m{i}.{c}").alias(f"{c}{i}") for i in (1, 2) for c in ("qid", "ln", "hid", "size")]
+    return f.select("tid", "bid", *told, "lpos", "rpos", "k1l", "k1r", "k2l", "k2r", "b1", "b2", *[F.array_join(f"m{i}.v", ">").alias(f"v{i}") for i in (1, 2)])
 
 
 def fragment_offsets(spark, d):
@@ -50,25 +90,50 @@ def region_lengths(spark, d):
     return fragments.upto(_regions(spark, d)).select("tid", "bid", "rid", "upto")
 
 
-def _bridged(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Bridged fragments, and the alignments that are in none of a fitting length."""
-    frags, hits, regs = _fragments(spark, d)
-    seen = hits.where("last_rid > first_rid").select("tid", "bid", F.explode(F.transform(F.sequence(F.col("first_rid"), F.col("last_rid") - 1), lambda x: F.array(x, x + 1))).alias("path")).groupBy("tid", "bid", "path").agg(F.count(F.lit(1)).alias("cnt"))
+def _ways(spark, d, frags: DataFrame, hits: DataFrame, regs: DataFrame) -> DataFrame:
+    """Bridged fragments, over regions that hits or junctions show in a row, or that touch."""
+    seen = fragments.region_pairs(hits)
     left = regs.select("tid", "bid", F.col("r").alias("lpos"), F.col("rid").alias("lexon"))
     right = regs.select("tid", "bid", F.col("l").alias("rpos"), F.col("rid").alias("rexon"))
     spliced = _junctions(spark, d).select("tid", "lpos", "rpos", "cnt").join(left, ["tid", "lpos"]).join(right, ["tid", "bid", "rpos"]).select("tid", "bid", F.array("lexon", "rexon").alias("path"), "cnt")
     touching = regs.where("rid > 0").select("tid", "bid", (F.col("rid") - 1).alias("s"), F.col("rid").alias("t"))
-    edges = written(bridging.junction_graph(seen.unionByName(spliced), touching, ["tid", "bid"]), "ways")
-    out = written(fragments.bridged(written(frags, "fragments"), regs, edges, LOW, HIGH), "bridged")
+    edges = bridging.junction_graph(seen.unionByName(spliced).groupBy("tid", "bid", "path").agg(F.max("cnt").alias("cnt")), touching, ["tid", "bid"])
+    return written(fragments.bridged(written(frags, "fragments"), regs, written(edges, "ways"), LOW, HIGH), "bridged")
+
+
+def _unused(rows: DataFrame, out: DataFrame) -> DataFrame:
+    """The rows that are in no fragment of a fitting length."""
     used = out.where("kind = 1").select("tid", F.explode(F.array(*[F.struct(*[F.col(f"{m}.{c}").alias(c) for c in ORDER]) for m in ("m1", "m2")])).alias("h")).select("tid", "h.*")
-    return out, alignments(spark, d).join(used, ["tid", *ORDER], "left_anti")
+    return rows.join(used, ["tid", *ORDER], "left_anti")
 
 
-def bridged_fragments(spark, d):
-    f = _bridged(spark, d)[0]
+def _bridged(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Bridged fragments, and the alignments that are in none of a fitting length."""
+    out = _ways(spark, d, *_fragments(spark, d))
+    return out, _unused(alignments(spark, d), out)
+
+
+def spliced_bridges(spark, d):
+    """Fragments of spliced mates with the ways between them."""
+    return _told(_ways(spark, d, *_spliced_fragments(spark, d)))
+
+
+def spliced_coverage(spark, d):
+    """Coverage of bridged fragments of spliced mates and of the blocks of the alignments that are in none."""
+    frags, hits, regs = _spliced_fragments(spark, d)
+    out = _ways(spark, d, frags, hits, regs)
+    alone = _unused(hits, out).select("tid", F.explode("blocks").alias("b")).select("tid", F.col("b.l").alias("pos"), F.col("b.r").alias("rpos"))
+    return coverage.segments(fragments.blocks_of(out, alone), bin_width=8 * BIN)
+
+
+def _told(f: DataFrame) -> DataFrame:
     return f.select("tid", "bid", *[F.col(f"fid.{c}").alias(c) for c in ORDER], F.array_join("path", ">").alias("path"), "length", "kind", F.size("splices").alias("n_splices"), F.size("blocks").alias("n_blocks"))
 
 
+def bridged_fragments(spark, d):
+    return _told(_bridged(spark, d)[0])
+
+
 def bridge_counts(spark, d):
     return fragments.bridge_counts(_bridged(spark, d)[0])
 
@@ -207,6 +272,16 @@ oa AS (SELECT *, row_number() OVER (PARTITION BY tid, bid, part ORDER BY {ORD})
 pq AS (SELECT a.tid, a.bid, (a.pos, a.rpos, a.qid, a.ln, a.hid) < (b.pos, b.rpos, b.qid, b.ln, b.hid) AS up, a, b FROM oa a JOIN ob b ON a.tid = b.tid AND a.bid = b.bid AND a.part = b.part AND a.k = b.k),
 fr AS (SELECT tid, bid, CASE WHEN up THEN a ELSE b END AS m1, CASE WHEN up THEN b ELSE a END AS m2 FROM pq)
 """
+READS = BASE + f""", rd0 AS (SELECT b.*, lead(pos, 1) OVER w AS p1, lead(rpos, 1) OVER w AS q1, lead(pos, 2) OVER w AS p2, lead(rpos, 2) OVER w AS q2, lead(pos, 3) OVER w AS p3, lead(rpos, 3) OVER w AS q3 FROM bnd b SEMI JOIN bun USING (tid, bid) WINDOW w AS (PARTITION BY tid, bid, xs ORDER BY {ORD})),
+rd1 AS (SELECT *, coalesce(p1 > rpos AND qid % 4 >= 1, false) AS k1, coalesce(p1 > rpos AND p2 > q1 AND qid % 4 >= 2, false) AS k2, coalesce(p1 > rpos AND p2 > q1 AND p3 > q2 AND qid % 4 >= 3, false) AS k3 FROM rd0),
+rd AS (SELECT tid, bid, pos, CASE WHEN k3 THEN q3 WHEN k2 THEN q2 WHEN k1 THEN q1 ELSE rpos END AS rpos, qid, ln, hid, 1 + CAST(k1 AS INT) + CAST(k2 AS INT) + CAST(k3 AS INT) AS nb, list_filter([struct_pack(a := pos, b := rpos), CASE WHEN k1 THEN struct_pack(a := p1, b := q1) END, CASE WHEN k2 THEN struct_pack(a := p2, b := q2) END, CASE WHEN k3 THEN struct_pack(a := p3, b := q3) END], lambda x: x IS NOT NULL) AS blocks FROM rd1),
+on_ AS (SELECT DISTINCT h.tid, h.bid, pos, rpos, qid, ln, hid, nb, g.rid, g.l, g.r FROM (SELECT *, unnest(blocks) AS x FROM rd) h JOIN reg g ON h.tid = g.tid AND h.bid = g.bid AND g.l < h.x.b AND g.r > h.x.a),
+rl AS (SELECT tid, bid, pos, rpos, qid, ln, hid, nb, list(rid ORDER BY rid) AS v, CAST(sum(r - l) AS BIGINT) AS size, pos - min(l) AS kl, max(r) - rpos AS kr, max(l) AS ol, min(r) AS orr, qid % 4 AS nm, CAST(floor(pos / 64.0) AS BIGINT) AS part FROM on_ GROUP BY tid, bid, pos, rpos, qid, ln, hid, nb)
+"""
+SPLICED = READS + f""", oa AS (SELECT *, row_number() OVER (PARTITION BY tid, bid, part ORDER BY {ORD}) AS k FROM rl WHERE ln % 2 = 1), ob AS (SELECT *, row_number() OVER (PARTITION BY tid, bid, part ORDER BY {ORD}) AS k FROM rl WHERE ln % 2 = 0),
+pq AS (SELECT a.tid, a.bid, (a.pos, a.rpos, a.qid, a.ln, a.hid) < (b.pos, b.rpos, b.qid, b.ln, b.hid) AS up, a, b FROM oa a JOIN ob b ON a.tid = b.tid AND a.bid = b.bid AND a.part = b.part AND a.k = b.k),
+fr AS (SELECT tid, bid, CASE WHEN up THEN a ELSE b END AS m1, CASE WHEN up THEN b ELSE a END AS m2 FROM pq)
+"""
 PARTS = ", ins AS (SELECT g.tid, bid, l, r, ltype, rtype, p, q, cov FROM reg g JOIN seg s ON g.tid = s.tid AND p >= l AND q <= r), c AS (SELECT *, CASE WHEN p > coalesce(lag(q) OVER (PARTITION BY tid, bid, l ORDER BY p), l) + 3 THEN 1 ELSE 0 END AS new FROM ins), k AS (SELECT *, sum(new) OVER (PARTITION BY tid, bid, l ORDER BY p) AS k FROM c), g2 AS (SELECT tid, bid, l, r, ltype, rtype, k, min(p) AS a, max(q) AS b, CAST(sum((q - p) * cov) AS BIGINT) AS area FROM k GROUP BY tid, bid, l, r, ltype, rtype, k), g3 AS (SELECT tid, bid, l AS ol, r AS orr, ltype AS olt, rtype AS ort, CASE WHEN a - l <= 3 THEN l ELSE a END AS l, CASE WHEN r - b <= 3 THEN r ELSE b END AS r, area FROM g2)"
 TYPED = BASE + PARTS + """, own AS (SELECT tid, bid, ol, orr, l, r, CASE WHEN l = ol THEN olt ELSE 1 END AS ltype, CASE WHEN r = orr THEN ort ELSE 2 END AS rtype, area / CAST(r - l AS DOUBLE) AS w, (r - l < 15 OR area < 1.5 * (r - l) OR area < 3) AND NOT (l = ol AND r = orr) AND NOT (l = ol AND olt = 4) AND NOT (r = orr AND ort = 3) AS empty, false AS stub FROM g3),
 seen AS (SELECT tid, bid, ol, orr, olt, ort, bool_or(l = ol) AS lf, bool_or(r = orr) AS rf FROM g3 GROUP BY ALL),
@@ -218,6 +293,14 @@ QUERIES = {
         fragment_offsets,
         PAIRED + "SELECT tid, bid, m1.qid AS qid1, m1.ln AS ln1, m1.hid AS hid1, m2.qid AS qid2, m2.ln AS ln2, m2.hid AS hid2, m1.pos AS lpos, m2.rpos AS rpos, m1.kl AS k1l, m1.kr AS k1r, m2.kl AS k2l, m2.kr AS k2r, m1.nv > 1 AND m1.rpos - m1.ol <= 20 + m1.nm AS b1, m2.nv > 1 AND m2.orr - m2.pos <= 20 + m2.nm AS b2 FROM fr",
     ),
+    "spliced_region_list": (spliced_region_list, READS + f"SELECT tid, bid, {ORD}, nb AS n_blocks, array_to_string(v, '>') AS v, size FROM rl"),
+    "spliced_fragments": (
+        spliced_fragments,
+        SPLICED + "SELECT tid, bid, m1.qid AS qid1, m1.ln AS ln1, m1.hid AS hid1, m1.size AS size1, m2.qid AS qid2, m2.ln AS ln2, m2.hid AS hid2, m2.size AS size2, m1.pos AS lpos, m2.rpos AS rpos, m1.kl AS k1l, m1.kr AS k1r, m2.kl AS k2l, m2.kr AS k2r, "
+        "len(m1.v) > 1 AND m1.rpos - m1.ol <= CASE WHEN m1.v[-2] = m1.v[-1] - 1 THEN 20 ELSE 10 END + m1.nm AS b1, len(m2.v) > 1 AND m2.orr - m2.pos <= 20 + m2.nm AS b2, array_to_string(m1.v, '>') AS v1, array_to_string(m2.v, '>') AS v2 FROM fr",
+    ),
+    "spliced_bridges": (spliced_bridges, None),
+    "spliced_coverage": (spliced_coverage, None),
     "fragment_groups": (fragment_groups, PAIRED + "SELECT tid, bid, m1.first_rid AS f1, m1.last_rid AS l1, m2.first_rid AS f2, m2.last_rid AS l2, m1.kl AS k1l, m1.kr AS k1r, m2.kl AS k2l, m2.kr AS k2r, count(*) AS cnt, min(m1.pos) AS lpos, max(m2.rpos) AS rpos FROM fr GROUP BY ALL"),
     "fragment_sizes": (fragment_sizes, PAIRED + "SELECT f.tid, f.bid, m1.qid AS qid, m1.ln AS ln, m1.hid AS hid, CAST(sum(r - l) - any_value(m1.kl) - any_value(m2.kr) AS BIGINT) AS length FROM fr f JOIN reg g ON f.tid = g.tid AND f.bid = g.bid AND (rid BETWEEN m1.first_rid AND m1.last_rid OR rid BETWEEN m2.first_rid AND m2.last_rid) WHERE m1.last_rid >= m2.first_rid GROUP BY f.tid, f.bid, m1.qid, m1.ln, m1.hid, m1.pos, m1.rpos"),
     "region_lengths": (region_lengths, BASE + "SELECT tid, bid, rid, CAST(sum(r - l) OVER (PARTITION BY tid, bid ORDER BY rid) AS BIGINT) AS upto FROM reg"),
