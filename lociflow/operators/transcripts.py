@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,15 +59,73 @@ def joined_neighbours(rows: DataFrame, keys: Sequence[str], gap: int, bin_width:
     return running(reached, keys, bins, order, new, "sum", "_k").groupBy(*keys, "_k").agg(F.min("l").alias("l"), F.max("r").alias("r"), F.count(F.lit(1)).alias("n"), (F.sum(F.col("coverage") * size) / F.sum(size)).alias("coverage")).drop("_k")
 
 
-def consensus(runs: DataFrame, keys: Sequence[str], least_multi: int = 5, least_single: int = 11, n_runs: int = 10) -> DataFrame:
-    """keys, introns, cnt, coverage, start, end of transcripts that enough runs agree on.
+def _reaches(a: list, start: int, end: int, ratio: float) -> bool:
+    """Whether item a (start, end, ...) and the stretch overlap by `ratio` of either's length."""
+    over = min(a[1], end) - max(a[0], start)
+    return over >= ratio * (a[1] - a[0]) or over >= ratio * (end - start)
 
-    Multi-exon ones (one or more introns) agree by intron chain and add up coverage, over the number of runs; single-exon ones by the start's and end's bin, with the least coverage.
+
+def merged_singles(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ("run",), ratio: float = 0.9, bin_width: int = 4096) -> DataFrame:
+    """keys, cnt, coverage (the least), start, end of single-exon transcripts (keys, order columns, start, end, coverage) merged where they overlap by `ratio` of either's length.
+
+    Transcripts are taken one after the other, by `order`, then start and end. Among the items so far, in order of start and end, one goes to the first that it matches and widens
+    that item's bounds; if it meets one that starts behind it (or with it, but ends behind it) without a match, or the last, it becomes an item of its own. Only what overlaps can match, so
+    each island of overlapping transcripts is worked out for itself, in one pass over its rows in that order: a task holds the items of one island, however many rows it has. Equal stretches of
+    one place in the order are added up before they are dealt.
+    """
+    equal = rows.groupBy(*keys, *order, "start", "end").agg(F.count(F.lit(1)).alias("cnt"), F.min("coverage").cast("double").alias("coverage"))
+    bins = F.floor(F.col("start") / bin_width)
+    by = ["start", "end", *order]
+    reached = running(equal, keys, bins, by, F.col("end"), "max", "_reach", with_own=False)
+    islands = running(reached, keys, bins, by, F.when(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach")), 1).otherwise(0), "sum", "_island")
+    own = [*keys, "_island"]
+    dealt = islands.drop("_reach").repartition(*own).sortWithinPartitions(*own, *order, "start", "end")
+    kinds = dict(dealt.dtypes)
+    out = [*keys, "cnt", "coverage", "start", "end"]
+
+    def merge(frames):
+        items: list[list] = []
+        starts: list[int] = []
+        longest, now = 0, None
+
+        def told():
+            return [(*now[:-1], n, c, a, b) for a, b, n, c in items]
+
+        for frame in frames:
+            done = []
+            for row in frame[[*own, "start", "end", "cnt", "coverage"]].itertuples(index=False, name=None):
+                key, (start, end, cnt, cov) = row[: len(own)], row[len(own) :]
+                if key != now:
+                    if items:
+                        done += told()
+                    items, starts, longest, now = [], [], 0, key
+                at = bisect_left(starts, start - longest)
+                while at < len(items) and not _reaches(items[at], start, end, ratio) and (items[at][0], items[at][1]) <= (start, end):
+                    at += 1
+                if at < len(items) and _reaches(items[at], start, end, ratio):
+                    a = items[at]
+                    items[at] = [min(a[0], start), max(a[1], end), a[2] + cnt, min(a[3], cov)]
+                    starts[at] = items[at][0]
+                else:
+                    items.insert(at, [start, end, cnt, cov])
+                    starts.insert(at, start)
+                longest = max(longest, items[at][1] - items[at][0])
+            if done:
+                yield pd.DataFrame(done, columns=out)
+        if items:
+            yield pd.DataFrame(told(), columns=out)
+
+    return dealt.mapInPandas(merge, ", ".join(f"`{c}` {kinds[c]}" for c in out))
+
+
+def consensus(runs: DataFrame, keys: Sequence[str], least_multi: int = 5, least_single: int = 11, n_runs: int = 10, order: Sequence[str] = ("run",), ratio: float = 0.9) -> DataFrame:
+    """keys, introns, cnt, coverage, start, end of transcripts (keys, introns, coverage, start, end, and columns that order them) that enough runs agree on.
+
+    Multi-exon ones (one or more introns) agree by intron chain and add up coverage, over the number of runs; single-exon ones by overlap (merged_singles()), with the least coverage.
     """
-    bin_ = F.when(F.size("introns") == 0, F.floor((F.col("start") + F.col("end")) / 10_000) + 1)
-    grouped = runs.groupBy(*keys, "introns", bin_.alias("_bin")).agg(F.count(F.lit(1)).alias("cnt"), F.sum("coverage").alias("_sum"), F.min("coverage").alias("_min"), F.min("start").alias("start"), F.max("end").alias("end"))
-    multi = F.size("introns") > 0
-    return grouped.where(F.col("cnt") >= F.when(multi, least_multi).otherwise(least_single)).select(*keys, "introns", "cnt", F.when(multi, F.col("_sum") / n_runs).otherwise(F.col("_min")).alias("coverage"), "start", "end")
+    multi = runs.where(F.size("introns") > 0).groupBy(*keys, "introns").agg(F.count(F.lit(1)).alias("cnt"), (F.sum("coverage") / n_runs).alias("coverage"), F.min("start").alias("start"), F.max("end").alias("end")).where(F.col("cnt") >= least_multi)
+    single = merged_singles(runs.where(F.size("introns") == 0).select(*keys, *order, "start", "end", "coverage"), keys, order, ratio).where(F.col("cnt") >= least_single)
+    return multi.unionByName(single.withColumn("introns", F.array().cast(runs.schema["introns"].dataType)))
 
 
 def merge_items(items: DataFrame, keys: Sequence[str], mode: str = "add") -> DataFrame:

@@ -59,12 +59,13 @@ def compare_graphs(spark, d):
 
 
 def intron_consensus(spark, d):
-    """Each order's alignments as a transcript, its introns between neighbours in units of 32 days; orders of a strand (the last digit's third) are runs that agree by intron chain."""
+    """Each order's alignments as a transcript, its introns between neighbours in units of 32 days; orders of a strand (the last digit's third) are runs that agree by intron chain. Those without introns are consensus_merge's."""
     a = alignments(spark, d).withColumn("nxt", F.lead("pos").over(Window.partitionBy("qid").orderBy("pos", "rpos", "ln")))
     unit = lambda c: F.floor(F.col(c) / 32).cast("int")
     gap = F.when(F.col("nxt") > F.col("rpos"), F.struct(unit("rpos").alias("l"), unit("nxt").alias("r")))
     rows = a.groupBy("qid").agg(F.array_sort(F.collect_list(gap)).alias("introns"), F.sum("hid").cast("double").alias("coverage"), F.min("pos").alias("start"), F.max("rpos").alias("end"))
-    out = transcripts.consensus(rows.withColumn("strand", F.col("qid") % 3), ["strand"], least_multi=3, least_single=5)
+    rows = rows.where(F.size("introns") > 0).withColumns({"strand": F.col("qid") % 3, "run": F.col("qid") % 10})
+    out = transcripts.consensus(rows, ["strand"], least_multi=3)
     chain = F.array_join(F.transform("introns", lambda x: F.concat(x["l"].cast("string"), F.lit(":"), x["r"].cast("string"))), ",")
     return out.select("strand", chain.alias("chain"), "cnt", F.round("coverage", 4).alias("coverage"), "start", "end")
 
@@ -121,7 +122,7 @@ QUERIES = {
     "intron_consensus": (
         intron_consensus,
         f"WITH {ALN_SQL}, n AS (SELECT *, lead(pos) OVER (PARTITION BY qid ORDER BY pos, rpos, ln) AS nx FROM aln), t AS (SELECT qid, qid % 3 AS strand, coalesce(string_agg(CASE WHEN nx > rpos THEN CAST(floor(rpos / 32.0) AS INT) || ':' || CAST(floor(nx / 32.0) AS INT) END, ',' ORDER BY pos, rpos, ln), '') AS chain, sum(hid) AS c, min(pos) AS p, max(rpos) AS q FROM n GROUP BY qid) "
-        "SELECT strand, chain, count(*) AS cnt, round(CASE WHEN chain = '' THEN min(c) ELSE sum(c) / 10.0 END, 4)::DOUBLE AS coverage, min(p) AS \"start\", max(q) AS \"end\" FROM t GROUP BY strand, chain, CASE WHEN chain = '' THEN floor((p + q) / 10000.0) END HAVING count(*) >= CASE WHEN chain = '' THEN 5 ELSE 3 END",
+        "SELECT strand, chain, count(*) AS cnt, round(sum(c) / 10.0, 4)::DOUBLE AS coverage, min(p) AS \"start\", max(q) AS \"end\" FROM t WHERE chain <> '' GROUP BY strand, chain HAVING count(*) >= 3",
     ),
     "phased_bridges": (
         phased_bridges,

@@ -52,8 +52,9 @@ def joined_neighbours(spark, d):
 
 
 def consensus_merge(spark, d):
-    rows = alignments(spark, d).select("tid", "xs", F.array().cast("array<struct<l:int,r:int>>").alias("introns"), F.lit(1.0).alias("coverage"), F.col("pos").alias("start"), F.col("rpos").alias("end"))
-    return transcripts.consensus(rows, ["tid", "xs"], least_single=5).select("tid", "xs", "cnt", "coverage", "start", "end")
+    """Alignments as single-exon transcripts of ten runs (a supplier's last digit), merged where they overlap by 90 % of either."""
+    rows = alignments(spark, d).select("tid", "xs", (F.col("hid") % 10).alias("run"), F.array().cast("array<struct<l:int,r:int>>").alias("introns"), (F.col("qid") % 7 + 1).cast("double").alias("coverage"), F.col("pos").alias("start"), F.col("rpos").alias("end"))
+    return transcripts.consensus(rows, ["tid", "xs"], least_single=2).select("tid", "xs", "cnt", "coverage", "start", "end")
 
 
 def rpkm_tpm(spark, d):
@@ -125,7 +126,14 @@ QUERIES = {
         joined_neighbours,
         f"WITH {ALN_SQL}, s AS (SELECT tid, pos AS l, rpos AS r, CAST(hid % 7 + 1 AS DOUBLE) AS c FROM aln WHERE xs = '.'), n AS (SELECT *, CASE WHEN l <= max(r) OVER (PARTITION BY tid ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 30 THEN 0 ELSE 1 END AS new FROM s), k AS (SELECT *, sum(new) OVER (PARTITION BY tid ORDER BY l, r ROWS UNBOUNDED PRECEDING) AS kk FROM n) SELECT tid, min(l) AS l, max(r) AS r, count(*) AS n, round(sum(c * (r - l)) / sum(r - l), 6) AS coverage FROM k GROUP BY tid, kk",
     ),
-    "consensus_merge": (consensus_merge, f"WITH {ALN_SQL} SELECT tid, xs, count(*) AS cnt, 1.0::DOUBLE AS coverage, min(pos) AS \"start\", max(rpos) AS \"end\" FROM aln GROUP BY tid, xs, floor((pos + rpos) / 10000.0) HAVING count(*) >= 5"),
+    "consensus_merge": (
+        consensus_merge,
+        f"WITH RECURSIVE {ALN_SQL}, t AS (SELECT tid, xs, hid % 10 AS run, pos AS s, rpos AS e, qid % 7 + 1 AS c, row_number() OVER (PARTITION BY tid, xs ORDER BY hid % 10, pos, rpos) AS n FROM aln), "
+        "step AS (SELECT tid, xs, s, e, c, n, [struct_pack(s := s, e := e, n := 1, c := c)] AS items FROM t WHERE n = 1 UNION ALL SELECT tid, xs, s, e, c, n, CASE WHEN hit THEN list_transform(items, lambda x, k: CASE WHEN k = spot THEN struct_pack(s := least(x.s, s), e := greatest(x.e, e), n := x.n + 1, c := least(x.c, c)) ELSE x END) "
+        "ELSE list_concat(list_concat(items[1:spot - 1], [struct_pack(s := s, e := e, n := 1, c := c)]), items[spot:]) END FROM (SELECT *, coalesce(list_min(list_transform(list_filter(list_zip(items, range(1, len(items) + 1)), lambda z: least(z[1].e, e) - greatest(z[1].s, s) >= 0.9 * (z[1].e - z[1].s) OR least(z[1].e, e) - greatest(z[1].s, s) >= 0.9 * (e - s) OR z[1].s > s OR (z[1].s = s AND z[1].e > e)), lambda z: z[2])), len(items) + 1) AS spot, "
+        "spot <= len(items) AND (least(items[spot].e, e) - greatest(items[spot].s, s) >= 0.9 * (items[spot].e - items[spot].s) OR least(items[spot].e, e) - greatest(items[spot].s, s) >= 0.9 * (e - s)) AS hit FROM (SELECT t.*, step.items FROM step JOIN t ON t.tid = step.tid AND t.xs = step.xs AND t.n = step.n + 1))), "
+        "last AS (SELECT tid, xs, unnest(items) AS x FROM step WHERE n = (SELECT max(n) FROM t WHERE t.tid = step.tid AND t.xs = step.xs)) SELECT tid, xs, CAST(x.n AS BIGINT) AS cnt, CAST(x.c AS DOUBLE) AS coverage, x.s AS \"start\", x.e AS \"end\" FROM last WHERE x.n >= 2",
+    ),
     "rpkm_tpm": (rpkm_tpm, "SELECT l_orderkey, l_linenumber, round(l_quantity * 1e9 / sum(l_suppkey + 1) OVER (), 3) AS rpkm, round(l_quantity * 1e6 / sum(l_quantity) OVER (), 3) AS tpm FROM lineitem"),
     "best_overlap_gene": (
         best_overlap_gene,

@@ -101,11 +101,42 @@ def test_consensus_of_intron_chains(spark):
     """Chains agree whole: one that is the beginning of another is a different one; bounds widen and coverages add up over the number of runs."""
     a, b = (10, 20), (30, 40)
     rows = [("+", [a, b], 2.0, 0, 50), ("+", [a, b], 4.0, 3, 60), ("+", [a], 8.0, 0, 25), ("-", [a, b], 1.0, 0, 50), ("+", [], 5.0, 100, 200), ("+", [], 3.0, 110, 190), ("+", [], 3.0, 40_000, 40_100)]
-    runs = spark.createDataFrame(rows, "strand string, introns array<struct<l:int,r:int>>, coverage double, start int, end int")
+    runs = spark.createDataFrame(rows, "strand string, introns array<struct<l:int,r:int>>, coverage double, start int, end int").withColumn("run", F.lit(1))
     got = transcripts.consensus(runs, ["strand"], least_multi=2, least_single=2, n_runs=10)
     assert rows_of(got.withColumn("n", F.size("introns")), "strand", "n", "cnt", "coverage", "start", "end") == [("+", 0, 2, 3.0, 100, 200), ("+", 2, 2, 0.6, 0, 60)]
 
 
+def one_by_one(rows, ratio):
+    """The items of one key, from rows (run, start, end, coverage) taken in order."""
+    items = []
+    for _, s, e, c in sorted(rows, key=lambda x: x[:3]):
+        for k, (a, b, n, d) in enumerate(items):
+            over = min(b, e) - max(a, s)
+            if over >= ratio * (b - a) or over >= ratio * (e - s):
+                items[k] = (min(a, s), max(b, e), n + 1, min(c, d))
+                break
+            if (a, b) > (s, e):
+                items.insert(k, (s, e, 1, c))
+                break
+        else:
+            items.append((s, e, 1, c))
+    return items
+
+
+def test_single_exons_merge_by_overlap(spark):
+    """Six of [100, 300) and six of [4000, 4500) are two transcripts; random ones agree with adding them one by one, with repeated rows and bins cut anywhere."""
+    rows = [("a", k, s, e, 1.0) for k in range(6) for s, e in ((100, 300), (4000, 4500))]
+    r = random.Random(7)
+    for key in "bcdef":
+        rows += [(key, r.randint(0, 4), s, s + r.randint(1, 40), float(r.randint(1, 9))) for s in (r.randint(0, 120) for _ in range(r.randint(1, 60)))]
+    rows += rows[20:30]
+    df = spark.createDataFrame(rows, "tid string, run int, start int, end int, coverage double").repartition(4)
+    got = rows_of(transcripts.merged_singles(df, ["tid"], bin_width=16), "tid", "start", "end", "cnt", "coverage")
+    want = sorted((key, *x) for key in "abcdef" for x in one_by_one([y[1:] for y in rows if y[0] == key], 0.9))
+    assert got == want and [x[1:4] for x in got if x[0] == "a"] == [(100, 300, 6), (4000, 4500, 6)]
+    assert transcripts.merged_singles(df.limit(0), ["tid"]).count() == 0
+
+
 def test_phased_ways(spark):
     """A mate that the path doesn't hold whole, a second one before the first's end, and another key's path show nothing; equal ways count together."""
     paths = spark.createDataFrame([(1, [1, 2, 3, 5, 6]), (1, [0, 1, 2, 3, 5, 6, 9]), (1, [1, 2, 4, 5, 6]), (2, [1, 2, 7])], "k int, path array<int>")
