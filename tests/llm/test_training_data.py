@@ -399,6 +399,42 @@ def test_leaks_that_many_documents_share(spark, empty):
     assert decontaminate.best_alignment(item, long_one, 0.4) == decontaminate.align(item, long_one) == (1.0, 40, 8180, 8220)
 
 
+def edited_copies(r, words):
+    """Copies of an item in all patterns of edits: every k-th word changed, dropped or one put in behind it, random edits, parts, and both."""
+    out = []
+    for k in range(2, 9):
+        for at in (0, k - 1):
+            out += [["changed" if j % k == at else w for j, w in enumerate(words)], [w for j, w in enumerate(words) if j % k != at], [x for j, w in enumerate(words) for x in ([w, f"new{j}"] if j % k == at else [w])]]
+    out += [[x for w in words for x in (w, "put")], [x for j, w in enumerate(words) for x in ([w, "put", "in"] if j % 2 else [w])]]
+    for rate in (0.1, 0.2, 0.3, 0.35):
+        for _ in range(4):
+            out.append([x for w in words for x in r.choices([[w], ["other"], [], [w, "put"]], [1 - rate, rate / 2, rate / 4, rate / 4])[0]])
+    n = len(words)
+    return out + [words[: n // 2], words[n // 2 :], words[n // 4 : 3 * n // 4], words[: 2 * n // 5], words]
+
+
+def test_leaks_recall_over_patterns_of_edits(spark):
+    """Against aligning every document with every item, for items of 15 to 130 words, between words that all texts share."""
+    r = random.Random(12)
+    common = "the of and to in a is that it was for on as with be by".split()
+    vocabulary = common * 20 + [f"w{k}" for k in range(900)]
+    items = [(n, r.choices(vocabulary, k=n)) for n in (15, 20, 26, 31, 39, 47, 60, 80, 130)]
+    rows, want = [], set()
+    for _, words in items:
+        for copy in edited_copies(r, words):
+            rows.append((len(rows), r.choices(vocabulary, k=30) + copy + r.choices(vocabulary, k=30)))
+    rows += [(len(rows) + i, r.choices(vocabulary, k=150)) for i in range(30)]
+    for i, text in rows:
+        want |= {(i, n) for n, words in items if decontaminate.align(words, text)[0] >= 0.4}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(4)
+    found = {(x.doc_id, x.item) for x in decontaminate.find_leaks(docs, spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")).collect()}
+    for n, _ in items:
+        all_n = {x for x in want if x[1] == n}
+        print(n, len(all_n), len(all_n - found))
+        assert len(all_n & found) >= (0.98 if n > 25 else 0.9) * len(all_n), n
+    assert found <= want and len(want) > 300
+
+
 def test_alignment_by_brute_force():
     r = random.Random(2)
     for _ in range(60):
