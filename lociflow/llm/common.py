@@ -65,6 +65,15 @@ def unpacked(column: pa.ChunkedArray):
     return (z.decompress(x.as_buffer()) for x in column)
 
 
+#: Partitions that blocks or buckets are dealt to at most. A partition takes its groups one after the other, so memory follows a group, and the exchange's messages the partitions.
+MOST_PARTITIONS = 4096
+
+
+def dealt(rows: DataFrame, groups: int, by: str) -> DataFrame:
+    """rows dealt by a column that numbers `groups` blocks or buckets, to as many partitions as there are groups, or to MOST_PARTITIONS."""
+    return rows.repartition(max(1, min(groups, MOST_PARTITIONS)), by)
+
+
 def dealt_in_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """block, id_col, z (compressed text) for each row, dealt to blocks of about block_bytes by a hash of id and text; and how many blocks there are.
 
@@ -73,7 +82,7 @@ def dealt_in_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: in
     blocks = blocks_needed(docs, text_col, block_bytes)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int").alias("block"), id_col, F.col(text_col).alias("z"))
-    return rows.mapInArrow(compressed, f"block int, `{id_col}` {kind}, z binary").repartition(blocks, "block"), blocks
+    return dealt(rows.mapInArrow(compressed, f"block int, `{id_col}` {kind}, z binary"), blocks, "block"), blocks
 
 
 def packed(x: np.ndarray) -> bytes:

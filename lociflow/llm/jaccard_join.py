@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import array_of, blocks_needed, modest_batches, packed, sliced, unpacked
+from lociflow.llm.common import array_of, blocks_needed, dealt, modest_batches, packed, sliced, unpacked
 from lociflow.operators.components import components
 from lociflow.llm.words import mixed, ngrams, parts, words_of
 from lociflow.sources.shared import written
@@ -99,7 +99,7 @@ def linkable_sets(docs: DataFrame, text_col: str, shingle: int, num: int, den: i
             columns = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["block", "s1", "s2", "z"])
 
-    dealt = docs.select(text_col).mapInArrow(deal, "block int, s1 long, s2 long, z binary").repartition(blocks, "block")
+    texts = dealt(docs.select(text_col).mapInArrow(deal, "block int, s1 long, s2 long, z binary"), blocks, "block")
 
     def sets_of(block: pa.Table):
         keys = list(zip(block.column("s1").to_pylist(), block.column("s2").to_pylist()))
@@ -159,9 +159,9 @@ def linkable_sets(docs: DataFrame, text_col: str, shingle: int, num: int, den: i
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
         return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["s1", "s2", "n", "centre", "shared", "tokens", "places"])
 
-    counted = dealt.groupBy("block").applyInArrow(count, "bucket int, block int, tokens binary, n binary")
-    told = counted.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, "block int, tokens binary, n binary")
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(select, "s1 long, s2 long, n long, centre double, shared binary, tokens array<long>, places array<int>")
+    counted = texts.groupBy("block").applyInArrow(count, "bucket int, block int, tokens binary, n binary")
+    told = dealt(counted, buckets, "bucket").groupBy("bucket").applyInArrow(answer, "block int, tokens binary, n binary")
+    return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(select, "s1 long, s2 long, n long, centre double, shared binary, tokens array<long>, places array<int>")
 
 
 def _summed(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:

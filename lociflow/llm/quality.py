@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import array_of, bit_rows, blocks_needed, compressed, FILTER_BITS, has_bit, hash_pair, modest_batches, packed, sliced, unpacked
+from lociflow.llm.common import FILTER_BITS, array_of, bit_rows, blocks_needed, compressed, dealt, has_bit, hash_pair, modest_batches, packed, sliced, unpacked
 from lociflow.llm.words import mixed
 from lociflow.sources.shared import drop_written, written
 
@@ -157,7 +157,7 @@ def distinct_grams(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
     def merge(bucket: pa.Table) -> pa.Table:
         return pa.Table.from_arrays([pa.array(np.unique(np.concatenate([np.cumsum(array_of(z, np.int64)) for z in bucket.column("grams")])))], ["gram"])
 
-    return docs.select(text_col).mapInArrow(cut, "bucket int, grams binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, "gram long")
+    return dealt(docs.select(text_col).mapInArrow(cut, "bucket int, grams binary"), buckets, "bucket").groupBy("bucket").applyInArrow(merge, "gram long")
 
 
 def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
@@ -213,7 +213,7 @@ def perplexities(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col:
     shards = probabilities.mapInArrow(place, "bucket int, gram long, logp float")
     k0, k1 = hash_pair(F.col(id_col), F.col(lang_col), F.col(text_col))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.pmod(k0, F.lit(blocks)).cast("int").alias("block"), id_col, F.col(lang_col).cast("string").alias("lang"), k0.alias("k0"), k1.alias("k1"), F.col(text_col).alias("z"))
-    dealt = rows.mapInArrow(compressed, f"block int, `{id_col}` {kind}, lang string, k0 long, k1 long, z binary").repartition(blocks, "block")
+    texts = dealt(rows.mapInArrow(compressed, f"block int, `{id_col}` {kind}, lang string, k0 long, k1 long, z binary"), blocks, "block")
 
     def ask(block: pa.Table) -> pa.Table:
         grams, _ = _gram_counts(_texts(block.column("z")))
@@ -241,9 +241,9 @@ def perplexities(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col:
             nats.append(total / len(text) if text else None)
         return pa.Table.from_arrays([*[texts.column(c) for c in (id_col, "lang", "k0", "k1")], pa.array(chars, pa.int64()), pa.array(nats, pa.float64())], [id_col, "lang", "k0", "k1", "chars", "nats"])
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "bucket int, block int, grams binary")
-    told = asked.repartition(blocks, "bucket").groupBy("bucket").cogroup(shards.repartition(blocks, "bucket").groupBy("bucket")).applyInArrow(look_up, "block int, grams binary, logp binary")
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, f"`{id_col}` {kind}, lang string, k0 long, k1 long, chars long, nats double")
+    asked = texts.groupBy("block").applyInArrow(ask, "bucket int, block int, grams binary")
+    told = dealt(asked, blocks, "bucket").groupBy("bucket").cogroup(dealt(shards, blocks, "bucket").groupBy("bucket")).applyInArrow(look_up, "block int, grams binary, logp binary")
+    return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, f"`{id_col}` {kind}, lang string, k0 long, k1 long, chars long, nats double")
 
 
 #: Characters' worth of the language's middle value that every text's mean gets, so that a few words don't decide.

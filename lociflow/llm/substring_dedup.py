@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import array_of, dealt_in_blocks, modest_batches, packed, sliced, unpacked
+from lociflow.llm.common import array_of, dealt, dealt_in_blocks, modest_batches, packed, sliced, unpacked
 from lociflow.llm.words import _BASE, _BASE_INVERSE, _power_table, mixed, ngrams, parts, single_spaced, slices, Words, words_of
 
 WINDOW, MINIMISER = 13, 3
@@ -87,7 +87,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Windows are compared by 128 bits in buckets, answers applied by 64 bits within a block.
     """
     hot = docs.sparkSession.sparkContext.broadcast(hot_cells(modest_batches(docs), text_col, minimiser))
-    dealt, blocks = dealt_in_blocks(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text", BLOCK)
+    held, blocks = dealt_in_blocks(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text", BLOCK)
     buckets = 2 * blocks
 
     def ids_of(table: pa.Table) -> np.ndarray:
@@ -176,9 +176,9 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(data[length[a] : max(length[a], length[b] - 1)].tobytes().decode("utf-8", "surrogatepass"))
         return pa.Table.from_arrays([block.column("id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
 
-    sent = dealt.groupBy("block").applyInArrow(send, "bucket int, block int, texts binary, words binary, least binary, most binary")
-    answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, "block int, windows binary, lowest binary")
-    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(remove, "id long, n_words long, n_removed long, kept string")
+    sent = held.groupBy("block").applyInArrow(send, "bucket int, block int, texts binary, words binary, least binary, most binary")
+    answers = dealt(sent, buckets, "bucket").groupBy("bucket").applyInArrow(answer, "block int, windows binary, lowest binary")
+    out = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(remove, "id long, n_words long, n_removed long, kept string")
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", "kept")
 
 

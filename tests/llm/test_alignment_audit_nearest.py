@@ -236,3 +236,31 @@ def test_nearest_of_one_vector_held_by_a_third(spark):
 def test_chi_square_bound():
     draws = (np.random.default_rng(1).standard_normal((200_000, 8)) ** 2).sum(1)
     assert abs((draws <= nearest.chi_square_bound(0.97, 8)).mean() - 0.97) < 0.002
+
+
+# --- blocks apart from partitions
+
+
+def test_thousands_of_blocks_on_few_partitions(spark, monkeypatch):
+    """The quality model, the Jaccard join and substring dedup give equal rows with a few blocks and with thousands of tiny ones on 16 partitions."""
+    from lociflow.llm import common, jaccard_join, quality, substring_dedup
+
+    r = random.Random(14)
+    syllables = "the re on an er ing ed st nd or ea".split()
+    made = ["".join(r.choice(syllables) + " " * (r.random() < 0.4) for _ in range(r.randint(10, 60))) for _ in range(60)]
+    made += [f"{t} and more" for t in made[:10]] + made[5:12] + ["", None]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(made)], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+
+    def all_of():
+        scored = [(x.doc_id, x.keep, x.perplexity and round(x.perplexity, 4)) for x in quality.classify(docs, labels).select("doc_id", "keep", "perplexity").collect()]
+        return sorted(scored), sorted(map(tuple, jaccard_join.near_duplicate_groups(docs, shingle=3).collect())), sorted(map(tuple, substring_dedup.repeated_words(docs).collect()))
+
+    few = all_of()
+    monkeypatch.setattr(common, "MOST_PARTITIONS", 16)
+    sizes = []
+    for module in (quality, jaccard_join):
+        monkeypatch.setattr(module, "BLOCK", 2)
+        monkeypatch.setattr(module, "blocks_needed", lambda *a, **k: sizes.append(common.blocks_needed(*a, **k)) or sizes[-1])
+    monkeypatch.setattr(substring_dedup, "BLOCK", 2)
+    assert all_of() == few and min(sizes) > 5000
