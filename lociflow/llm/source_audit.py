@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import chain
 
 import numpy as np
@@ -15,46 +15,56 @@ from lociflow.llm.common import modest_batches, sliced
 from lociflow.sources.shared import written
 
 SCALE = 1_000_000_000
-#: Partial runs that a task holds before it sends them, and pairs of one step of a scan.
-HELD_RUNS, STEP_PAIRS = 300_000, 1 << 21
+#: Partial runs that a task holds before it sends them, documents these may come from, and pairs of one step of a scan.
+HELD_RUNS, HELD_DOCUMENTS, STEP_PAIRS = 600_000, 1 << 22, 1 << 21
 
 #: A-Z lower-cased, a-z and all bytes of other characters as they are, a space for the rest.
 _TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_RUN = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("document", pa.int64()), ("docs", pa.int64()), ("n", pa.int64())])
+#: One document in a run's number: documents above, occurrences below.
+_DOCUMENT = 1 << 40
+RUNS = "lang string, term string, document long, sources array<string>, docs array<long>, n array<long>"
 
 
 def partial_runs(batches):
-    """Runs (lang, term, source, first document, documents, occurrences) of the texts in batches (document, lang, source, text); a task adds up what it holds before it sends any."""
-    held: dict[tuple, dict[bytes, list[int]]] = defaultdict(dict)
-    size = 0
+    """Rows RUNS of the texts in batches (document, lang, source, text): a term's runs in the sources that hold it, in order, with documents and occurrences; `document` is the first that the row can stem from.
+
+    A task adds up what it holds before it sends any, so a term of many sources and documents is one row.
+    """
+    held: dict[tuple, dict[bytes, int]] = defaultdict(dict)
+    size = documents = since = 0
 
     def send():
-        for (lang, source), runs in held.items():
-            counts = np.array(list(runs.values()), np.int64)
-            terms = pa.array(list(runs), pa.binary()).cast(pa.string())
-            for at in range(0, len(runs), 10_000):
-                part = counts[at : at + 10_000]
-                same = [pa.array([x], pa.string()).take(pa.array(np.zeros(len(part), np.int8))) for x in (lang, source)]
-                yield pa.RecordBatch.from_arrays([same[0], terms.slice(at, len(part)), same[1], *(pa.array(np.ascontiguousarray(c)) for c in part.T)], schema=_RUN)
+        for lang in sorted({lang for lang, _ in held}):
+            own = sorted((source, runs) for (x, source), runs in held.items() if x == lang)
+            counts = np.concatenate([np.fromiter(runs.values(), np.int64, len(runs)) for _, runs in own])
+            terms = pa.array([t for _, runs in own for t in runs], pa.binary()).dictionary_encode()
+            code = terms.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            begin = np.append(np.flatnonzero(np.diff(code[order], prepend=-1)), len(order))
+            source = pa.array([x for x, _ in own], pa.string()).take(pa.array(np.repeat(np.arange(len(own)), [len(runs) for _, runs in own])[order]))
+            docs, n = np.divmod(counts[order], _DOCUMENT)
+            names = terms.dictionary.cast(pa.string())
+            for at in range(0, len(begin) - 1, 5_000):
+                edges = begin[at : at + 5_001]
+                part = slice(edges[0], edges[-1])
+                offsets = pa.array((edges - edges[0]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (source.slice(edges[0], edges[-1] - edges[0]), pa.array(docs[part]), pa.array(n[part]))]
+                k = len(edges) - 1
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), names.slice(at, k), pa.array(np.full(k, since)), *lists], ["lang", "term", "document", "sources", "docs", "n"])
         held.clear()
 
     for batch in chain.from_iterable(map(lambda b: sliced([b]), batches)):
         for document, lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
             runs = held[lang, source]
-            before = len(runs)
-            counts: dict[bytes, int] = {}
-            for term in text.encode().translate(_TERM_BYTES).split():
-                counts[term] = counts.get(term, 0) + 1
-            for term, n in counts.items():
-                if (run := runs.get(term)) is None:
-                    runs[term] = [document, 1, n]
-                else:
-                    run[1] += 1
-                    run[2] += n
+            before, documents = len(runs), documents + 1
+            known = runs.get
+            for term, n in Counter(text.encode().translate(_TERM_BYTES).split()).items():
+                runs[term] = known(term, 0) + _DOCUMENT + n
             size += len(runs) - before
-            if size > HELD_RUNS:
+            if size > HELD_RUNS or documents >= HELD_DOCUMENTS:
                 yield from send()
-                size = 0
+                size = documents = 0
+                since = document
     yield from send()
 
 
@@ -97,34 +107,28 @@ def _whole(batches, *key: str):
 
 
 def kept_runs(least: int):
-    """A scan of rows sorted by lang, term, source, document: lang, term, source, n, opens for the terms in at least `least` documents; `opens` is true on a term's first row.
+    """A scan of rows RUNS sorted by lang, term, document: lang, term, source, n, opens for the terms in at least `least` documents; `opens` is true on a term's first row.
 
-    Run lengths are added up within a source and within a term. Of a term that goes on in the next batch only what may yet be dropped and the open source are held:
-    fewer than `least` rows, or one.
+    The rows of a (lang, term) run are laid out by source, and run lengths added up within a source and within the term. Of a term that goes on in the next batch what it has so far is held,
+    a number for each of its sources.
     """
 
     def scan(batches):
-        held, going = None, False
-        for more in chain(_gathered(batches), [None]):
-            tables = [x for x in (held, more) if x is not None]
-            if not tables or not (table := pa.concat_tables(tables)).num_rows:
-                continue
-            at = np.flatnonzero(_changes(table, "lang", "term", "source"))
-            docs, n = (np.add.reduceat(table.column(c).to_numpy(), at) for c in ("docs", "n"))
-            table = table.take(pa.array(at)).set_column(4, "docs", pa.array(docs)).set_column(5, "n", pa.array(n)).combine_chunks()
-            opens = _changes(table, "lang", "term")
-            first = np.flatnonzero(opens)
-            known = np.add.reduceat(docs, first) >= least
-            opens[0] &= not going
-            known[0] |= going
-            rows = np.repeat(known, np.diff(np.append(first, len(at))))
-            held = None
-            if more is not None:
-                stay = len(at) - 1 if known[-1] else int(first[-1])
-                going = bool(known[-1]) and (stay > first[-1] or going and len(first) == 1)
-                held, rows[stay:] = table.slice(stay), False
-            out = table.select(["lang", "term", "source", "n"]).append_column("opens", pa.array(opens)).filter(pa.array(rows))
-            yield from out.to_batches()
+        for table in _whole(batches, "lang", "term"):
+            lists = [table.column(c).combine_chunks() for c in ("sources", "docs", "n")]
+            first = np.flatnonzero(_changes(table, "lang", "term"))
+            run = np.repeat(np.arange(len(first)), np.diff(np.append(first, table.num_rows)))
+            source = lists[0].flatten().dictionary_encode()
+            key = np.repeat(run, lists[0].value_lengths().to_numpy()) * len(source.dictionary) + source.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            at = np.flatnonzero(np.diff(key[order], prepend=-1))
+            docs, n = (np.add.reduceat(x.flatten().to_numpy()[order], at) for x in lists[1:])
+            run, code = np.divmod(key[order][at], len(source.dictionary))
+            opens = np.diff(run, prepend=-1) > 0
+            known = (np.add.reduceat(docs, np.flatnonzero(opens)) >= least)[run]
+            rows = table.take(pa.array(first[run[known]]))
+            out = [rows.column("lang").combine_chunks(), rows.column("term").combine_chunks(), source.dictionary.take(pa.array(code[known])), pa.array(n[known]), pa.array(opens[known])]
+            yield pa.RecordBatch.from_arrays(out, ["lang", "term", "source", "n", "opens"])
 
     return scan
 
@@ -223,24 +227,25 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     """lang, source, part, item, value, rank: how far each source of a language is from each other one (`pair`) and its terms above the language's share (`term`, to rank `top`).
 
     A language keeps the terms that at least `least` of its documents hold; shares are counts plus one in a thousand million, all in whole numbers. Texts are turned into partial runs in
-    the tasks that read them; runs are dealt by language and term, sorted, and scanned once for what is kept, and what is kept once more for pairs and terms.
+    the tasks that read them, a row for each term with its sources in order; rows are dealt by language and term, sorted by these and document, and scanned once for what is kept, and what is
+    kept, sorted by source too, once more for pairs and terms.
 
     Defined cases: a null language, source or text is ''; every row is a document of its own, so repeated rows count each; a language with one source has no pairs; without kept terms
     pairs have value 0 and there are no term rows; equal values go by the item's bytes; other columns are left out, whatever their names; an empty table gives no rows.
-    A run's rows in the second scan are at most the sources of its language; totals must stay below 2**53.
+    A run's rows in the scans are at most the sources of its language; totals must stay below 2**53.
     """
     spark = docs.sparkSession
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = modest_batches(docs).select(F.monotonically_increasing_id().alias("document"), blank(lang_col).alias("lang"), blank(source_col).alias("source"), blank(text_col).alias("text"))
     deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = rows.mapInArrow(partial_runs, "lang string, term string, source string, document long, docs long, n long").repartition(deal, "lang", "term").sortWithinPartitions("lang", "term", "source", "document")
+    runs = rows.mapInArrow(partial_runs, RUNS).repartition(deal, "lang", "term").sortWithinPartitions("term", "lang", "document")
     kept = written(runs.mapInArrow(kept_runs(least), "lang string, term string, source string, n long, opens boolean"), "kept_terms")
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum(F.col("opens").cast("long")).alias("opened"))
     known = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").na.fill(0)
     of_lang = known.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.sum("opened").alias("vocabulary"))
     groups = written(known.join(of_lang, "lang").drop("opened"), "groups")
     sized = kept.drop("opens").join(groups, ["lang", "source"]).select("lang", "term", "source", "n", "total", "lang_total", "vocabulary")
-    parts = written(sized.repartition(deal, "lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run_parts, "part string, lang string, source string, item string, value long"), "parts")
+    parts = written(sized.repartition(deal, "lang", "term").sortWithinPartitions("term", "lang", "source").mapInArrow(run_parts, "part string, lang string, source string, item string, value long"), "parts")
     value = own_parts(groups, kept).unionByName(parts.where("part = 'pair'").drop("part")).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     terms = parts.where("part = 'term'").drop("part").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
