@@ -32,10 +32,16 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
 def parse_sam(lines: DataFrame) -> DataFrame:
     f = F.split("value", "\t")
     rows = lines.where(~F.col("value").startswith("@") & (F.size(f) >= 11)).select(
-        f[0].alias("qname"), f[1].cast("int").alias("flag"), f[2].alias("chrm"), (f[3].cast("int") - 1).alias("pos"), f[4].cast("int").alias("mapq"), A.cigar(f[5]).alias("cigar"),
+        f[0].alias("qname"), f[1].cast("int").alias("flag"), f[2].alias("chrm"), (f[3].cast("int") - 1).alias("pos"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"),
         F.when(f[6] == "=", f[2]).otherwise(f[6]).alias("mchrm"), (f[7].cast("int") - 1).alias("mpos"), f[8].cast("int").alias("isize"),
         F.struct(_tag("ts", "A").alias("ts"), _tag("XS", "A").alias("XS"), _tag("HI", "cCsSiI").cast("int").alias("HI"), _tag("NH", "cCsSiI").cast("int").alias("NH"), F.coalesce(_tag("NM", "cCsSiI"), _tag("nM", "cCsSiI"), F.lit("0")).cast("int").alias("nm"), _tag("UB", "ZH").alias("UB")).alias("tags"),
     )
+    return with_alignment(rows)
+
+
+def with_alignment(rows: DataFrame) -> DataFrame:
+    """Fields and tags of alignments, with what their CIGARs (as text) say."""
+    rows = rows.withColumn("cigar", A.cigar(F.col("cigar")))
     rows = rows.withColumns({"n_cigar": F.size("cigar"), "rpos": F.col("pos") + A.reference_length(F.col("cigar")), "qlen": A.query_length(F.col("cigar")), "_at": A.placed(F.col("pos"), F.col("cigar"))})
     at = F.col("_at")
     rows = rows.withColumns({"matches": A.match_intervals(at), "insertions": A.insertion_intervals(at), "deletions": A.deletion_intervals(at), "splices": A.splices(at), "xs": A.transcript_strand(F.col("tags.XS"), F.col("tags.ts"), F.col("flag"))})
