@@ -8,6 +8,7 @@ documents, and two entities never get one surrogate; entity_table() and collisio
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import os
 import re
 import secrets
@@ -28,7 +29,11 @@ GIVEN = {
     "m": "Adam Albert Alexander Andreas Antonio Carlos Charles Daniel David Diego Edward Felix Frank George Hans Henry Hugo James Jan John Juan Karl Louis Luis Mark Martin Michael Oliver Oscar Paul Peter Pierre Robert Thomas Victor William".split(),
 }
 #: Titles that a name follows (fixed values).
-TITLES = "Mr Mrs Ms Miss Mister Herr Frau Señor Señora Señorita Monsieur Madame Mme Mlle господин госпожа".split()
+TITLES = "Mr Mrs Ms Miss Mister Dr Prof Professor Doctor Sir Herr Frau Doktor Señor Señora Señorita Sr Sra Dra Don Doña Monsieur Madame Mme Mlle Signor Signora Dott господин госпожа доктор профессор".split()
+#: Verbs of speech before which two names stand (fixed values).
+SPEECH = "said wrote says writes asked replied sagte schrieb fragte dijo escribió preguntó".split()
+#: Second levels of domains that stay with the country behind them, and beginnings of access tokens (fixed values).
+SECOND_LEVELS, TOKENS = "co com org net ac gov edu", r"gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk_test_"
 LETTERS = {  # vowels and consonants of the scripts, in both cases
     "latin": ("aeiouy", "bcdfghjklmnpqrstvwxz"),
     "latin accents": ("áàâäãåéèêëíìîïóòôöõúùûü", "çñ"),
@@ -43,7 +48,7 @@ UNSPACED = ("CJK", "HIRAGANA", "KATAKANA", "HANGUL", "THAI", "LAO", "KHMER", "MY
 #: Calling codes of one and of two digits (fixed values); all others have three.
 CALLING = {1: "1 7".split(), 2: "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 DIGITS, HEX, LOWER, UPPER, BASE32 = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-RESERVED = re.compile(r"(?:^|\.)(?:example\.(?:com|net|org)|[a-z]{2,})$", re.I)
+RESERVED = re.compile(rf"(?:^|\.)(?:example\.(?:com|net|org)|(?:{SECOND_LEVELS.replace(' ', '|')})\.[a-z]{{2}}|[^\W\d_]{{2,}})$", re.I)
 
 #: What any entity has: a digit, an @, one of these words in any case, or a title.
 SIGNS, WORDS, REACH = re.compile("[0-9@]+"), ["password", "passwd", "pwd", "secret", "token", "api"], 160
@@ -52,22 +57,26 @@ KEYWORDS = r"(?:password|passwd|pwd|secret|token|api[_-]?key)"
 _ASCII_LOWER = {ord(c): c.lower() for c in UPPER}
 
 LETTER = rf"(?:[^\W\d_][{MARKS}]*)"
-NAME = rf"(?![a-zа-яα-ω]){LETTER}{{2,}}(?:-(?![a-zа-яα-ω]){LETTER}{{2,}})?"
-KNOWN = rf"(?:{'|'.join(n for names in GIVEN.values() for n in names)})(?= (?![a-zа-яα-ω])[^\W\d_])"
+NAME = rf"(?![a-zа-яα-ω])(?:[A-Z]['’](?=[A-Z]))?{LETTER}{{2,}}(?:-(?![a-zа-яα-ω]){LETTER}{{2,}})?"
+INITIALS = r"(?:[A-ZÀ-ÞА-Я]\. ?){0,3}"
+KNOWN = rf"(?:{'|'.join(x for names in GIVEN.values() for n in names for x in (n, n.upper()))})(?= (?![a-zа-яα-ω])[^\W\d_])"
 KNOWN_SIGN = re.compile(KNOWN)  # begins with a letter of a few, which a search skips to
 PATTERNS = re.compile(
     "|".join(
         [
-            r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})",
+            r"(?P<email>(?<![\w.+-])[^\W_][\w.%+-]*@[^\W_](?:[\w-]*\.)+[^\W\d_]{2,})",
+            rf"(?P<token>(?<![\w-])(?:{TOKENS})[A-Za-z0-9_-]{{16,}})",
             r"(?P<awskey>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)",
             rf"(?P<secret>(?:(?<![^\W\d_])|(?<=[a-z])(?=[A-Z]))(?i:{KEYWORDS}\d*(?:[_-]+(?!{KEYWORDS})[A-Za-z0-9]*)*+)[\"']?\s?[=:]\s?[\"']?(?=[_+/-]*[A-Za-z0-9])[A-Za-z0-9_+/-]{{8,}})",
             r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)",
+            r"(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f:]*::|(?:[0-9A-Fa-f]{1,4}:){7})[0-9A-Fa-f:]{6,39}(?<!:)(?![\w:]|\.\d))",
             r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))",
-            r"(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?![\w-])|(?<![\w(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-]))",
+            r"(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?![\w-])|(?<![\w(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-])|(?<![\w.+/-])0[1-9]\d{1,3}[ /-]\d{3,4}[ -]?\d{3,5}(?![\w-]|[.,]\d))",
             r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
             r"(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))",
-            rf"(?P<person>\b(?:{'|'.join(TITLES)})\b\.? {NAME}(?: {NAME}){{0,2}})",
+            rf"(?P<person>\b(?:(?:{'|'.join(TITLES)})\b\.? )+{INITIALS}{NAME}(?: {INITIALS}{NAME}){{0,2}})",
             rf"(?P<known>\b{KNOWN}(?: {NAME}){{1,2}})",
+            rf"(?P<speaker>\b{NAME} {INITIALS}{NAME}(?= (?:{'|'.join(SPEECH)})\b))",
         ]
     )
 )
@@ -102,8 +111,30 @@ class Permutation:
         return self._walk((self._walk(x, range(0, 8)) + 1) % self.size, range(7, -1, -1))
 
 
+#: Characters that are one number of a permutation; longer texts go in blocks of about that many.
+BLOCK_CHARS = 64
+
+
 def disguise(text: str, kind: str, key: bytes, classes: list[str], ok: Callable[[str], object] = lambda s: None) -> str:
-    """Another string with characters of the same classes in the same places, others unchanged, for which ok() gives the same as for the text."""
+    """Another string with characters of the same classes in the same places, others unchanged, for which ok() gives the same as for the text.
+
+    A long text is disguised block after block, so that time is linear in its length; each block's permutation depends on all that stands before it, and ok(), which must depend on the end of
+    a text alone or on what nearly no other text has, is kept by the last one.
+    """
+    if len(text) <= BLOCK_CHARS:
+        return _block(text, kind, key, classes, ok)
+    n = -(-len(text) // BLOCK_CHARS)
+    cuts = [len(text) * k // n for k in range(n + 1)]
+    made, chain, want = [], kind, ok(text)
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        held = "".join(made) if k + 1 == n else ""
+        made.append(_block(text[a:b], chain, key, classes, (lambda s: want if s == text[a:b] else ok(held + s)) if k + 1 == n else lambda s: None))
+        chain = hashlib.blake2b(f"{chain}\0{text[a:b]}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    return "".join(made)
+
+
+def _block(text: str, kind: str, key: bytes, classes: list[str], ok: Callable[[str], object] = lambda s: None) -> str:
+    """disguise() of a text that is one number."""
     which = [next((c for c in classes if ch in c), None) for ch in text]
     size = 1
     for c in which:
@@ -157,6 +188,24 @@ def _ip(text: str, key: bytes) -> str:
             return made
 
 
+def _ip6(text: str, key: bytes) -> str:
+    """The address as it is usually written, with other digits; empty groups, what a group leads with being no zero, and the ranges of documentation, links, sites and groups stay."""
+    groups = ipaddress.IPv6Address(text).compressed.split(":")
+    kept = 2 if groups[:2] == ["2001", "db8"] else int(groups[0][:2] in ("fe", "fc", "fd", "ff"))
+    head, rest = ":".join(groups[:kept]), ":".join(groups[kept:])
+    made = disguise(rest, f"ip6 {kept}", key, [HEX], lambda s: [g[:1] in ("", "0") for g in s.split(":")])
+    return f"{head}:{made}" if head else made
+
+
+def _addressed(text: str) -> bool:
+    """Whether the text is an address of the longer kind, and no scope of a program's names or a time."""
+    try:
+        groups = ipaddress.IPv6Address(text).compressed.split(":")
+    except ValueError:
+        return False
+    return sum(bool(g) for g in groups) >= 3 and any(c.isdigit() for c in text)
+
+
 def _digits(text: str, kind: str, key: bytes, kept: int, ok, same: int | None = None) -> str:
     """text with its digits behind the first `kept` ones disguised, whatever stands between them; three from the `same`th of those stay."""
     digits = "".join(c for c in text if c.isdigit())
@@ -171,7 +220,7 @@ def _digits(text: str, kind: str, key: bytes, kept: int, ok, same: int | None =
 def _national(text: str) -> tuple[int, str]:
     """How many digits of a phone number stay (the calling code), and its digits; the same however it is spaced."""
     digits = "".join(c for c in text if c.isdigit())
-    return next((n for n, codes in CALLING.items() if digits[:n] in codes), 3) if text[0] == "+" else 0, digits
+    return next((n for n, codes in CALLING.items() if digits[:n] in codes), 3) if text[0] == "+" else int(text[0] == "0"), digits
 
 
 def mod97(text: str) -> bool:
@@ -196,6 +245,12 @@ def _alike(letter: str) -> str | None:
     return found if len(found) > 1 else None
 
 
+def _classes(text: str) -> list[str]:
+    """The classes of the letters of a text beyond those of ASCII, in a fixed order."""
+    wide = {ch for ch in text if ch.isalpha() and not ch.isascii()}
+    return sorted({c for ch in wide if (c := next((known for known in NAME_CLASSES if ch in known), None) or _alike(ch))})
+
+
 def _tail(word: str) -> str:
     """The end of a name that may show the gender and stays."""
     return re.search(r"(?:ova|eva|ina|ова|ева|ина|[aаα]|ой)?$", word[1:])[0]
@@ -204,28 +259,39 @@ def _tail(word: str) -> str:
 def _person(word: str, key: bytes) -> str:
     """Another name of the gender, script and format; a last vowel, which may show the gender, stays."""
     for names in GIVEN.values():
-        if word in names:
-            return names[Permutation(len(names), key, names[0].encode()).next(names.index(word))]
+        for own in (names, [n.upper() for n in names]):
+            if word in own:
+                return own[Permutation(len(own), key, names[0].encode()).next(own.index(word))]
     tail = _tail(word)
     stem = word[: len(word) - len(tail)]
-    kind = lambda s: (any(s + tail in names for names in GIVEN.values()), _tail(s + tail))
-    classes = [*NAME_CLASSES, *{c for ch in stem if ch.isalpha() and not any(ch in known for known in NAME_CLASSES) and (c := _alike(ch))}]
+    kind = lambda s: (any(x in names for names in GIVEN.values() for x in (s + tail, (s + tail).capitalize())), _tail(s + tail))
+    classes = [*NAME_CLASSES, *(c for c in _classes(stem) if c not in NAME_CLASSES)]
     return disguise(stem, f"person {tail}", key, classes, kind) + tail
 
 
-@lru_cache(maxsize=100_000)
 def surrogate(kind: str, text: str, key: bytes) -> str:
-    """The entity's surrogate; a keyed hash where its format holds no other string."""
+    """The entity's surrogate; a keyed hash where its format holds no other string. Takes time in proportion to the entity's length; only short ones are remembered."""
+    return (_remembered if len(text) < 200 else _surrogate)(kind, text, key)
+
+
+def _surrogate(kind: str, text: str, key: bytes) -> str:
     made = _formed(kind, text, key)
     return made if made != text else hashlib.blake2b(f"{kind}\0{text}".encode("utf-8", "surrogatepass"), key=key, digest_size=12).hexdigest()
 
 
+_remembered = lru_cache(maxsize=100_000)(_surrogate)
+
+
 def _formed(kind: str, text: str, key: bytes) -> str:
     if kind == "email":
         local, _, domain = text.rpartition("@")
         kept = RESERVED.search(domain)[0]
         host = domain[: len(domain) - len(kept)]
-        return f"{disguise(local.lower(), 'local', key, [LOWER, DIGITS])}@{disguise(host.lower(), 'host', key, [LOWER, DIGITS])}{kept}"
+        own = lambda s: [LOWER, DIGITS, *_classes(s)]
+        return f"{disguise(local.lower(), 'local', key, own(local.lower()))}@{disguise(host.lower(), 'host', key, own(host.lower()))}{kept}"
+    if kind == "token":
+        begin = re.match(TOKENS, text)[0]
+        return begin + disguise(text[len(begin) :], kind, key, [LOWER, UPPER, DIGITS])
     if kind == "awskey":
         return text[:4] + disguise(text[4:], kind, key, [UPPER + DIGITS])
     if kind == "secret":
@@ -235,6 +301,8 @@ def _formed(kind: str, text: str, key: bytes) -> str:
         return _iban(text, key)
     if kind == "ip":
         return _ip(text, key)
+    if kind == "ip6":
+        return _ip6(text, key)
     if kind == "phone":
         kept, digits = _national(text)
         fiction = len(digits) - kept == 10 and digits[kept + 3 : kept + 6] == "555"
@@ -251,14 +319,17 @@ def _near(text: str) -> list[tuple[int, int]]:
     at = [(m.start(), m.end()) for m in SIGNS.finditer(text)]
     low = text.translate(_ASCII_LOWER) if len(text.lower()) != len(text) else text.lower()
     at += [(m.start(), m.end()) for m in KNOWN_SIGN.finditer(text)]
-    for word, where in [*((w, low) for w in WORDS), *((t, text) for t in TITLES)]:
+    for word, where in [*((w, low) for w in WORDS), *((t, text) for t in (*TITLES, *(f" {v}" for v in SPEECH)))]:
         i = where.find(word)
         while i >= 0:
             at.append((i, i + len(word)))
             i = where.find(word, i + 1)
     out: list[tuple[int, int]] = []
     for a, b in sorted(at):
-        a = max(text.rfind(" ", 0, max(0, a - REACH)), text.rfind("\n", 0, max(0, a - REACH))) + 1
+        end = out[-1][1] if out else 0
+        if out and b + REACH <= end:
+            continue  # it lies in the last stretch; so no part of a text is searched twice
+        a = max(text.rfind(c, end, max(0, a - REACH)) for c in (" ", "\n")) + 1
         b = min(x if x >= 0 else len(text) for x in (text.find(" ", b + REACH), text.find("\n", b + REACH)))
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
@@ -276,15 +347,15 @@ def _word_pattern(name: str) -> str:
 def entities(text: str) -> list[tuple[int, int, str]]:
     """start, end, kind of each entity in order, from one place to the next.
 
-    Names come without their titles, each word on its own, and wherever else the words of a name stand in the text. A name is what follows a title, or
-    a known given name before another name. Card numbers are those whose check digit holds.
+    Kinds: email, token, awskey, secret, iban, ip6, ip, phone, ssn, card, person. Names come without their titles, each word on its own, and wherever else the words of a name stand in the text. A name is what follows a title,
+    a known given name before another name, or two capitalised words before a verb of speech; initials are left. Card numbers are those whose check digit holds.
     """
     found = []
     names = set()
     for m in (m for a, b in _near(text) for m in PATTERNS.finditer(text, a, b)):
-        if m.lastgroup in ("person", "known"):
-            names |= set(re.findall(f"{LETTER}{{2,}}", m[0].split(" ", 1)[1] if m.lastgroup == "person" else m[0]))
-        elif m.lastgroup != "card" or luhn(m[0]):
+        if m.lastgroup in ("person", "known", "speaker"):
+            names |= {n for n in re.findall(f"{LETTER}{{2,}}", m[0].split(" ", 1)[1] if m.lastgroup == "person" else m[0]) if n not in TITLES}
+        elif (m.lastgroup != "card" or luhn(m[0])) and (m.lastgroup != "ip6" or _addressed(m[0])):
             found.append((m.start(), m.end(), m.lastgroup))
     if names:
         taken = [False] * (len(text) + 1)
@@ -329,6 +400,8 @@ def canonical(kind: str, text: str) -> str:
     """What two mentions of one entity share."""
     if kind == "ip":
         return ".".join(str(int(x)) for x in text.split("."))
+    if kind == "ip6":
+        return ipaddress.IPv6Address(text).compressed
     return text.lower() if kind == "email" else "".join(c for c in text if c.isalnum()) if kind in ("phone", "card", "ssn", "iban") else text
 
 
