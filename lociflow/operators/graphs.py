@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lociflow.operators.bins import WIDTH, within
 from lociflow.operators.coverage import segments
-from lociflow.sources.shared import written
+from lociflow.sources.shared import drop_written, written
 
 #: How many paths to a vertex are told apart (a fixed value).
 MOST_PATHS = 9_999_999_999
@@ -56,25 +56,53 @@ def propagate(sources: DataFrame, edges: DataFrame, rounds: int, how: str) -> Da
     return reached.groupBy("v").agg(merge("value").alias("value"))
 
 
+def all_paths(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, s, t, hops, depth, paths, widest of each two vertices between which edges (keys, s, t, w; without cycles) lead: the fewest and most edges of a path, how many paths there are (MOST_PATHS at
+    most), and the largest smallest weight of one.
+
+    Path lengths double: a round joins the paths of exactly n edges with those of up to n, so a locus whose longest path has d edges takes log2(d) rounds, all loci at once. Rows are pairs of
+    vertices, never paths; each round's two tables are in the shared folder, those of the round before go.
+    """
+    keys, cap = list(keys), F.lit(MOST_PATHS).cast("decimal(38,0)")
+    number = lambda x: F.least(F.sum(x.cast("decimal(38,0)")), cap).cast("long").alias("paths")
+    ends = [*keys, "s", "t"]
+    ways = edges.groupBy(*ends).agg(F.count(F.lit(1)).alias("paths"), F.max(F.col("w").cast("double")).alias("widest"))
+    exact, upto, n = written(ways, "exact"), written(ways.select(*ends, F.lit(1).alias("hops"), F.lit(1).alias("depth"), "paths", "widest"), "paths"), 1
+    while True:
+        ahead = exact.select(*keys, "s", F.col("t").alias("_m"), F.col("paths").alias("_n"), F.col("widest").alias("_w"))
+        times = F.col("_n").cast("decimal(19,0)") * F.col("paths").cast("decimal(19,0)")
+        joined = lambda df: ahead.join(df.withColumnRenamed("s", "_m"), [*keys, "_m"])  # noqa: E731, B023
+        longer = written(joined(upto).groupBy(*ends).agg((F.min("hops") + n).alias("hops"), (F.max("depth") + n).alias("depth"), number(times), F.max(F.least("_w", "widest")).alias("widest")), "longer")
+        if longer.isEmpty():
+            drop_written(exact, longer)
+            return upto
+        both = upto.unionByName(longer).groupBy(*ends).agg(F.min("hops").alias("hops"), F.max("depth").alias("depth"), number(F.col("paths")), F.max("widest").alias("widest"))
+        before = exact, upto, longer
+        upto, exact, n = written(both, "paths"), written(joined(exact).groupBy(*ends).agg(number(times), F.max(F.least("_w", "widest")).alias("widest")), "exact"), 2 * n
+        drop_written(*before)
+
+
 def layers(starts: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, v, hops, depth, paths, widest of each vertex that the starts (keys, v) reach over edges (keys, s, t, w; without cycles): the fewest and most edges of a path to it, how many paths
-    there are (MOST_PATHS at most), and the largest smallest weight of one, null for the starts themselves.
+    """keys, v, hops, depth, paths, widest of each vertex that the starts (keys, v) reach over edges (keys, s, t, w; without cycles): as all_paths() gives them, over all starts; of the starts
+    themselves also the path of no edge, with widest null.
 
-    All loci go on at once, a round for each edge of the longest path; a round has a row for each vertex that it reaches, never one for each path, and is a table in the shared folder.
     Depths order a locus's vertices so that each edge leads upward.
     """
-    keys, cap, done = list(keys), F.lit(MOST_PATHS), []
-    weighed = edges.groupBy(*keys, F.col("s").alias("v"), "t").agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("w").cast("double")).alias("_w"))
-    weighed = written(weighed, "ways")
-    front = starts.select(*keys, "v").distinct().select("*", F.lit(1).cast("long").alias("paths"), F.lit(None).cast("double").alias("widest"))
-    while not (front := written(front.withColumn("k", F.lit(len(done))), "layer")).isEmpty():
-        done.append(front)
-        moved = front.join(weighed, [*keys, "v"]).groupBy(*keys, F.col("t").alias("v"))
-        front = moved.agg(F.least(F.sum(F.col("paths") * F.col("_n")), cap).alias("paths"), F.max(F.least("widest", "_w")).alias("widest"))
-    reached = front
-    for part in done:
-        reached = reached.unionByName(part)
-    return reached.groupBy(*keys, "v").agg(F.min("k").alias("hops"), F.max("k").alias("depth"), F.least(F.sum("paths"), cap).alias("paths"), F.max("widest").alias("widest"))
+    own, cap = starts.select(*keys, "v").distinct(), F.lit(MOST_PATHS).cast("decimal(38,0)")
+    reached = all_paths(edges, keys).join(own.withColumnRenamed("v", "s"), [*keys, "s"], "left_semi").withColumnRenamed("t", "v").drop("s")
+    here = own.select(*keys, "v", F.lit(0).alias("hops"), F.lit(0).alias("depth"), F.lit(1).cast("long").alias("paths"), F.lit(None).cast("double").alias("widest"))
+    return reached.unionByName(here).groupBy(*keys, "v").agg(F.min("hops").alias("hops"), F.max("depth").alias("depth"), F.least(F.sum(F.col("paths").cast("decimal(38,0)")), cap).cast("long").alias("paths"), F.max("widest").alias("widest"))
+
+
+def on_every_path(pairs: DataFrame, ends: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, s, t, v: the vertices that all paths from s to t (ends: keys, s, t) pass, by the numbers of paths (pairs: all_paths()) before and behind them; s and t themselves are left out.
+
+    A pair of ends with MOST_PATHS or more paths is left out, as its number isn't known.
+    """
+    whole = ends.select(*keys, "s", "t").join(pairs.select(*keys, "s", "t", F.col("paths").alias("_all")), [*keys, "s", "t"]).where(F.col("_all") < MOST_PATHS)
+    before = whole.join(pairs.select(*keys, "s", F.col("t").alias("v"), F.col("paths").alias("_n")), [*keys, "s"])
+    both = before.join(pairs.select(*keys, F.col("s").alias("v"), "t", F.col("paths").alias("_m")), [*keys, "v", "t"])
+    return both.where(F.col("_n").cast("decimal(19,0)") * F.col("_m").cast("decimal(19,0)") == F.col("_all")).select(*keys, "s", "t", "v")
 
 
 def split_components(vertices: DataFrame, edges: DataFrame, labels: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -148,10 +176,13 @@ def landmarks(vertices: DataFrame, edges: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def graph_stats(vertices: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, vertices, edges, junctions (how many), vertex_weight, edge_weight (means), s, t, w (the heaviest edge, the last on ties) of each locus."""
+    """keys, vertices, edges, junctions (how many), needed (how many paths make up any flow on the graph with its source and sink: edges less vertices, plus two), vertex_weight, edge_weight (means), s, t, w (the heaviest edge, the last on ties) of each locus.
+
+    `vertices` holds neither source nor sink.
+    """
     e = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("kind") == "junction").alias("junctions"), F.avg("w").alias("edge_weight"), F.max(F.struct("w", "s", "t")).alias("_m"))
     v = vertices.groupBy(*keys).agg(F.count(F.lit(1)).alias("vertices"), F.avg("w").alias("vertex_weight"))
-    return v.join(e, list(keys)).select(*keys, "vertices", "edges", "junctions", "vertex_weight", "edge_weight", "_m.s", "_m.t", "_m.w")
+    return v.join(e, list(keys)).select(*keys, "vertices", "edges", "junctions", (F.col("edges") - (F.col("vertices") + 2) + 2).alias("needed"), "vertex_weight", "edge_weight", "_m.s", "_m.t", "_m.w")
 
 
 def worth_solving(vertices: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -91,6 +91,18 @@ def graph_layers(spark, d):
     return out.select(*KEYS, "v", "hops", "depth", "paths", F.round("widest", 6).alias("widest"))
 
 
+def path_pairs(spark, d):
+    """How many paths lead between each two vertices of each locus's graph, and the fewest and most edges of one."""
+    return graphs.all_paths(_graph(spark, d)[1], KEYS).select(*KEYS, "s", "t", "hops", "depth", "paths", F.round("widest", 6).alias("widest"))
+
+
+def unavoidable_vertices(spark, d):
+    """The vertices that all paths from a locus's source to its sink pass."""
+    v, e = _graph(spark, d)
+    ends = v.groupBy(*KEYS).agg(F.lit(0).alias("s"), (F.max("v") + 1).alias("t"))
+    return graphs.on_every_path(graphs.all_paths(e, KEYS), ends, KEYS).select(*KEYS, "v")
+
+
 def split_graphs(spark, d):
     """The edges of each component of each locus, with vertices numbered anew."""
     v, e = _graph(spark, d)
@@ -133,6 +145,15 @@ QUERIES = {
         chosen_paths,
         f"WITH {ALN_SQL}, {PAIRS}, x AS (SELECT qid, ln, mate_ln, abs(mate_pos - pos) AS length FROM pr) SELECT qid, ln, mate_ln, length, CASE WHEN length BETWEEN 20 AND 90 THEN 1 ELSE 2 END AS kind FROM x WHERE qid % 2 = 1 OR length BETWEEN 16 AND 108 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY abs(length - 60), ln, mate_ln) = 1",
     ),
+    "path_pairs": (
+        path_pairs,
+        RECURSIVE + PEX + ", wk AS (SELECT tid, bid, s, t, 1 AS k, w AS x FROM edges UNION ALL SELECT e.tid, e.bid, wk.s, e.t, k + 1, least(x, w) FROM wk JOIN edges e ON e.tid = wk.tid AND e.bid = wk.bid AND e.s = wk.t) SELECT tid, bid, s, t, min(k) AS hops, max(k) AS depth, count(*) AS paths, round(max(x), 6) AS widest FROM wk GROUP BY tid, bid, s, t",
+    ),
+    "unavoidable_vertices": (
+        unavoidable_vertices,
+        RECURSIVE + PEX + ", wk AS (SELECT tid, bid, 0 AS v, [0] AS p FROM (SELECT DISTINCT tid, bid FROM pex) UNION ALL SELECT e.tid, e.bid, e.t, list_append(p, e.t) FROM wk JOIN edges e ON e.tid = wk.tid AND e.bid = wk.bid AND e.s = wk.v), z AS (SELECT tid, bid, max(v) + 1 AS t FROM pex GROUP BY tid, bid), f AS (SELECT wk.tid, wk.bid, wk.p FROM wk JOIN z ON z.tid = wk.tid AND z.bid = wk.bid AND z.t = wk.v), "
+        "n AS (SELECT tid, bid, count(*) AS n FROM f GROUP BY tid, bid), o AS (SELECT tid, bid, unnest(p[2:len(p) - 1]) AS v FROM f) SELECT o.tid, o.bid, v FROM o JOIN n ON n.tid = o.tid AND n.bid = o.bid GROUP BY o.tid, o.bid, v, n.n HAVING count(*) = n.n",
+    ),
     "graph_layers": (
         graph_layers,
         RECURSIVE + PEX + ", wk AS (SELECT tid, bid, 0 AS v, 0 AS k, CAST(NULL AS DOUBLE) AS x FROM (SELECT DISTINCT tid, bid FROM pex) UNION ALL SELECT e.tid, e.bid, e.t, k + 1, least(coalesce(x, w), w) FROM wk JOIN edges e ON e.tid = wk.tid AND e.bid = wk.bid AND e.s = wk.v) SELECT tid, bid, v, min(k) AS hops, max(k) AS depth, count(*) AS paths, round(max(x), 6) AS widest FROM wk GROUP BY tid, bid, v",
