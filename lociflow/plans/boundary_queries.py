@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociflow.operators import bridging, cleaning, coverage, fragments, graphs, junctions, transcripts
+from lociflow.operators import bridging, cleaning, coverage, fragments, graphs, junctions, transcripts, typed_graphs
 from lociflow.operators.bins import within
 from lociflow.operators.components import components
 from lociflow.plans.fragment_queries import HIGH, LOW, _bridged, _typed
@@ -17,13 +17,19 @@ from lociflow.sources.tables import ALN_SQL, alignments, read
 KEYS = ["tid", "bid"]
 
 
-def false_boundaries(spark, d):
-    """Starts and ends of graphs of typed exons that bridged fragments of no fitting length speak against, by rule: short (by the bridge longer than on exons), gap (between the mates)."""
+def _typed_exons(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The loci's exons with kinds of boundaries, numbered (v, from 1), and the junctions between them."""
     typed = written(_typed(spark, d).where("NOT empty"), "typed")
     exons = written(junctions.numbered(typed).withColumn("v", F.col("rid") + 1), "exons")
     spans = exons.groupBy(*KEYS).agg(F.min("l").alias("_l"), F.max("r").alias("_r"))
     jun = within(_junctions(spark, d), F.col("lpos") - 1, spans, ["tid"], "_l", "_r", BIN).where("rpos < _r").select(*KEYS, "lpos", "rpos", "cnt")
-    v, e = graphs.splice_graph(exons.select(*KEYS, "l", "r", "w"), jun, KEYS)
+    return exons, jun
+
+
+def false_boundaries(spark, d):
+    """Starts and ends of graphs of typed exons that bridged fragments of no fitting length speak against, by rule: short (by the bridge longer than on exons), gap (between the mates)."""
+    exons, jun = _typed_exons(spark, d)
+    v, e = typed_graphs.typed_graph(exons, jun, KEYS)
     v, e = written(v, "vertices"), written(e, "edges")
     bridged = _bridged(spark, d)[0]
     fitting = bridged.where("kind = 1").select("tid", F.col("m1.qid").alias("name")).distinct()
@@ -103,13 +109,17 @@ def unavoidable_vertices(spark, d):
     return graphs.on_every_path(graphs.all_paths(e, KEYS), ends, KEYS).select(*KEYS, "v")
 
 
-def split_graphs(spark, d):
-    """The edges of each component of each locus, with vertices numbered anew."""
+def _split(spark, d) -> DataFrame:
     v, e = _graph(spark, d)
     vertex = lambda c: F.struct(*KEYS, F.col(c).alias("v"))
     inner = e.where("kind IN ('junction', 'adjacent')")
     labels = components(inner.select(vertex("s").alias("a"), vertex("t").alias("b"))).select("node.*", F.col("label.v").alias("label"))
-    return graphs.split_components(v, e, labels, KEYS)[1].select(*KEYS, "label", "s", "t", F.round("w", 6).alias("w"), "kind")
+    return graphs.split_components(v, e, labels, KEYS)[1]
+
+
+def split_graphs(spark, d):
+    """The edges of each component of each locus, with vertices numbered anew."""
+    return _split(spark, d).select(*KEYS, "label", "s", "t", F.round("w", 6).alias("w"), "kind")
 
 
 ANNOTATED = f""", rf AS (SELECT a.*, ln % 3 AS id FROM bnd a JOIN bun b ON a.tid = b.tid AND a.bid = b.bid), rn AS (SELECT *, CASE WHEN pos > max(rpos) OVER (PARTITION BY tid, bid, id ORDER BY {ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM rf), ri AS (SELECT *, sum(new) OVER (PARTITION BY tid, bid, id ORDER BY {ORD}) AS i FROM rn),
@@ -123,6 +133,12 @@ ae AS (SELECT tid, bid, s, t, kind, CAST(sum(c) AS DOUBLE) AS w FROM (SELECT tid
 RECURSIVE = BASE.replace("WITH ", "WITH RECURSIVE ", 1)
 MARKS = "SELECT DISTINCT e.tid, e.bid, kind, CASE WHEN kind <> 'start' THEN x.r ELSE -1 END AS l, CASE WHEN kind <> 'end' THEN y.l ELSE -1 END AS r FROM {e} e LEFT JOIN {v} x ON e.tid = x.tid AND e.bid = x.bid AND e.s = x.v LEFT JOIN {v} y ON e.tid = y.tid AND e.bid = y.bid AND e.t = y.v WHERE kind <> 'adjacent'"
 
+SPLIT = (
+    RECURSIVE + PEX + ", und AS (SELECT tid, bid, s AS a, t AS b FROM inn UNION SELECT tid, bid, t, s FROM inn), rea AS (SELECT tid, bid, a AS v, a AS root FROM und UNION SELECT u.tid, u.bid, u.b, x.root FROM rea x JOIN und u ON u.tid = x.tid AND u.bid = x.bid AND u.a = x.v), lab AS (SELECT tid, bid, v, min(root) AS label FROM rea GROUP BY tid, bid, v), "
+    "mem AS (SELECT tid, bid, label, v, CAST(row_number() OVER (PARTITION BY tid, bid, label ORDER BY v) AS INT) AS n, CAST(count(*) OVER (PARTITION BY tid, bid, label) + 1 AS INT) AS sink FROM (SELECT p.tid, p.bid, p.v, coalesce(label, p.v) AS label FROM pex p LEFT JOIN lab ON lab.tid = p.tid AND lab.bid = p.bid AND lab.v = p.v)), "
+    "sp AS (SELECT e.tid, e.bid, coalesce(a.label, b.label) AS label, coalesce(a.n, 0) AS s, coalesce(b.n, a.sink) AS t, e.w, kind FROM edges e LEFT JOIN mem a ON a.tid = e.tid AND a.bid = e.bid AND a.v = e.s LEFT JOIN mem b ON b.tid = e.tid AND b.bid = e.bid AND b.v = e.t) "
+)
+
 QUERIES = {
     "false_boundaries": (false_boundaries, None),
     "annotation_graph": (annotation_graph, BASE + ANNOTATED + "SELECT tid, bid, s, t, kind, w FROM ae"),
@@ -160,8 +176,6 @@ QUERIES = {
     ),
     "split_graphs": (
         split_graphs,
-        RECURSIVE + PEX + ", und AS (SELECT tid, bid, s AS a, t AS b FROM inn UNION SELECT tid, bid, t, s FROM inn), rea AS (SELECT tid, bid, a AS v, a AS root FROM und UNION SELECT u.tid, u.bid, u.b, x.root FROM rea x JOIN und u ON u.tid = x.tid AND u.bid = x.bid AND u.a = x.v), lab AS (SELECT tid, bid, v, min(root) AS label FROM rea GROUP BY tid, bid, v), "
-        "mem AS (SELECT tid, bid, label, v, CAST(row_number() OVER (PARTITION BY tid, bid, label ORDER BY v) AS INT) AS n, CAST(count(*) OVER (PARTITION BY tid, bid, label) + 1 AS INT) AS sink FROM (SELECT p.tid, p.bid, p.v, coalesce(label, p.v) AS label FROM pex p LEFT JOIN lab ON lab.tid = p.tid AND lab.bid = p.bid AND lab.v = p.v)) "
-        "SELECT e.tid, e.bid, coalesce(a.label, b.label) AS label, coalesce(a.n, 0) AS s, coalesce(b.n, a.sink) AS t, round(w, 6) AS w, kind FROM edges e LEFT JOIN mem a ON a.tid = e.tid AND a.bid = e.bid AND a.v = e.s LEFT JOIN mem b ON b.tid = e.tid AND b.bid = e.bid AND b.v = e.t",
+        SPLIT + "SELECT tid, bid, label, s, t, round(w, 6) AS w, kind FROM sp",
     ),
 }
