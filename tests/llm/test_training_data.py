@@ -291,6 +291,16 @@ def test_fingerprints_by_hand(corpus, empty, monkeypatch):
     assert len(got) == len(rows) and fingerprints.fingerprint_with_next(empty).count() == 0
 
 
+def test_fingerprints_of_few_ranges_and_small_lots(corpus, monkeypatch):
+    """As many rows and the same ones, however many ranges there are and however little a task takes at once."""
+    docs, _ = corpus
+    want = sorted(map(repr, fingerprints.fingerprint_with_next(docs).collect()))
+    monkeypatch.setattr(fingerprints, "blocks_needed", lambda *_: 40)
+    monkeypatch.setattr(fingerprints, "LOT", 500)
+    for most in (3, 4096):
+        assert sorted(map(repr, fingerprints.fingerprint_with_next(docs, most_ranges=most).collect())) == want
+
+
 def test_fingerprints_by_a_plain_walk():
     """Each text walked character by character, each sample taken at the step with its lowest number so far."""
     r = random.Random(3)
