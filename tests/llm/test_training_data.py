@@ -360,12 +360,17 @@ def test_near_links_by_brute_force(spark):
     made = fingerprints.fingerprints(texts)
     near = np.array([fingerprints.likeness(made, row) for row in made])
     np.fill_diagonal(near, 0)
+    near[:, [i not in got for i in range(len(texts))]] = 0
     have = [i for i in got if near[i].max() >= 0.8]
     found = [i for i in have if got[i].near_id is not None]
     assert len(have) > 200 and len(found) >= 0.95 * len(have)
     assert all(abs(near[i, got[i].near_id] - got[i].near_score) < 1e-12 and got[i].near_score >= 0.8 for i in found)
     assert all(got[i].near_id is None for i in got if near[i].max() < 0.8)
-    print(len(found) / len(have), sum(got[i].n_verified for i in got) / (near >= 0.8).sum())
+    nearest = sum(got[i].near_score > near[i].max() - 1e-12 for i in found)
+    few = [i for i in have if (near[i] >= 0.8).sum() <= 15]
+    links = sum(got[i].n_verified for i in few) / (near[few] >= 0.8).sum()
+    print(len(found) / len(have), nearest / len(have), links, sum(got[i].n_verified for i in got) / (near >= 0.8).sum())
+    assert nearest >= 0.9 * len(have) and links >= 0.9 and all(got[i].n_verified <= (near[i] >= 0.8).sum() for i in got)
 
 
 def test_leaks_exact_and_edited(spark, empty):
