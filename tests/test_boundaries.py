@@ -2,11 +2,13 @@
 
 import math
 import random
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from lociflow.operators import bridging, cleaning, fragments, graphs, transcripts
+from lociflow.plans import boundary_queries
 from lociflow.sources import gtf
 
 
@@ -106,6 +108,24 @@ def test_consensus_of_intron_chains(spark):
     assert rows_of(got.withColumn("n", F.size("introns")), "strand", "n", "cnt", "coverage", "start", "end") == [("+", 0, 2, 3.0, 100, 200), ("+", 2, 2, 0.6, 0, 60)]
 
 
+def test_intron_consensus_holds_orders_without_introns(spark, tmp_path):
+    """Orders without introns are merged by overlap beside the chains of the others, from five on, as the SQL says; four are too few, and another strand's are apart."""
+    duckdb = pytest.importorskip("duckdb")
+    r = random.Random(4)
+    lines = [(30 * k, 1, 100 + k % 2, 40) for k in range(1, 6)] + [(30 * k + 1, 1, 100, 40) for k in range(1, 5)] + [(30 * k, n, 1000 * n, 20) for k in range(10, 13) for n in (1, 2)]
+    lines += [(1000 + k, n, r.randint(300, 420), r.randint(1, 30)) for k in range(150) for n in range(1, r.randint(2, 3))]
+    rows = [(k, n, 7, k % 4 + 1, float(length), date(1995, 1, 1) + timedelta(at), "N") for k, n, at, length in lines]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_shipdate date, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    query, sql = boundary_queries.QUERIES["intron_consensus"]
+    names = ["strand", "chain", "cnt", "coverage", "start", "end"]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(db.execute(sql).fetchall())
+    got = rows_of(query(spark, str(tmp_path)), *names)
+    assert got == want and (0, "", 5, 1.0, 100, 141) in got and sum(x[1] == "" for x in got) > 3
+    assert any(x[1] and x[2] == 3 for x in got) and not [x for x in got if x[0] == 1 and x[4] == 100]
+
+
 def one_by_one(rows, ratio):
     """The items of one key, from rows (run, start, end, coverage) taken in order."""
     items = []
