@@ -6,8 +6,8 @@ becomes Hamming distance between walks. A fingerprint samples that walk: for eac
 shared random number among the walk's steps, and there an 8-bit hash of the characters ahead. Texts of about
 equal length sample the same steps, whatever that length is.
 
-Near texts are found by bit sampling: each band draws some of the fingerprint's samples at random and some bits of each; texts that agree in
-all bits of a band are compared on their whole fingerprints.
+Near texts are found exactly: the samples are cut into so many parts that near fingerprints agree in a whole one; those that do
+are compared on their whole fingerprints.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.llm.common import blocks_needed, modest_batches, sliced
-from lociflow.llm.words import mixed
 from lociflow.sources.shared import written
 
 SAMPLES, AHEAD, PERIOD, SEED = 128, 8, 4096, 20250117
@@ -31,7 +31,7 @@ BLOCK = 6 << 20
 SAMPLED = 20  # ids a range, to choose ranges of ids
 RANGES = 4096  # ranges of ids at most, whatever the number of blocks
 LOT = 6 << 20  # characters that a task fingerprints at once
-NEXT, CROWD = 4, 4096  # classes compared with each in a band's order, and classes ordered together at most, about
+CROWD = 8192  # classes of a chunk, about
 
 
 @lru_cache(maxsize=1)
@@ -96,9 +96,13 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     return out
 
 
+def _beyond_chance(share: np.ndarray) -> np.ndarray:
+    return np.clip((share - 1 / 255) / (1 - 1 / 255), 0, 1)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Share of equal samples beyond what chance gives, 0 to 1."""
-    return np.clip(((a == b).mean(-1) - 1 / 255) / (1 - 1 / 255), 0, 1)
+    return _beyond_chance((a == b).mean(-1))
 
 
 def edited(text: str, following: str) -> str:
@@ -199,88 +203,100 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return ordered.mapInArrow(apply, schema)
 
 
-def _matrix(column) -> np.ndarray:
-    """The fingerprints of a column of hex strings, a row of bytes each."""
-    return np.frombuffer(bytes.fromhex("".join(column.to_pylist())), np.uint8).reshape(-1, SAMPLES)
-
-
-@lru_cache(maxsize=4)
-def _drawn_bits(bands: int, drawn: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each band the samples drawn, and for each of those the mask of its drawn bits; the same for all texts."""
-    rng = np.random.default_rng(SEED + 2)
-    samples = np.array([rng.permutation(SAMPLES)[:drawn] for _ in range(bands)])
-    masks = np.array([[sum(1 << int(k) for k in rng.permutation(8)[:bits]) for _ in range(drawn)] for _ in range(bands)], np.uint8)
-    return samples, masks
-
-
-def band_keys(prints: np.ndarray, bands: int, drawn: int, bits: int) -> np.ndarray:
-    """For each fingerprint and band a number that says the band and its sampled bits."""
-    samples, masks = _drawn_bits(bands, drawn, bits)
-    keys = np.arange(bands, dtype=np.uint64)[None].repeat(len(prints), 0)
-    for k in range(drawn):
-        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + (prints[:, samples[:, k]] & masks[None, :, k]) + np.uint64(1))
-    return keys.view(np.int64)
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Numbers of the runs of rows with equal values in all columns."""
+    return np.cumsum(np.concatenate([[False], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
 
 
-def band_tails(prints: np.ndarray, bands: int, drawn: int) -> np.ndarray:
-    """For each fingerprint and band a number that orders texts by the samples that the band doesn't draw: 9 bits hashed from one of them, then from 2, 4, 8, 16, 32 and from the rest.
+def parts_needed(threshold: float) -> tuple[int, np.ndarray]:
+    """How many samples of two fingerprints are equal at least where their likeness reaches `threshold`, and the starts of parts of the samples, one more than samples that may differ.
 
-    So texts far from most are near each other in its order if they agree on the first ones, and texts near most others are next to those that agree with them on nearly all.
+    So two such fingerprints agree in all samples of one part at least.
     """
-    rng, ends = np.random.default_rng(SEED + 2), [1, 3, 7, 15, 31, 63, SAMPLES - drawn]
-    samples = np.array([rng.permutation(SAMPLES)[drawn:] for _ in range(bands)])
-    tails, hashed, start = np.zeros((len(prints), bands), np.int64), np.zeros((len(prints), bands), np.uint64), 0
-    for end in ends:
-        for k in range(start, end):
-            hashed = mixed(hashed * np.uint64(0x9E3779B97F4A7C15) + prints[:, samples[:, k]] + np.uint64(1))
-        tails, start = tails << 9 | (hashed >> np.uint64(55)).astype(np.int64), end
-    return tails
-
-
-def near_links(prints: DataFrame, id_col: str = "doc_id", threshold: float = 0.8, bands: int = 20, drawn: int = 6, bits: int = 6) -> DataFrame:
-    """The classes of equal fingerprints and their verified near ones: fingerprint, class_id (lowest id), near_id and near_score (the nearest class of `threshold` or more, or null), n_verified.
-
-    Each of `bands` bands samples `bits` bits of each of `drawn` samples of the fingerprint. Classes that agree on a band meet there, in the order of further samples of it: each is compared, on whole
-    fingerprints, with the NEXT ones in that order and with the most central one, which agrees with most others on most bands. So bands of up to NEXT + 1 classes are compared whole, and one that very
-    many texts share costs NEXT + 1 comparisons for each of them, those with the texts most like it. Classes of a band of more than CROWD are dealt by hash to crowds that are ordered on their own, so
-    no task holds a band. Two texts at the threshold agree on a band with probability 0.27, on none of 20 with 0.002. In a large group of near texts n_verified counts what was compared, not all links;
-    tests hold the recall of links in small groups, of the nearest, and of having one at all against brute force.
+    reached = np.flatnonzero(_beyond_chance(np.arange(SAMPLES + 1) / SAMPLES) >= threshold)
+    least = int(reached[0]) if len(reached) else SAMPLES + 1
+    if not 0 < least <= SAMPLES:
+        raise ValueError("threshold must be above 0, and 1 at most")
+    parts = SAMPLES - least + 1
+    return least, np.arange(parts) * SAMPLES // parts
+
+
+def _links(prints: np.ndarray, cell: np.ndarray, side: np.ndarray, across: np.ndarray, part: np.ndarray, least: int, starts: np.ndarray):
+    """Pairs of rows of a cell, each with its number of equal samples: those of `least` or more, where they first agree in the rows' part. Cells are runs of rows; where across, only pairs of two sides count."""
+    for d in range(1, len(prints)):
+        same = cell[d:] == cell[:-d]
+        if not same.any():
+            return
+        i = np.flatnonzero(same & (~across[d:] | (side[d:] != side[:-d])))
+        equal = prints[i] == prints[i + d]
+        n = np.bitwise_count(np.packbits(equal, axis=1)).sum(1)
+        near = np.flatnonzero(n >= least)
+        if len(near):
+            own = near[np.logical_and.reduceat(equal[near], starts, axis=1).argmax(1) == part[i[near]]]
+            yield i[own], i[own] + d, n[own]
+
+
+def near_links(prints: DataFrame, id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
+    """The classes of equal fingerprints and all their near ones: fingerprint, class_id (lowest id), near_id and near_score (the nearest class of `threshold` or more, of equal ones that of the highest id, or null), n_verified (how many classes are as near as that).
+
+    No link is lost: the samples are cut into one part more than may differ at the threshold (26 at 0.8), so near classes agree in all samples of some part. All that agree in a part are compared
+    with each other on whole fingerprints, and a pair counts in the first part in which it agrees. Parts that more than CROWD classes share are cut into chunks of about that many, and
+    each two chunks meet in a cell of their own, so no task holds a part's classes; what a cell hands on is each class's number of links and its nearest one, not its links. The work grows as the square of
+    the classes that share a part.
 
     Defined cases: rows with a null fingerprint or id are left out; rows of an equal fingerprint are one class, whatever their texts; an empty table gives no rows.
     Membership is by fingerprint, so copies need no pairs.
     """
     kind = prints.schema[id_col].dataType.simpleString()
+    least, starts = parts_needed(threshold)
     known = prints.where(F.col("fingerprint").isNotNull() & F.col(id_col).isNotNull())
     classes = written(known.groupBy("fingerprint").agg(F.min(id_col).alias("class_id")), "classes")
 
-    def cut(batches):
-        for batch in batches:
-            made = _matrix(batch.column(1))
-            lists = [pa.array(list(x), pa.list_(pa.int64())) for x in (band_keys(made, bands, drawn, bits), band_tails(made, bands, drawn))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["class_id", "bands", "tails"])
-
     def compare(batches):
+        held: list[pa.RecordBatch] = []
+
+        def told(rows: pa.Table) -> pa.RecordBatch:
+            part, key, lo, hi, side = (rows.column(k).to_numpy() for k in range(5))
+            ids = rows.column("class_id").combine_chunks()
+            made = np.frombuffer(b"".join(rows.column("_z").to_pylist()), np.uint8).reshape(-1, SAMPLES)
+            by_id = pa.compute.sort_indices(ids).to_numpy()
+            rank, n, best = np.empty(len(ids), np.int64), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            rank[by_id] = np.arange(len(ids))
+            for a, b, equal in _links(made, _runs(part, key, lo, hi), side, lo != hi, part, least, starts):
+                for x, y in ((a, b), (b, a)):
+                    n += np.bincount(x, minlength=len(n))
+                    np.maximum.at(best, x, equal.astype(np.int64) << 32 | rank[y])
+            some = np.flatnonzero(n)
+            near = _beyond_chance((best[some] >> 32) / SAMPLES)
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(some)), ids.take(pa.array(by_id[best[some] & 0xFFFFFFFF])), pa.array(near), pa.array(n[some])], ["class_id", "near_id", "near", "n"])
+
         for batch in batches:
-            near = likeness(_matrix(batch.column(2)), _matrix(batch.column(3)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(near)], ["a", "b", "near"])
-
-    banded = classes.select("class_id", "fingerprint").mapInArrow(cut, f"class_id {kind}, bands array<long>, tails array<long>").select("class_id", F.inline(F.arrays_zip(F.col("bands").alias("band"), F.col("tails").alias("tail"))))
-    members = written(banded.join(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band"), "members")
-    central = members.join(members.groupBy("class_id").agg(F.sum("n").alias("met")), "class_id").groupBy("band").agg(F.max(F.struct("met", "class_id")).alias("m")).select("band", F.col("m.class_id").alias("other"))
-    star = members.join(central, "band").where("class_id <> other").select("class_id", "other")
-    order = Window.partitionBy("band", F.pmod(F.xxhash64("band", "class_id"), F.ceil(F.col("n") / CROWD))).orderBy("tail", "class_id")
-    chain = members.select("class_id", F.array_compact(F.array(*[F.lead("class_id", k).over(order) for k in range(1, NEXT + 1)])).alias("others")).select("class_id", F.explode("others").alias("other"))
-    pairs = star.unionByName(chain).select(F.least("class_id", "other").alias("a"), F.greatest("class_id", "other").alias("b")).distinct()
-    side = lambda name: classes.select(F.col("class_id").alias(name), F.col("fingerprint").alias(f"_{name}"))
-    compared = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_a", "_b").mapInArrow(compare, f"a {kind}, b {kind}, near double")
-    linked = written(compared.where(F.col("near") >= threshold), "near")
-    both = linked.select(F.col("a").alias("class_id"), F.col("b").alias("near_id"), "near").unionByName(linked.select(F.col("b").alias("class_id"), F.col("a").alias("near_id"), "near"))
-    best = both.groupBy("class_id").agg(F.max(F.struct("near", "near_id")).alias("m"), F.count(F.lit(1)).alias("n_verified"))
-    found = classes.join(best, "class_id", "left").select("fingerprint", "class_id", F.col("m.near_id").alias("near_id"), F.col("m.near").alias("near_score"), F.coalesce("n_verified", F.lit(0).cast("long")).alias("n_verified"))
-    return found
+            held.append(batch)
+            if sum(x.num_rows for x in held) < CROWD:
+                continue
+            rows = pa.Table.from_batches(held)
+            last = _runs(*(rows.column(k).to_numpy() for k in range(4)))
+            whole = int(np.searchsorted(last, last[-1]))  # the last cell may go on
+            if whole:
+                yield told(rows.slice(0, whole))
+                held = rows.slice(whole).combine_chunks().to_batches()
+        if held:
+            yield told(pa.Table.from_batches(held))
+
+    hashes = [F.xxhash64(F.substring("fingerprint", int(2 * a + 1), int(2 * (b - a)))) for a, b in zip(starts, [*starts[1:], SAMPLES])]
+    banded = classes.select("class_id", F.posexplode(F.array(*hashes)).alias("part", "key"))
+    shared = banded.join(banded.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), ["part", "key"])
+    chunks = F.ceil(F.col("n") / CROWD)
+    members = shared.withColumns({"chunks": chunks, "side": F.pmod(F.xxhash64("class_id", "part"), chunks)}).join(classes.select("class_id", F.unhex("fingerprint").alias("_z")), "class_id")
+    met = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    cell = ["part", "key", "lo", "hi"]
+    cells = met.select("part", "key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "class_id", "_z").repartition(*cell).sortWithinPartitions(*cell)
+    linked = cells.mapInArrow(compare, f"class_id {kind}, near_id {kind}, near double, n long")
+    best = linked.groupBy("class_id").agg(F.max(F.struct("near", "near_id")).alias("m"), F.sum("n").alias("n_verified"))
+    return classes.join(best, "class_id", "left").select("fingerprint", "class_id", F.col("m.near_id").alias("near_id"), F.col("m.near").alias("near_score"), F.coalesce("n_verified", F.lit(0).cast("long")).alias("n_verified"))
 
 
 def op6_document_fingerprints(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents, of their edited texts, how near those and the next documents' are, and each document's class with its nearest verified other one."""
+    """Fingerprints of all documents, of their edited texts, how near those and the next documents' are, and each document's class with the nearest other one and how many are near."""
     prints = written(fingerprint_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet")), "prints")
     return prints.join(near_links(prints), "fingerprint", "left").select(*prints.columns, "class_id", "near_id", "near_score", "n_verified")

@@ -373,6 +373,34 @@ def test_near_links_by_brute_force(spark):
     assert nearest >= 0.9 * len(have) and links >= 0.9 and all(got[i].n_verified <= (near[i] >= 0.8).sum() for i in got)
 
 
+@pytest.mark.parametrize(("crowd", "threshold"), [(8192, 0.8), (7, 0.8), (40, 0.5), (8192, 1.0)])
+def test_no_near_link_is_lost(spark, monkeypatch, crowd, threshold):
+    """A large group of near fingerprints, some of them at the threshold, one sample within or beyond it: each class is told all its links and its nearest, however its parts are cut."""
+    import numpy as np
+
+    monkeypatch.setattr(fingerprints, "CROWD", crowd)
+    rng, n = np.random.default_rng(3), 128
+    first = rng.integers(1, 256, n, np.uint8)
+    made = [first, np.zeros(n, np.uint8)]
+    for differ in [25, 26] * 8 + [k for k in range(1, 70)] + [3] * 60:
+        made.append(first.copy())
+        made[-1][rng.permutation(n)[:differ]] ^= np.uint8(rng.integers(1, 256))
+    spread = first.copy()
+    spread[np.arange(25) * n // 25 + 2] ^= 1
+    made = np.unique(np.array([*made, spread, *rng.integers(1, 256, (60, n), np.uint8)]), axis=0)
+    rows = [(int(i), f.tobytes().hex()) for i, f in enumerate(made)] + [(i + 1000, f.tobytes().hex()) for i, f in enumerate(made[:50])] + [(None, made[0].tobytes().hex()), (5000, None)]
+    got = {x.class_id: x for x in fingerprints.near_links(spark.createDataFrame(rows, "doc_id long, fingerprint string").repartition(3), threshold=threshold).collect()}
+    near = np.array([fingerprints.likeness(made, row) for row in made])
+    np.fill_diagonal(near, -1)
+    assert set(got) == set(range(len(made)))
+    for i, row in enumerate(near):
+        best = max((x, k) for k, x in enumerate(row))
+        want = (best[1], best[0]) if best[0] >= threshold else (None, None)
+        assert (got[i].n_verified, got[i].near_id, got[i].near_score) == ((row >= threshold).sum(), *want)
+    with pytest.raises(ValueError):
+        fingerprints.near_links(spark.createDataFrame(rows, "doc_id long, fingerprint string"), threshold=0.0)
+
+
 def test_leaks_exact_and_edited(spark, empty):
     r = random.Random(6)
     items = [(k, sentence(r, r.randint(15, 50), 50_000)) for k in range(20)] + [(98, None), (99, ""), (97, "two words")]
