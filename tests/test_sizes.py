@@ -19,7 +19,7 @@ def lines(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["spliced_region_list"])
+@pytest.mark.parametrize("name", ["spliced_region_list", "spliced_fragments"])
 def test_lists_are_whole_whatever_the_joins(spark, lines, name):
     """Regions are broadcast, alignments aren't, as on larger tables: the union of block ends used to be grouped without a shuffle."""
     known, got = "spark.sql.autoBroadcastJoinThreshold", {}
