@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lociflow.operators import mates
+from lociflow.operators import bridging, mates
 from lociflow.plans import catalog
 
 
@@ -43,3 +43,8 @@ def candidates(spark):
 def test_nearest_of_equal_candidates_is_the_shortest(spark):
     got = mates.best_by_distance(candidates(spark), ["qid"], "length", F.lit(60), ["ln", "mate_ln"]).collect()
     assert sorted((r.qid, r.length) for r in got) == [(k, 50) for k in range(4)]
+
+
+def test_chosen_of_equal_paths_is_the_shortest(spark):
+    got = bridging.chosen_paths(candidates(spark).withColumn("type", F.lit(0)), ["qid"], 20, 60, 90, ["ln", "mate_ln"]).collect()
+    assert sorted((r.qid, r.length, r.kind) for r in got) == [(k, 50, 1) for k in range(4)]
