@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lociflow.operators import bridging, mates
+from lociflow.operators import bridging, cleaning, mates
 from lociflow.plans import catalog
+from lociflow.sources.shared import written
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +49,15 @@ def test_nearest_of_equal_candidates_is_the_shortest(spark):
 def test_chosen_of_equal_paths_is_the_shortest(spark):
     got = bridging.chosen_paths(candidates(spark).withColumn("type", F.lit(0)), ["qid"], 20, 60, 90, ["ln", "mate_ln"]).collect()
     assert sorted((r.qid, r.length, r.kind) for r in got) == [(k, 50, 1) for k in range(4)]
+
+
+@pytest.mark.parametrize("name", ["inner_boundaries"])
+def test_compressed_tables_are_not_broadcast(spark, name):
+    """250,000 loci of five vertices: their edges are a table of less than 10 MB, but of more in memory."""
+    kinds = F.array(*map(F.lit, ["start", "junction", "adjacent", "junction", "adjacent", "end"]))
+    steps = spark.range(0, 250000, 1, 2).select(F.xxhash64("id").alias("tid"), F.lit(1).alias("bid"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("s"))
+    e = written(steps.select("*", (F.col("s") + 1).alias("t"), (F.pmod(F.xxhash64("tid", "s"), F.lit(1000)) / 8).alias("w"), F.element_at(kinds, F.col("s") + 1).alias("kind")), "edges")
+    v = written(e.where("s > 0").select("tid", "bid", F.col("s").alias("v"), (10 * F.col("s")).alias("l"), (10 * F.col("s") + 10).alias("r"), F.lit(2.0).alias("w"), F.lit(0.5).alias("dev")), "vertices")
+    sinks = v.groupBy("tid", "bid").agg((F.max("v") + 1).alias("sink"))
+    out = {"inner_boundaries": lambda: cleaning.inner_boundaries(v, e, sinks, ["tid", "bid"], flat=0.6), "cleaned_graph": lambda: cleaning.rule_actions(v, e, sinks, ["tid", "bid"], 20, 2.0, 0.01)}[name]()
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
