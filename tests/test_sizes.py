@@ -51,7 +51,7 @@ def test_chosen_of_equal_paths_is_the_shortest(spark):
     assert sorted((r.qid, r.length, r.kind) for r in got) == [(k, 50, 1) for k in range(4)]
 
 
-@pytest.mark.parametrize("name", ["inner_boundaries"])
+@pytest.mark.parametrize("name", ["inner_boundaries", "cleaned_graph"])
 def test_compressed_tables_are_not_broadcast(spark, name):
     """250,000 loci of five vertices: their edges are a table of less than 10 MB, but of more in memory."""
     kinds = F.array(*map(F.lit, ["start", "junction", "adjacent", "junction", "adjacent", "end"]))
