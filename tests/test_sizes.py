@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lociflow.operators import bridging, cleaning, mates
 from lociflow.plans import catalog
-from lociflow.sources.shared import written
+from lociflow.sources.shared import true_sizes, written
 
 
 @pytest.fixture(scope="module")
@@ -54,6 +54,7 @@ def test_chosen_of_equal_paths_is_the_shortest(spark):
 @pytest.mark.parametrize("name", ["inner_boundaries", "cleaned_graph"])
 def test_compressed_tables_are_not_broadcast(spark, name):
     """250,000 loci of five vertices: their edges are a table of less than 10 MB, but of more in memory."""
+    true_sizes(spark)
     kinds = F.array(*map(F.lit, ["start", "junction", "adjacent", "junction", "adjacent", "end"]))
     steps = spark.range(0, 250000, 1, 2).select(F.xxhash64("id").alias("tid"), F.lit(1).alias("bid"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("s"))
     e = written(steps.select("*", (F.col("s") + 1).alias("t"), (F.pmod(F.xxhash64("tid", "s"), F.lit(1000)) / 8).alias("w"), F.element_at(kinds, F.col("s") + 1).alias("kind")), "edges")
